@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import capping, leakage, leximin, markup, packing, reading, splitting
+from foliant.llm import capping, leakage, leximin, markup, packing, reading, repetition, scans, splitting, truncation
 from foliant.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,35 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _marked_rows(spark, d).filter(markup.has_markup(F.col("text"))).select("table_name", "row_id")
 
 
+# 2 ------------------------------------------------------------------------------------------------- repetition
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated share of every text."""
+    return repetition.measured(load(spark, d, "ocr_results"), "result_id").select("result_id", F.round("share", 6).alias("share"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetitive(load(spark, d, "ocr_results"), "result_id", "text").select("result_id")
+
+
+# 3 ------------------------------------------------------------------------------------------------- truncation
+
+
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation(
+        load(spark, d, "ocr_results"), "result_id", "text", "candidate", {"chars": F.length("text"), "bytes": F.octet_length("text"), "tokens": F.col("gen_tokens")}
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).filter("truncated").select("result_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(_cut(spark, d)).withColumnRenamed("source", "candidate").withColumn("rate", F.round("rate", 6))
+
+
 # 4 ------------------------------------------------------------------------------------------------- splitting
 
 
@@ -65,6 +94,17 @@ def p5_share(spark: SparkSession, d: str) -> DataFrame:
     return capping.capped_hits(load(spark, d, "hits"), max_count=None, max_share=0.2).filter("kept").select("hit_id", "question_id", "retriever", "doc_id", "level", "quality_rank")
 
 
+# 6 ------------------------------------------------------------------------------------------------- scans
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.defects(load(spark, d, "ocr_results"))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(load(spark, d, "ocr_results"))
+
+
 # 7 ------------------------------------------------------------------------------------------------- one ranking
 
 
@@ -121,8 +161,11 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         p1_method, p1_clean, p1_found,
+        p2_shares, p2_found,
+        p3_rates, p3_found,
         p4_pieces, p4_found,
         p5_found, p5_share,
+        p6_repaired, p6_found,
         p7_ranking, p7_found,
         p8_pack, p8_containers,
         p9_found, p9_items,
