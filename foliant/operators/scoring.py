@@ -12,13 +12,13 @@ from foliant.functions.normal import furniture_free, normalized, word_distance
 ZONE = 3
 
 
-def _bag_f1(pairs: DataFrame, key: Sequence[str], ref: Column, hyp: Column, out: str) -> DataFrame:
+def _bag_f1(pairs: DataFrame, key: Sequence[str], ref: Column, hyp: Column, out: str, digits: int) -> DataFrame:
     """F1 of two token bags per key; both bags are folded to counts before they meet."""
     tagged = pairs.select(*key, F.explode(F.concat(F.transform(ref, lambda t: F.struct(t.alias("t"), F.lit(1).alias("r"), F.lit(0).alias("h"))), F.transform(hyp, lambda t: F.struct(t.alias("t"), F.lit(0).alias("r"), F.lit(1).alias("h"))))).alias("x"))
     counts = tagged.groupBy(*key, "x.t").agg(F.sum("x.r").alias("r"), F.sum("x.h").alias("h"))
     sums = counts.groupBy(*key).agg(F.sum(F.least("r", "h")).alias("both"), F.sum("r").alias("rs"), F.sum("h").alias("hs"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("both"), F.col("rs") + F.col("hs")), F.lit(0.0))
-    scored = sums.select(*key, F.round(f1, 4).alias(out))
+    scored = sums.select(*key, F.round(f1, digits).alias(out))
     return pairs.select(*key).join(scored, list(key), "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
@@ -33,18 +33,18 @@ def trigrams(text: Column) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
 
 
-def word_f1(pairs: DataFrame, key: Sequence[str], ref: str, hyp: str) -> DataFrame:
+def word_f1(pairs: DataFrame, key: Sequence[str], ref: str, hyp: str, digits: int = 4) -> DataFrame:
     """(key, word_f1) of reference and hypothesis texts; 0 where they share no word, empty texts included."""
-    return _bag_f1(pairs, key, tokens(F.col(ref)), tokens(F.col(hyp)), "word_f1")
+    return _bag_f1(pairs, key, tokens(F.col(ref)), tokens(F.col(hyp)), "word_f1", digits)
 
 
-def char3_f1(pairs: DataFrame, key: Sequence[str], ref: str, hyp: str) -> DataFrame:
-    return _bag_f1(pairs, key, trigrams(F.col(ref)), trigrams(F.col(hyp)), "char3_f1")
+def char3_f1(pairs: DataFrame, key: Sequence[str], ref: str, hyp: str, digits: int = 4) -> DataFrame:
+    return _bag_f1(pairs, key, trigrams(F.col(ref)), trigrams(F.col(hyp)), "char3_f1", digits)
 
 
-def cer(ref: Column, hyp: Column) -> Column:
-    """Character error rate, at most 1, 4 digits; null for an empty reference."""
-    return F.when(F.length(ref) > 0, F.round(F.least(F.lit(1.0), F.levenshtein(ref, hyp) / F.length(ref)), 4))
+def cer(ref: Column, hyp: Column, digits: int = 4) -> Column:
+    """Character error rate, at most 1; null for an empty reference."""
+    return F.when(F.length(ref) > 0, F.round(F.least(F.lit(1.0), F.levenshtein(ref, hyp) / F.length(ref)), digits))
 
 
 def score(pairs: DataFrame, key: Sequence[str], ref: str, hyp: str) -> DataFrame:

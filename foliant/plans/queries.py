@@ -248,15 +248,15 @@ def _candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_word_f1(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.word_f1(_candidate_pairs(spark, d), ["unit"], "ref", "hyp")
+    return scoring.word_f1(_candidate_pairs(spark, d), ["unit"], "ref", "hyp", 6)
 
 
 def q_char3_f1(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.char3_f1(_candidate_pairs(spark, d), ["unit"], "ref", "hyp")
+    return scoring.char3_f1(_candidate_pairs(spark, d), ["unit"], "ref", "hyp", 6)
 
 
 def q_cer(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate_pairs(spark, d).select("unit", scoring.cer(F.col("ref"), F.col("hyp")).alias("cer"))
+    return _candidate_pairs(spark, d).select("unit", scoring.cer(F.col("ref"), F.col("hyp"), 6).alias("cer"))
 
 
 def q_score(spark: SparkSession, d: str) -> DataFrame:
