@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: A text repeats itself when this share of its words does. The list is taught a lower bar, the exact check decides.
 SHARE, TAUGHT_SHARE = 0.4, 0.3
-#: Rows measured to teach the list.
+#: Rows measured to teach the list: about so many are drawn, whatever the size of the table.
 SAMPLE = 20_000
 GRAM, LONG_RUN, SENTENCE_RUN, LOOP_RUN = 4, 14, 6, 4
 STATISTICS = ("n_words", "compressed", "distinct_words", "distinct_grams", "distinct_lines", "distinct_sentences", "masked_grams")
@@ -232,9 +232,15 @@ def measured(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def teach(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> list[Rule]:
-    """A decision list from `sample` rows, drawn by a hash of the key, with exactly measured labels."""
-    drawn = df.filter(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("text")).orderBy(F.xxhash64(F.col(key)), key).limit(sample)
-    stats = with_statistics(drawn.repartition(16), key, "text")
+    """A decision list from about `sample` rows, drawn by a hash of the key, with exactly measured labels.
+
+    Rows are drawn where they lie, by a threshold on the hash that the table's count gives; only their statistics are
+    brought together.
+    """
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("text"))
+    share = min(1.0, sample / max(1, rows.count()))
+    drawn = rows.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
+    stats = with_statistics(drawn, key, "text")
 
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
