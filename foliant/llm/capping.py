@@ -61,7 +61,7 @@ def cap_contributors(
     max_share: float | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Every row of `df` with `quality_rank`, the group's `level` and `kept`.
+    """Every row of `df` with `quality_rank`, the group's `level` and `kept` (columns of these names are replaced).
 
     Rows of one contributor rank by higher score (NaN highest, nulls last), ties by smaller `row_id`; those ranked up
     to the level are kept. Null groups or contributors form groups of their own. `level` and ranks are bigint.
@@ -70,6 +70,7 @@ def cap_contributors(
     are beyond it in the whole too (their rank is then the rank in the part plus the level, a lower bound), so only
     `salts x level` rows of a contributor are ever compared in one task.
     """
+    df = df.drop("quality_rank", "level", "kept")
     keys = [*group, contributor]
     sizes = df.groupBy(*keys).agg(F.count("*").alias("__rows"))
     levels = water_levels(sizes, group, "__rows", max_count, max_share)
@@ -77,7 +78,7 @@ def cap_contributors(
     cond: Column = same[0] if same else F.lit(True)
     for c in same[1:]:
         cond = cond & c
-    with_level = df.alias("d").join(levels.alias("l"), cond, "left").select("d.*", "l.level") if group else df.crossJoin(F.broadcast(levels))
+    with_level = df.alias("d").join(levels.alias("l"), cond, "left").select("d.*", "l.level") if group else df.crossJoin(F.broadcast(levels))  # without groups there is one level
     order = [F.desc_nulls_last(score), F.asc(row_id)]
     part = with_level.withColumn("__salt", F.pmod(F.xxhash64(F.col(row_id)), F.lit(salts)))
     local = Window.partitionBy(*keys, "__salt").orderBy(*order)

@@ -43,7 +43,7 @@ PIECES = (
     r"\[https?://[^\]\s]+[^\]\n]*\]",
     r"^(?:\*\*+|##+|[*#]*[:;]+) +\S",
     r"\\[a-zA-Z]{2,}\*?[\[{]",  # LaTeX from here on
-    r"(?<![\w:\\])\\[a-zA-Z]{2,}\b",
+    r"(?<![\w:\\])\\[a-zA-Z]{2,}(?![a-zA-Z])",
     r"\\[%&_#$,;!]|\\\\",
     r"(?<![\w$])\$(?=[^\s$])[^$\n]{1,200}\$(?!\w)|\$\$",
     r"\\[\[\]()]",
@@ -101,7 +101,7 @@ STEPS: tuple[tuple[re.Pattern, str], ...] = tuple(
         (r"(?m)(?<=\n)(?:={3,}|-{3,})[ \t]*$", 0, ""),
         (r"\\(?:(?:sub)*section|chapter|paragraph|title)\*?\{([^{}]*)\}", 0, r"\n\n\1\n\n"),
         (r"\\begin\{[a-z]+\*?\}(?:\[[^\]]*\])?|\\end\{[a-z]+\*?\}", 0, "\n"),
-        (r"(?m)^\s*\\item\b\s*(?:\[[^\]]*\])?", 0, "• "),
+        (r"(?m)^[ \t]*\\item\b\s*(?:\[[^\]]*\])?", 0, "• "),
         (r"~?\\(?:cite[tp]?|label|ref|eqref|pageref|footnote)\*?(?:\[[^\]]*\])?\{[^{}]*\}", 0, ""),
         (r"\\href\{[^{}]*\}\{([^{}]*)\}", 0, r"\1"),
         (r"\{\\[a-z]+\s+([^{}]*)\}", 0, r"\1"),
@@ -141,7 +141,7 @@ def formula_text(tex: str) -> str:
     tex = re.sub(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", r"(\1)/(\2)", tex)
     tex = re.sub(r"\\sqrt\{((?:[^{}]|\{[^{}]*\})*)\}", r"√(\1)", tex)
     tex = re.sub(r"\\(?:hat|bar|tilde|vec|mathrm|text|mathbf)\{([^{}]*)\}", r"\1", tex)
-    tex = re.sub(r"\\([a-zA-Z]+)\b", lambda m: SYMBOLS.get(m[1], m[1]), tex)
+    tex = re.sub(r"\\([a-zA-Z]+)(?![a-zA-Z])", lambda m: SYMBOLS.get(m[1], m[1]), tex)
     return re.sub(r"\s+", " ", re.sub(r"\\[,;! ]|[{}]|\\", lambda m: " " if m[0][1:] else "", tex)).strip()
 
 
@@ -177,7 +177,7 @@ def clean(text: str) -> str:
         text = pattern.sub(by, text)
     text = ROW.sub(lambda m: "\t".join(x.strip() for x in m[1].split("|")), text)
     text = ENTITY.sub(lambda m: html.unescape(m[0]).replace("\xa0", " "), text)
-    text = re.sub(r"(?<![\w:\\])\\([a-zA-Z]{2,})\b", lambda m: SYMBOLS.get(m[1], ""), text)
+    text = re.sub(r"(?<![\w:\\])\\([a-zA-Z]{2,})(?![a-zA-Z])", lambda m: SYMBOLS.get(m[1], ""), text)
     text = re.sub(r"[ \t]+(?=\n)", "", re.sub(r" {2,}", " ", text))
     text = re.sub(r"\n{3,}", "\n\n", text).strip()
     return re.sub(f"{HEAD}(\\d+){END}", lambda m: kept[int(m[1])], text)
