@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +35,9 @@ def dense_top(vectors: DataFrame, queries: DataFrame, depth: int, key: str = "ve
     out = None
     for b in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect()
-        matrix = np.array([r.v for r in block], dtype="float64").reshape(len(block), -1)
+        dims = Counter(len(r.v) for r in block).most_common(1)
+        block = [r for r in block if len(r.v) == dims[0][0]]
+        matrix = np.array([r.v for r in block], dtype="float64").reshape(len(block), dims[0][0] if dims else 1)
         matrix = matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-12)
         shared = vectors.sparkSession.sparkContext.broadcast(([r.q for r in block], matrix))
 

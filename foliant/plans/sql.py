@@ -67,7 +67,7 @@ tests as (
   from patterns group by a, b)"""
 
 RATES = """count(*) as pages, sum((error is null)::int)::bigint as ok, sum((error is not null)::int)::bigint as errors,
-  round(quantile_cont(seconds, 0.5) filter (error is null), 3) as median_s, round(quantile_cont(seconds, 0.9) filter (error is null), 3) as p90_s,
+  round(quantile_cont(seconds, 0.5) filter (error is null), 6) as median_s, round(quantile_cont(seconds, 0.9) filter (error is null), 6) as p90_s,
   round(coalesce(sum(seconds) filter (error is null), 0), 1) as total_s,
   round(case when bool_and(gen_seconds is not null) filter (error is null)
     then sum(coalesce(total_gen_tokens, 0)) filter (error is null) / nullif(sum(gen_seconds) filter (error is null), 0)
