@@ -33,7 +33,7 @@ PIECES = (
     r"^[|:-][ \t:|-]*-{2,}[ \t:|-]*\|[ \t:|-]*$",  # table rule
     r"^\|(?:[^|\n]*\|){2,}[ \t]*$",
     r"(?<=\n)> +\S|^> +[^\W\d]",
-    r"^[-*+] +\S",
+    r"(?<=\n)[-*+] +\S|^[-*+] +[^\W\d]",
     r"(?<=\n)(?:={3,}|-{3,})[ \t]*$",
     r"\[\[[^\[\]\n]{1,200}\]\]",  # wiki from here on
     r"(?<!')'{2,3}(?=[^'\s])[^'\n]*(?:'[^'\n]+)*'{2,3}",
@@ -41,7 +41,7 @@ PIECES = (
     r"^\{\||^\|[-}]|^\|[^\n]*\|\|",
     r"\{\{[^{}\n]{1,200}\}\}",
     r"\[https?://[^\]\s]+[^\]\n]*\]",
-    r"^(?:\*\*+|##+|[*#]*[:;]+) +\S",
+    r"^(?:\*\*+|##+) +\S|(?<=\n)[*#]*[:;]+ +\S",
     r"\\[a-zA-Z]{2,}\*?[\[{]",  # LaTeX from here on
     r"(?<![\w:\\])\\[a-zA-Z]{2,}(?![a-zA-Z])",
     r"\\[%&_#$,;!]|\\\\",
@@ -115,7 +115,7 @@ STEPS: tuple[tuple[re.Pattern, str], ...] = tuple(
         (r"\[https?://[^\]\s]+\s*([^\]\n]*)\]", 0, r"\1"),
         (r"\{\{[^{}\n]{1,200}\}\}", 0, ""),
         (r"(?m)^(?:\*+|[-+]) +(?:\[[ xX]\] +)?", 0, "• "),
-        (r"(?m)^(?:#+|[*#]*[:;]+) +(?=\S)", 0, "• "),
+        (r"(?m)^#+ +(?=\S)|(?<=\n)[*#]*[:;]+ +(?=\S)", 0, "• "),
         (r"(?:(?<=\n)|\A)> +(?=\D)|(?<=\n)> +", 0, ""),
         (r"\*\*(?=[^\s*])([^*\n]{1,200}?)\*\*", 0, r"\1"),
         (r"(?<!\w)__(?=[^\s_])([^\n]{1,200}?)__(?!\w)", 0, r"\1"),

@@ -14,7 +14,7 @@ PIECES = [
 PROSE = [
     "If a == b, then c_1 <= c_2 by rule (3).", "A Q&A list (cf. note *) follows.", "The file read_page_v2 ran for ~10 minutes.", "given as <LOD or as 2^10.",
     "the A* search written in C# for 5 * 3 runs", "|x| < 3 holds for the set {a, b} only", "n > 30 and p < 0.05 alike", "cited in [3] and [14].",
-    "grant of $ 40 per page covers it", "in C:\\data\\run_7. See item #12 and R&D", "x² + y² = r²", "(2) second item", "α = 1/n", "", "   ",
+    "grant of $ 40 per page covers it", "in C:\\data\\run_7. See item #12 and R&D", "x² + y² = r²", "(2) second item", "* 3 runs of it", "+ 2c and more", ": records prefer it", "> 30 and p < 0.05", "α = 1/n", "", "   ",
 ]
 
 
