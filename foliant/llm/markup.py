@@ -33,7 +33,7 @@ PIECES = (
     r"^[|:-][ \t:|-]*-{2,}[ \t:|-]*\|[ \t:|-]*$",  # table rule
     r"^\|(?:[^|\n]*\|){2,}[ \t]*$",
     r"(?<=\n)> +\S|^> +[^\W\d]",
-    r"(?<=\n)[-*+] +\S|^[-*+] +[^\W\d]",
+    r"(?<=\n)[-*+] +\S|^[-*+] +(?:[^\W\d]|\[[ xX]\])",
     r"(?<=\n)(?:={3,}|-{3,})[ \t]*$",
     r"\[\[[^\[\]\n]{1,200}\]\]",  # wiki from here on
     r"(?<!')'{2,3}(?=[^'\s])[^'\n]*(?:'[^'\n]+)*'{2,3}",
