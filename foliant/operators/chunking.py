@@ -59,10 +59,16 @@ def chunk_pages(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int =
     )
 
 
-def content_keys(pages: DataFrame) -> DataFrame:
-    """(doc_id, key): SHA-256 over page numbers, lengths and page digests in page order.
+def content_keys(pages: DataFrame, width: int = 1024) -> DataFrame:
+    """(doc_id, key): SHA-256 over the digests of ranges of `width` page numbers, each over page numbers, lengths and
+    page digests in order.
 
-    Page texts enter by their digests, so that only 64 characters a page are brought together.
+    Texts enter by their digests and ranges by theirs, so neither a long page nor a document of very many pages is
+    brought together in one place.
     """
-    digest = F.concat(F.lpad(F.col("page").cast("string"), 9, "0"), F.lit(":"), F.length(F.coalesce("text", F.lit(""))).cast("string"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    return pages.filter("doc_id is not null and page is not null").groupBy("doc_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(digest)), ""), 256).alias("key"))
+    text = F.coalesce("text", F.lit(""))
+    digest = F.concat(F.lpad(F.col("page").cast("string"), 9, "0"), F.lit(":"), F.length(text).cast("string"), F.lit(":"), F.sha2(text, 256))
+    placed = pages.filter("doc_id is not null and page is not null").select("doc_id", F.floor(F.col("page") / width).alias("range"), digest.alias("digest"))
+    ranges = placed.groupBy("doc_id", "range").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("digest"))
+    entry = F.concat(F.lpad(F.col("range").cast("string"), 9, "0"), F.lit(":"), F.col("digest"))
+    return ranges.groupBy("doc_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ""), 256).alias("key"))

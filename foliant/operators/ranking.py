@@ -73,3 +73,21 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
         .withColumn(out, F.col("__offset") + F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside), F.lit(0)))
         .drop("__range", "__offset")
     )
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, out: str) -> DataFrame:
+    """Adds `out`, the sum of `value` over the earlier rows of the group in the total order `order`.
+
+    `bucket` must not decrease along the order (an hour of a time, say; nulls come first): its totals are summed first
+    and rows are ordered inside single buckets, so a group of any size is spread. A null value counts 0.
+    """
+    placed = df.withColumn("__bucket", bucket)
+    totals = placed.groupBy(*keys, "__bucket").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("__total"))
+    before = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__offset", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total").withColumnsRenamed({k: f"__{k}" for k in keys}).withColumnRenamed("__bucket", "__b")
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*(F.asc_nulls_first(o) for o in order)).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("__bucket").eqNullSafe(F.col("__b"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = placed.join(offsets, same).withColumn(out, F.col("__offset") + F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside), F.lit(0)))
+    return joined.drop("__bucket", "__offset", "__b", *(f"__{k}" for k in keys))

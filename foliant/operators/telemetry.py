@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.ranking import prefix_sums, running_sums
+
 
 def _rate(hits: Column) -> Column:
     """Share of the ok rows for which `hits` holds, 4 digits, null without ok rows."""
@@ -48,21 +50,23 @@ def throughput(records: DataFrame, overall: str, category: str, digits: int = 3)
     return records.groupingSets([[F.col(overall)], [F.col(overall), F.col(category)]], F.col(overall), F.col(category)).agg(F.grouping(category).alias("is_overall"), *throughput_columns(digits))
 
 
-def failure_streaks(records: DataFrame, keys: list[str], order: list[str], failed: Column) -> DataFrame:
+def failure_streaks(records: DataFrame, keys: list[str], order: list[str], failed: Column, bucket: Column | None = None) -> DataFrame:
     """(keys, streak, length, first, last) of every run of consecutive failures, by gaps and islands; `first` and
-    `last` are the first order column at its ends. Streaks are numbered from 1 inside a key."""
-    seq = Window.partitionBy(*keys).orderBy(*order)
-    marked = records.withColumn("__f", F.coalesce(failed, F.lit(False)))
-    grouped = marked.withColumn("__island", F.sum((~F.col("__f")).cast("int")).over(seq))
-    runs = grouped.filter("__f").groupBy(*keys, "__island").agg(F.count("*").alias("length"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
-    number = Window.partitionBy(*keys).orderBy("__island")
-    return runs.withColumn("streak", F.row_number().over(number).cast("bigint")).drop("__island")
+    `last` are the first order column at its ends. Streaks are numbered from 1 inside a key.
+
+    An island is numbered by the successes before it: a running sum over buckets of the order, since a key may hold any
+    share of the rows.
+    """
+    marked = records.select(*dict.fromkeys([*keys, *order]), F.coalesce(failed, F.lit(False)).alias("__f")).withColumn("__ok", (~F.col("__f")).cast("long"))
+    placed = running_sums(marked, keys, order, F.lit(0) if bucket is None else bucket, "__ok", "__island")
+    runs = placed.filter("__f").groupBy(*keys, "__island").agg(F.count("*").alias("length"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+    numbered = prefix_sums(runs.withColumn("__one", F.lit(1)), keys, "__island", "__one", "__before", 4096)
+    return numbered.withColumn("streak", (F.col("__before") + 1).cast("bigint")).drop("__island", "__one", "__before")
 
 
-def within_budget(records: DataFrame, keys: list[str], order: list[str], seconds: str, budget: float) -> DataFrame:
+def within_budget(records: DataFrame, keys: list[str], order: list[str], seconds: str, budget: float, bucket: Column | None = None) -> DataFrame:
     """Records that begin before the running time of their key has reached `budget`; adds `elapsed` before the record."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("elapsed", F.coalesce(F.sum(F.coalesce(F.col(seconds), F.lit(0.0))).over(before), F.lit(0.0))).filter(F.col("elapsed") < budget)
+    return running_sums(records, keys, order, F.lit(0) if bucket is None else bucket, seconds, "elapsed").filter(F.col("elapsed") < budget)
 
 
 def rank_candidates(scores: DataFrame, name: str, mean: str, has_errors: str, higher_is_better: str) -> DataFrame:

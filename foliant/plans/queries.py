@@ -200,12 +200,12 @@ def q_throughput(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_streaks(spark: SparkSession, d: str) -> DataFrame:
-    runs = telemetry.failure_streaks(load(spark, d, "ocr_results"), ["candidate"], ["ts", "result_id"], F.col("error").isNotNull())
+    runs = telemetry.failure_streaks(load(spark, d, "ocr_results"), ["candidate"], ["ts", "result_id"], F.col("error").isNotNull(), F.date_trunc("hour", "ts"))
     return runs.select("candidate", "streak", "length", "first", "last")
 
 
 def q_budget(spark: SparkSession, d: str) -> DataFrame:
-    inside = telemetry.within_budget(load(spark, d, "ocr_results"), ["candidate"], ["ts", "result_id"], "seconds", 600.0)
+    inside = telemetry.within_budget(load(spark, d, "ocr_results"), ["candidate"], ["ts", "result_id"], "seconds", 600.0, F.date_trunc("hour", "ts"))
     return inside.groupBy("candidate").agg(F.count("*").alias("pages"), F.round(F.max("elapsed"), 3).alias("elapsed"))
 
 

@@ -149,7 +149,9 @@ paged as (
 select doc_id, k as chunk, left(doc_id, 16) || ' pages ' || first_page || '-' || last_page as name, first_page::bigint as first_page, last_page::bigint as last_page,
   len(list_filter(ps, lambda p: p.ref and p.page between first_page and last_page)) > 0 as is_reference, k * 800 as start, md5(text) as digest, length(text) as n_chars from paged""",
     "q_content_key": f"""with {PAGES}
-select doc_id, sha256(string_agg(lpad(page::varchar, 9, '0') || ':' || length(text) || ':' || sha256(text), '' order by page)) as key from pages group by doc_id""",
+select doc_id, sha256(string_agg(lpad(r::varchar, 9, '0') || ':' || k, '' order by r)) as key from (
+  select doc_id, page // 1024 as r, sha256(string_agg(lpad(page::varchar, 9, '0') || ':' || length(text) || ':' || sha256(text), '' order by page)) as k
+  from pages group by doc_id, page // 1024) group by doc_id""",
     "q_split_pages": f"""with {PAGES}
 select doc_id, page::bigint as page, md5(regexp_replace(text, '^[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]+|[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]+$', '', 'g')) as digest from pages""",
     "q_signals": f"""select result_id, case when text is not null then length(s) end as n_solid, case when text is not null then round({GARBAGE}, 6) end as garbage_ratio,
