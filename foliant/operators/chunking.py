@@ -72,3 +72,13 @@ def content_keys(pages: DataFrame, width: int = 1024) -> DataFrame:
     ranges = placed.groupBy("doc_id", "range").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("digest"))
     entry = F.concat(F.lpad(F.col("range").cast("string"), 9, "0"), F.lit(":"), F.col("digest"))
     return ranges.groupBy("doc_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ""), 256).alias("key"))
+
+
+def token_windows(df: DataFrame, key: str, tokens: str, size: int, overlap: int = 32) -> DataFrame:
+    """(key, window, start, tokens): overlapping windows over arrays of tokens, by the same closed form as chunks."""
+    if not 0 <= overlap < size:
+        raise ValueError(f"need 0 <= overlap < size, got {overlap} and {size}")
+    stride = size - overlap
+    last = F.greatest(F.lit(0), F.ceil((F.size(tokens) - size) / stride)).cast("int")
+    rows = df.filter(F.size(tokens) > 0).select(key, tokens, F.explode(F.sequence(F.lit(0), last)).alias("window"))
+    return rows.select(key, "window", (F.col("window") * stride).alias("start"), F.slice(F.col(tokens), F.col("window") * stride + 1, F.lit(size)).alias(tokens))

@@ -92,3 +92,28 @@ def todo(samples: DataFrame, outputs: DataFrame, failures: DataFrame | None, key
     if failures is None:
         return missing
     return missing.unionByName(samples.join(failures.select(key), key, "left_semi")).dropDuplicates([key])
+
+
+def attempt_ladder(max_tokens: Column, retries: Column) -> Column:
+    """The attempts that may be made for a page: token limits and temperatures, the first one plain, later ones warmer."""
+    step = F.transform(F.sequence(F.lit(0), F.greatest(retries, F.lit(0))), lambda i: F.struct((i + 1).alias("attempt"), max_tokens.alias("max_tokens"), (i * 0.2).alias("temperature")))
+    return step
+
+
+def acceptable(finish_reason: Column, text: Column) -> Column:
+    """Whether an attempt may stand: it ended by itself and is not blank."""
+    return F.coalesce(finish_reason != "length", F.lit(True)) & (F.trim(F.coalesce(text, F.lit(""))) != "")
+
+
+def environmental(code: Column) -> Column:
+    """Whether an exit code points at the machine rather than the document."""
+    return F.coalesce(~code.between(1, 99), F.lit(True))
+
+
+def run_counters(samples: DataFrame, outputs_before: DataFrame, attempts: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(candidate, total, skipped, done, errors, remaining) of one run per candidate."""
+    total = samples.select(key).distinct().agg(F.count("*").alias("total"))
+    before = outputs_before.select("candidate", key).distinct().groupBy("candidate").agg(F.count("*").alias("skipped"))
+    now = attempts.groupBy("candidate").agg(F.sum(F.col("error").isNull().cast("bigint")).alias("done"), F.sum(F.col("error").isNotNull().cast("bigint")).alias("errors"))
+    both = before.join(now, "candidate", "full_outer").na.fill(0, ["skipped", "done", "errors"]).crossJoin(F.broadcast(total))  # one row
+    return both.select("candidate", "total", "skipped", "done", "errors", (F.col("total") - F.col("skipped") - F.col("done") - F.col("errors")).alias("remaining"))
