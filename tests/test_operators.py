@@ -217,3 +217,12 @@ def test_plugins(spark):
         registry.create("reranker", "absent")
     with pytest.raises(NotConfigured):
         registry.create("embedder", "none")("x")
+
+
+def test_salted_join(spark):
+    from foliant.operators.joins import salted_left_join
+
+    left = spark.createDataFrame([("hot", i) for i in range(100)] + [("b", 200), (None, 300), ("none", 400)], "k string, i int")
+    right = spark.createDataFrame([("hot", 1), ("b", 2)], "k string, v int")
+    got = {r.i: r.v for r in salted_left_join(left, right, ["k"], F.col("i")).collect()}
+    assert len(got) == 103 and got[5] == 1 and got[200] == 2 and got[300] is None and got[400] is None
