@@ -105,17 +105,17 @@ def _pieces(rows: DataFrame, key: str, limit: int, overlap: int) -> DataFrame:
     )
     stretches = split.groupBy(key, "stretch").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.flatten(F.collect_list("b"))).alias("b")
-    )
+    ).select(key, "stretch", "lo", "hi", F.col("b.p").alias("p"), F.col("b.c").alias("c"))  # arrays of numbers reach Python as they are
 
     def cut_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for k, stretch, lo, hi, b in zip(f[key], f["stretch"], f["lo"], f["hi"], f["b"]):
-                positions = [x["p"] for x in b]
+            for k, stretch, lo, hi, p, c in zip(f[key], f["stretch"], f["lo"], f["hi"], f["p"], f["c"]):
+                positions = p.tolist()
                 # the first piece repeats the end of the stretch before, from a natural boundary on
                 if stretch and positions and positions[0] < lo + overlap:
                     lo = positions[0]
-                for i, (s, e) in enumerate(cut(lo, hi, positions, [x["c"] for x in b], limit, overlap)):
+                for i, (s, e) in enumerate(cut(lo, hi, positions, c.tolist(), limit, overlap)):
                     out.append((k, stretch, i, s, e))
             yield pd.DataFrame(out, columns=[key, "stretch", "i", "start", "end"])
 
@@ -138,29 +138,27 @@ def split_texts(
         raise ValueError("overlap must be at least 0 and below a third of the limit, a range no shorter than the limit")
     length = F.length(text)
     big = df.filter(F.col(key).isNotNull() & (length > limit)).select(key, F.col(text).alias("__text"))
-    ranges = big.select(
-        key, "__text", F.explode(F.sequence(F.lit(0), F.floor((F.length("__text") - 1) / range_chars).cast("int"))).alias("part")
-    ).select(
-        key,
-        "part",
-        F.least(F.col("part") * range_chars, F.lit(halo)).alias("core"),
-        F.least(F.lit(range_chars), F.length("__text") - F.col("part") * range_chars).cast("long").alias("n_chars"),
-        F.substring("__text", F.greatest(F.col("part") * range_chars - halo, F.lit(0)) + 1, F.lit(range_chars + halo) + F.least(F.col("part") * range_chars, F.lit(halo))).alias("window"),
+    # one pass over a text cuts it into ranges; each takes its halos from its neighbours, the right one long enough for
+    # a piece that begins in the range's last character
+    cores = F.regexp_extract_all("__text", F.lit(f"(?s)(.{{1,{range_chars}}})"), F.lit(1))
+    before = lambda i: F.when(i > 0, F.right(F.element_at("cores", i.cast("int")), F.lit(halo))).otherwise("")
+    after = lambda i: F.when(i + 1 < F.size("cores"), F.left(F.element_at("cores", (i + 2).cast("int")), F.lit(max(halo, limit)))).otherwise("")
+    windows = F.transform(
+        "cores",
+        lambda c, i: F.struct(i.cast("int").alias("part"), F.length(before(i)).alias("core"), F.length(c).cast("long").alias("n_chars"), F.concat(before(i), c, after(i)).alias("window"), (i + 1 == F.size("cores")).alias("last")),
     )
+    ranges = big.select(key, cores.alias("cores")).select(key, F.explode(windows).alias("r")).select(key, "r.*")
 
     def detect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [range_table(w, c, n) for w, c, n in zip(f["window"], f["core"], f["n_chars"])]
-            yield pd.DataFrame({key: f[key], "part": f["part"], "n_chars": f["n_chars"], "anchor": [x[0] for x in found], "positions": [x[1] for x in found], "classes": [x[2] for x in found]})
-
-    tables = ranges.mapInPandas(detect, f"{key} {df.schema[key].dataType.simpleString()}, {TABLE}")
-    # the last range has no anchor before its end
-    last = big.select(key, F.floor((F.length("__text") - 1) / range_chars).cast("int").alias("__last"))
-    tables = tables.join(last, key).withColumn("last", F.col("part") == F.col("__last"))
-    tables = tables.withColumn("anchor", F.when(F.col("last"), F.col("n_chars")).otherwise(F.col("anchor"))).drop("__last")
-    pieces = _pieces(tables, key, limit, overlap)
-    return pieces.join(big, key).select(
-        key, "piece", "start", "end", F.substring("__text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("text")
+            yield pd.DataFrame({key: f[key], "part": f["part"], "n_chars": f["n_chars"], "anchor": [n if z else x[0] for x, n, z in zip(found, f["n_chars"], f["last"])], "positions": [x[1] for x in found], "classes": [x[2] for x in found], "last": f["last"]})
+
+    tables = ranges.mapInPandas(detect, f"{key} {df.schema[key].dataType.simpleString()}, {TABLE}, last boolean")
+    pieces = _pieces(tables, key, limit, overlap).withColumn("part", F.floor(F.col("start") / range_chars).cast("int"))
+    at = F.col("core") + F.col("start") - F.col("part") * range_chars + 1
+    return pieces.join(ranges.select(key, "part", "core", "window"), [key, "part"]).select(
+        key, "piece", "start", "end", F.substring("window", at.cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("text")
     )
 
 
