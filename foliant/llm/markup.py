@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.joins import salted_left_join
+from foliant.tables import materialize
+
 TAG = r"</?[A-Za-z][A-Za-z0-9]{0,19}(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[\w#.-]+))*\s*/?>"
 #: Pieces of markup, each starting with one of the characters of STARTS; the same syntax in Java's and Python's regex.
 PIECES = (
@@ -199,6 +202,8 @@ def clean_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- consensus host paths
 
+#: Hosts whose elected paths are broadcast; with more of them, the pages of a host meet them in parts.
+BROADCAST_HOSTS = 5000
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "sup", "sub", "code", "u", "s", "small", "ref", "mi", "mo", "mn", "font", "abbr"}
 
@@ -289,6 +294,11 @@ def host_paths(pages: DataFrame, key: str, text: str, host: str, least_share: fl
                 out.append((k, h, sorted({x[0] for x in kept}), "\n\n".join(x[3] for x in kept)))
             yield pd.DataFrame(out, columns=[key, "host", "paths", "text"])
 
-    extracted = marked.join(elected, "host", "left").select(key, "host", "text", "elected").mapInPandas(extract, f"{key} {kind}, host string, paths array<string>, text string")
+    elected = materialize(elected)
+    if elected.count() <= BROADCAST_HOSTS:  # at most that many hosts of 1 / least_share paths
+        met = marked.join(F.broadcast(elected), "host", "left")
+    else:
+        met = salted_left_join(marked, elected, ["host"], F.col(key))
+    extracted = met.select(key, "host", "text", "elected").mapInPandas(extract, f"{key} {kind}, host string, paths array<string>, text string")
     plain = rows.filter("not is_page").select(key, "host", F.array(F.lit("")).alias("paths"), F.coalesce("text", F.lit("")).alias("text"))
     return plain.unionByName(extracted)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import capping, leakage, leximin, markup, packing, reading, repetition, scans, splitting, truncation
+from foliant.operators.joins import salted_left_join
 from foliant.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +27,7 @@ def _marked_rows(spark: SparkSession, d: str) -> DataFrame:
 def p1_method(spark: SparkSession, d: str) -> DataFrame:
     """Consensus host paths over both tables; the host is the kind of source that a document came from."""
     kinds = load(spark, d, "manifests").groupBy("doc_id").agg(F.min("source_kind").alias("host"))
-    rows = _marked_rows(spark, d).join(kinds, "doc_id", "left").withColumn("key", F.concat_ws(":", "table_name", "row_id"))
+    rows = salted_left_join(_marked_rows(spark, d).withColumn("key", F.concat_ws(":", "table_name", "row_id")), kinds, ["doc_id"], F.col("key"))
     found = markup.host_paths(rows, "key", "text", "host")
     return found.select(F.split("key", ":")[0].alias("table_name"), F.split("key", ":")[1].cast("bigint").alias("row_id"), "host", "paths", "text")
 

@@ -57,7 +57,9 @@ def test_containers_have_generalised_paths():
     assert found == {"/div.post/p": 8, "/p": 5}
 
 
-def test_host_paths_elect_the_shared_container(spark, with_clashes):
+@pytest.mark.parametrize("broadcast", [5000, 0])
+def test_host_paths_elect_the_shared_container(spark, with_clashes, monkeypatch, broadcast):
+    monkeypatch.setattr("foliant.llm.markup.BROADCAST_HOSTS", broadcast)
     page = lambda i: f'<div class="nav"><a href="#">menu</a></div><div class="body{i}"><p>the article text of page {i}</p></div>'
     rows = [(i, "h", page(i)) for i in range(20)] + [(100, "h", "plain"), (101, None, None), (102, "other", "<p>alone</p>")]
     out = {r.id: r for r in host_paths(with_clashes(spark.createDataFrame(rows, "id int, host string, text string")), "id", "text", "host").collect()}
