@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 
 N = 5
 SHARE = 0.5
-#: One changed word in so many is allowed for when prefixes are sized; a change costs up to N shingles.
-CHANGE_EVERY = 8
+#: At most one changed word in so many makes a passage; prefixes are sized by it, as a change costs up to N shingles.
+CHANGE_WITHIN = 6
 BLOCK = 4000
 GAPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2))
 RESYNC = 4
-CHANGE_WITHIN = 6
 WORD = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"<[^<>\n]{1,200}>|\]\([^()\s]{1,300}\)|\\[a-zA-Z]{2,20}\*?(?=[{\s])|&[a-zA-Z]{2,8};")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +50,7 @@ class Items:
         self.n = np.array([len(w) for w in self.words], dtype="int64")
         self.need = np.maximum(1, np.ceil(self.n * SHARE)).astype("int64")  # words of a passage
         window = np.maximum(1, self.need - N + 1)  # shingles in it
-        self.changes = self.need // CHANGE_EVERY
+        self.changes = self.need // CHANGE_WITHIN
         self.survive = np.maximum(1, window - N * self.changes)
         item, pos, keys = [], [], []
         for i, w in enumerate(self.words):
