@@ -33,6 +33,7 @@ def p1_method(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of every row of both tables."""
     rows = _marked_rows(spark, d).withColumn("key", F.concat_ws(":", "table_name", "row_id"))
     done = markup.clean_texts(rows, "key", "text")
     return done.select(F.split("key", ":")[0].alias("table_name"), F.split("key", ":")[1].cast("bigint").alias("row_id"), "had_markup", "text")
@@ -90,6 +91,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return capping.capped_hits(load(spark, d, "hits"), max_count=4).filter("not kept").select("hit_id")
 
 
+def p5_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The result lists with at most four hits a document; `quality_rank` is the place among those of the document."""
+    kept = capping.capped_hits(load(spark, d, "hits"), max_count=4).filter("kept")
+    return kept.select("question_id", "retriever", "hit_id", "chunk_id", "doc_id", "score", "quality_rank")
+
+
 def p5_share(spark: SparkSession, d: str) -> DataFrame:
     """Lists in which no document keeps more than a fifth of the hits."""
     return capping.capped_hits(load(spark, d, "hits"), max_count=None, max_share=0.2).filter("kept").select("hit_id", "question_id", "retriever", "doc_id", "level", "quality_rank")
@@ -165,7 +172,7 @@ def queries() -> dict[str, Query]:
         p2_shares, p2_found,
         p3_rates, p3_found,
         p4_pieces, p4_found,
-        p5_found, p5_share,
+        p5_found, p5_lists, p5_share,
         p6_repaired, p6_found,
         p7_ranking, p7_found,
         p8_pack, p8_containers,

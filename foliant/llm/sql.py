@@ -11,6 +11,10 @@ SQL: dict[str, str] = {
     "p5_found": f"""with {HITS}
 select hit_id from once
 qualify row_number() over (partition by question_id, retriever, doc_id order by score desc nulls last, hit_id) > 4""",
+    "p5_lists": f"""with {HITS}
+select question_id, retriever, hit_id, chunk_id, doc_id, score,
+  row_number() over (partition by question_id, retriever, doc_id order by score desc nulls last, hit_id) as quality_rank
+from once qualify quality_rank <= 4""",
     "p5_share": f"""with {HITS},
 sizes as (select question_id, retriever, doc_id, count(*) as n from once group by all),
 levels as (select distinct question_id, retriever, unnest(range(1, 200)) as l from sizes),
