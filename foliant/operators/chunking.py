@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import PAGE_BREAK, chunk_name
 from foliant.operators.ranking import prefix_sums
+from foliant.tables import materialize
 
 CHUNK_CHARS, OVERLAP = 900, 100
 
@@ -30,8 +31,11 @@ def chunk_pages(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int =
         "doc_id", F.col("page").cast("bigint").alias("page"), F.concat(F.coalesce("text", F.lit("")), F.lit(PAGE_BREAK)).alias("joined"),
         F.coalesce(F.col("title").rlike("(?i)reference|bibliograph"), F.lit(False)).alias("refs"),
     ).withColumn("size", F.length("joined").cast("bigint"))
-    placed = prefix_sums(sized, ["doc_id"], "page", "size", "begin").withColumn("end", F.col("begin") + F.col("size"))
-    whole = sized.groupBy("doc_id").agg(F.sum("size").alias("total"), F.min("page").alias("page_a"), F.max("page").alias("page_z"))
+    # sizes alone are placed and summed; texts are met once, when they are cut
+    narrow = materialize(sized.select("doc_id", "page", "size"))
+    begins = prefix_sums(narrow, ["doc_id"], "page", "size", "begin").drop("size")
+    placed = sized.join(begins, ["doc_id", "page"]).withColumn("end", F.col("begin") + F.col("size"))
+    whole = narrow.groupBy("doc_id").agg(F.sum("size").alias("total"), F.min("page").alias("page_a"), F.max("page").alias("page_z"))
     last_chunk = F.greatest(F.lit(0), F.ceil((F.col("total") - chunk_chars) / stride)).cast("bigint")
     low = F.greatest(F.lit(0), F.ceil((F.col("begin") - chunk_chars) / stride)).cast("bigint")
     high = F.least(F.floor((F.col("end") - 1) / stride), F.col("last_chunk")).cast("bigint")

@@ -22,7 +22,9 @@ def best_variant(manifests: DataFrame, tiebreak: Sequence[Column]) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], row_id: str) -> DataFrame:
-    """The newest row per key: largest `order` columns, then largest `row_id`; nulls are oldest. Map-side combined."""
+    """The newest row per key: largest `order` columns, then largest `row_id`; nulls are oldest.
+
+    Map-side combined; all columns of `df` travel with the aggregate, so select those that are needed first."""
     rest = [c for c in df.columns if c not in keys]
     rank = F.struct(*order, row_id)
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("__row")).select(*keys, "__row.*")

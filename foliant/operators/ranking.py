@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
+#: Spark's own threshold for limiting groups before a window's shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 def top_per_group(
@@ -19,9 +21,13 @@ def top_per_group(
 ) -> DataFrame:
     """The first `n` rows of each group with their rank (1-based, bigint).
 
-    `n` may be a column that is constant inside a group. Two stages: the first `n` of every salted part, then the
-    first `n` of those. `order` must be total for a deterministic result; a null or non-positive `n` keeps nothing.
+    For a number up to GROUP_LIMIT the planner itself limits each group in every task before the shuffle. Otherwise, and
+    where `n` is a column (constant inside a group), two stages do: the first `n` of every salted part, then the first
+    `n` of those. `order` must be total for a deterministic result; a null or non-positive `n` keeps nothing.
     """
+    if isinstance(n, int) and n <= GROUP_LIMIT:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("bigint"))
     if not isinstance(n, int):
         df, n = df.withColumn("__n", n), F.col("__n")
     part = df.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)))

@@ -15,7 +15,7 @@ def _rate(hits: Column) -> Column:
 
 
 def throughput_columns(digits: int = 3) -> list[Column]:
-    """Aggregates over the latest record of each sample: counts, exact quantiles of seconds, speed and its basis,
+    """Aggregates over the latest record of each sample (with `empty`: it has no text): counts, exact quantiles of seconds, speed and its basis,
     peak memory, truncation, retry and empty rates; quantiles keep `digits` digits. Rows with an error count only as errors."""
     ok = F.col("error").isNull()
     seconds = F.when(ok, F.col("seconds"))
@@ -40,7 +40,7 @@ def throughput_columns(digits: int = 3) -> list[Column]:
         _rate(F.col("finish_reason") == "length").alias("truncation_rate"),
         F.when(known > 0, F.round(F.try_divide(F.sum(F.when(ok & (F.col("attempts") > 1), 1.0).otherwise(0.0)), F.sum(F.when(ok, 1.0).otherwise(0.0))), 4)).alias("retried_rate"),
         F.coalesce(known < F.sum(ok.cast("int")), F.lit(False)).alias("lower_bound"),
-        _rate(F.coalesce("text", F.lit("")) == "").alias("empty_rate"),
+        _rate(F.col("empty")).alias("empty_rate"),
     ]
 
 

@@ -43,9 +43,16 @@ def retrieve(hits: DataFrame, chunks: DataFrame, questions: DataFrame, corpus: D
     return best.select("question_id", "context", "chunk_id", "doc_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+TELEMETRY = (
+    "category", "seconds", "gen_tokens", "finish_reason", "attempts", "first_finish_reason", "total_gen_tokens", "gen_seconds", "peak_memory_gb", "error",
+    "ts", "ingested_at", "result_id",
+)
+
+
 def latest_attempts(results: DataFrame) -> DataFrame:
-    """The last record per candidate and sample."""
-    return latest(results, ["candidate", "sample_id"], ["ts", "ingested_at"], "result_id")
+    """The last record per candidate and sample, without its text: `empty` says whether that is missing or empty."""
+    narrow = results.select("candidate", "sample_id", *TELEMETRY, (F.coalesce("text", F.lit("")) == "").alias("empty"))
+    return latest(narrow, ["candidate", "sample_id"], ["ts", "ingested_at"], "result_id")
 
 
 def page_unit() -> Column:
@@ -54,5 +61,6 @@ def page_unit() -> Column:
 
 def page_scores(results: DataFrame, value: Column) -> DataFrame:
     """(candidate, unit, category, value): one score per candidate and page, of its newest attempt."""
-    newest = latest(results.filter("candidate is not null and doc_id is not null and page_no is not null").withColumn("unit", page_unit()), ["candidate", "unit"], ["ts", "ingested_at"], "result_id")
-    return newest.select("candidate", "unit", "category", value.alias("value"))
+    known = results.filter("candidate is not null and doc_id is not null and page_no is not null")
+    narrow = known.select("candidate", page_unit().alias("unit"), "category", value.alias("value"), "ts", "ingested_at", "result_id")
+    return latest(narrow, ["candidate", "unit"], ["ts", "ingested_at"], "result_id").select("candidate", "unit", "category", "value")

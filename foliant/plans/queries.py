@@ -229,12 +229,12 @@ def q_todo(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "ocr_results")
     newest = P.latest_attempts(rows)
     samples = rows.select("sample_id").filter("sample_id is not null").distinct()
-    return telemetry.todo(samples, newest.filter("error is null and text != ''"), newest.filter("error is not null"), "sample_id")
+    return telemetry.todo(samples, newest.filter("error is null and not empty"), newest.filter("error is not null"), "sample_id")
 
 
 def q_events(spark: SparkSession, d: str) -> DataFrame:
     """Event records: newest per user and type with its JSON properties."""
-    newest = corpus.latest(load(spark, d, "events"), ["user_id", "event_type"], ["ts"], "event_id")
+    newest = corpus.latest(load(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "props"), ["user_id", "event_type"], ["ts"], "event_id")
     return newest.select("user_id", "event_type", "event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.device").alias("device"))
 
 
