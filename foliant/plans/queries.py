@@ -153,15 +153,18 @@ def q_complete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_index_diff(spark: SparkSession, d: str) -> DataFrame:
-    """The corpus against the index as it was: what was converted late is new or changed, every tenth key is stale."""
+    """The corpus against the index as it was at a date: what was converted later is new or changed, documents that only
+    chunks are left of are stale."""
     now, then = _two_states(spark, d)
     return index.diff(now, then).select("doc_id", "state")
 
 
 def _two_states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     segments = load(spark, d, "segments")
-    now = chunking.content_keys(P.pages_of(segments.filter(~F.col("doc_id").startswith("0"))))
+    now = chunking.content_keys(P.pages_of(segments))
     then = chunking.content_keys(P.pages_of(segments.filter("converted_at < timestamp_ntz'2024-09-01'")))
+    left = load(spark, d, "chunks").select("doc_id").distinct().join(now.select("doc_id"), "doc_id", "left_anti").withColumn("key", F.lit(None).cast("string"))
+    then = then.unionByName(left)
     return now, then
 
 

@@ -185,11 +185,12 @@ select doc_id, case when coalesce(concat_ws(' ', who, y), '') != '' then concat_
     "q_complete": """select source_kind, count(*) as runs, sum(coalesce(n_pages = source_pages, false)::int)::bigint as complete, sum(n_pages)::bigint as pages, round(sum(total_seconds), 3) as seconds
 from manifests group by source_kind""",
     "q_index_diff": """with pages as (
-  select doc_id, seg_index, arg_min(coalesce(text, ''), segment_id) as text from segments where doc_id is not null and not starts_with(doc_id, '0') group by all),
+  select doc_id, seg_index, arg_min(coalesce(text, ''), segment_id) as text from segments where doc_id is not null and seg_index is not null group by all),
 old as (
-  select doc_id, seg_index, arg_min(coalesce(text, ''), segment_id) as text from segments where doc_id is not null and converted_at < timestamp '2024-09-01' group by all),
+  select doc_id, seg_index, arg_min(coalesce(text, ''), segment_id) as text from segments where doc_id is not null and seg_index is not null and converted_at < timestamp '2024-09-01' group by all),
 a as (select doc_id, list({'i': seg_index, 't': text} order by seg_index) as k from pages group by doc_id),
-b as (select doc_id, list({'i': seg_index, 't': text} order by seg_index) as k from old group by doc_id)
+b as (select doc_id, list({'i': seg_index, 't': text} order by seg_index) as k from old group by doc_id
+  union all select distinct doc_id, null from chunks where doc_id is not null and doc_id not in (select doc_id from a))
 select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.doc_id is null then 'new' when a.doc_id is null then 'stale' when a.k = b.k then 'unchanged' else 'changed' end as state
 from a full join b on a.doc_id = b.doc_id""",
     "q_sample": """with s as (select distinct category, sample_id from ocr_results where sample_id is not null)

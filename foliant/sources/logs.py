@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The lines of the log.
+CANDIDATE, SUMMARY, SUMMED = r"^Candidate: (\S+)\s*$", "Final Summary with", r"^(\S+)\s*: Average Score: "
+AVERAGE = r"^\s+Average Score: [\d.]+% \(\d+% CI: \[([\d.]+)%, ([\d.]+)%\]\) over (\d+) tests\."
+FINAL = r"^\S+\s*: Average Score: (?:FAILED \(errors\)|([\d.]+)%)(?:\s*± ([\d.]+)%)?"
+BY_TYPE = r"^ {4}(\S+)\s*: ([\d.]+)% average pass rate over (\d+)"
+BY_FILE = r"^ {8}(\S+)\s*: [\d.]+% \((\d+)/(\d+) tests\)"
+FAILED, ERROR = r"^\s+\[FAIL\] Test (.+)$", r"^\s+\[ERROR\] (.+)$"
+
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(log, line, text): every line of every file with its number."""
@@ -15,10 +23,10 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 def sections(lines: DataFrame) -> DataFrame:
     """Adds `final` (the line stands in the final summary) and `candidate` (carried forward from the last heading)."""
     upto = Window.partitionBy("log").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    final = F.max(F.col("text").startswith("Final Summary with").cast("int")).over(upto) == 1
+    final = F.max(F.col("text").startswith(SUMMARY).cast("int")).over(upto) == 1
     marked = lines.withColumn("final", final)
-    named = F.regexp_extract("text", r"^Candidate: (\S+)\s*$", 1)
-    summed = F.regexp_extract("text", r"^(\S+)\s*: Average Score: ", 1)
+    named = F.regexp_extract("text", CANDIDATE, 1)
+    summed = F.regexp_extract("text", SUMMED, 1)
     name = F.when(~F.col("final") & (named != ""), named).when(F.col("final") & (summed != ""), summed)
     within = Window.partitionBy("log", "final").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("candidate", F.last(name, ignorenulls=True).over(within))
@@ -32,8 +40,7 @@ def _percent(text, pattern: str, group: int = 1):
 def scores(lines: DataFrame) -> DataFrame:
     """(log, candidate, overall, half_width, ci_low, ci_high, n_tests)."""
     t = F.col("text")
-    average = r"^\s+Average Score: [\d.]+% \(\d+% CI: \[([\d.]+)%, ([\d.]+)%\]\) over (\d+) tests\."
-    final = r"^\S+\s*: Average Score: (?:FAILED \(errors\)|([\d.]+)%)(?:\s*± ([\d.]+)%)?"
+    average, final = AVERAGE, FINAL
     s = sections(lines).filter("candidate is not null")
     in_final = lambda c: F.max(F.when(F.col("final") & t.rlike(final), c))
     in_own = lambda c: F.max(F.when(~F.col("final") & t.rlike(average), c))
@@ -47,7 +54,7 @@ def scores(lines: DataFrame) -> DataFrame:
 def breakdown(lines: DataFrame) -> DataFrame:
     """(log, candidate, kind, name, rate, passed, total): rates by type of test, counts by file."""
     t = F.col("text")
-    kind, file = r"^ {4}(\S+)\s*: ([\d.]+)% average pass rate over (\d+)", r"^ {8}(\S+)\s*: [\d.]+% \((\d+)/(\d+) tests\)"
+    kind, file = BY_TYPE, BY_FILE
     s = sections(lines).filter("final and candidate is not null")
     types = s.filter(t.rlike(kind)).select("log", "candidate", F.lit("type").alias("kind"), F.regexp_extract(t, kind, 1).alias("name"), _percent(t, kind, 2).alias("rate"), F.lit(None).cast("int").alias("passed"), F.regexp_extract(t, kind, 3).cast("int").alias("total"))
     files = s.filter(t.rlike(file)).select("log", "candidate", F.lit("file").alias("kind"), F.regexp_replace(F.regexp_extract(t, file, 1), r"\.jsonl$", "").alias("name"), F.lit(None).cast("double").alias("rate"), F.regexp_extract(t, file, 2).cast("int").alias("passed"), F.regexp_extract(t, file, 3).cast("int").alias("total"))
@@ -57,7 +64,7 @@ def breakdown(lines: DataFrame) -> DataFrame:
 def failed_tests(lines: DataFrame, known: DataFrame) -> DataFrame:
     """(log, candidate, test): ids of failed tests. An id may itself hold " on ": the shortest beginning before one that
     is a known id counts, else the shortest beginning."""
-    rest = F.regexp_extract("text", r"^\s+\[FAIL\] Test (.+)$", 1)
+    rest = F.regexp_extract("text", FAILED, 1)
     s = sections(lines).filter("not final and candidate is not null").select("log", "candidate", "line", rest.alias("rest")).filter("rest != ''")
     words = F.split("rest", " on ")
     cuts = s.select("log", "candidate", "line", F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, F.lit(1), n), " on ").alias("id")))).alias("c")).filter("c.id is not null")
@@ -69,5 +76,5 @@ def failed_tests(lines: DataFrame, known: DataFrame) -> DataFrame:
 
 def errors(lines: DataFrame) -> DataFrame:
     """(log, candidate, message) of error lines."""
-    message = F.regexp_extract("text", r"^\s+\[ERROR\] (.+)$", 1)
+    message = F.regexp_extract("text", ERROR, 1)
     return sections(lines).filter("not final and candidate is not null").select("log", "candidate", message.alias("message")).filter("message != ''")
