@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.normal import clean_transcription, markdown_plain, normalized, tex_plain
-from foliant.operators import chunking, corpus, index, retrieval, scoring, statistics, telemetry
+from foliant.operators import chunking, corpus, evaluation, index, retrieval, scoring, statistics, telemetry
 from foliant.operators.ranking import prefix_sums
 from foliant.plans import pipeline as P
 from foliant.sources.markup import links_outside_code
@@ -339,5 +339,34 @@ def q_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean"), F.sum((F.col("diff") < 0).cast("bigint")).alias("reversed"))
 
 
+def q_subset_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of category means of seconds over documents that were read completely."""
+    whole = load(spark, d, "manifests").filter("n_pages = source_pages").select(F.col("doc_id").alias("cluster"))
+    units = load(spark, d, "ocr_results").select("candidate", "category", F.col("doc_id").alias("cluster"), "seconds")
+    return evaluation.subset_mean(units, whole, ["candidate"], "category", "seconds").withColumn("mean", F.round("mean", 6))
+
+
+def q_extremes(spark: SparkSession, d: str) -> DataFrame:
+    means = load(spark, d, "ocr_results").filter("candidate is not null").groupBy("candidate").agg(F.round(F.avg("seconds"), 6).alias("seconds"))
+    return evaluation.extremes(means, "candidate", "seconds").withColumn("ratio", F.round("ratio", 6))
+
+
+def q_blank(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "ocr_results").select("candidate", evaluation.blank_output(F.col("text")).alias("blank"))
+    return rows.groupBy("candidate", "blank").agg(F.count("*").alias("pages"))
+
+
+def q_first_appearance(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each question's contexts in the order in which they first appear."""
+    return evaluation.by_first_appearance(q_hybrid(spark, d), "question_id", "doc_id", "context")
+
+
+def q_token_windows(spark: SparkSession, d: str) -> DataFrame:
+    words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
+    rows = load(spark, d, "documents").filter("text is not null").select("doc_id", words.alias("words"))
+    made = chunking.token_windows(rows, "doc_id", "words", 256)
+    return made.select("doc_id", "window", "start", F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
+
+
 def queries() -> dict[str, Query]:
     return {n: f for n, f in globals().items() if n.startswith("q_")}

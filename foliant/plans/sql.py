@@ -254,5 +254,21 @@ from k a join k b on a.unit = b.unit and a.candidate < b.candidate group by all"
 }
 
 
+SQL |= {
+    "q_subset_mean": """with g as (
+  select candidate, category, avg(seconds) as m from ocr_results where seconds is not null and doc_id in (select doc_id from manifests where n_pages = source_pages) group by all)
+select candidate, round(avg(m), 6) as mean from g group by candidate""",
+    "q_extremes": """with m as (select candidate, round(avg(seconds), 6) as s from ocr_results where candidate is not null group by all)
+select arg_min(candidate, s) as lowest, min(s) as lowest_value, arg_max(candidate, s) as highest, max(s) as highest_value, round(max(s) / min(s), 6) as ratio from m""",
+    "q_blank": """select candidate, regexp_matches(coalesce(text, ''), '^[\\s\\p{Z}]*$') as blank, count(*) as pages from ocr_results group by all""",
+    "q_first_appearance": f"""with h as ({SQL["q_hybrid"]}),
+f as (select question_id, doc_id, min(context) as c, count(*) as contexts from h group by all)
+select question_id, doc_id, contexts, row_number() over (partition by question_id order by c, doc_id) as number from f""",
+    "q_token_windows": """with t as (select doc_id, list_filter(string_split_regex(text, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+'), lambda w: w != '') as ws from documents where text is not null),
+w as (select doc_id, ws, unnest(range(0, greatest(0, ceil((len(ws) - 256) / 224.0))::bigint + 1)) as k from t where len(ws) > 0)
+select doc_id, k as window, k * 224 as start, len(ws[k * 224 + 1 : k * 224 + 256]) as n, md5(array_to_string(ws[k * 224 + 1 : k * 224 + 256], ' ')) as digest from w""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
