@@ -268,6 +268,34 @@ select question_id, doc_id, contexts, row_number() over (partition by question_i
 w as (select doc_id, ws, unnest(range(0, greatest(0, ceil((len(ws) - 256) / 224.0))::bigint + 1)) as k from t where len(ws) > 0)
 select doc_id, k as window, k * 224 as start, len(ws[k * 224 + 1 : k * 224 + 256]) as n, md5(array_to_string(ws[k * 224 + 1 : k * 224 + 256], ' ')) as digest from w""",
 }
+SQL |= {
+    "q_build_report": f"""with d as ({SQL["q_index_diff"]})
+select count(*) filter (state = 'new') as added, count(*) filter (state = 'changed') as updated, count(*) filter (state = 'unchanged') as unchanged,
+  count(*) filter (state = 'stale') as pruned, (select count(*) from chunks where doc_id in (select doc_id from d where state in ('new', 'changed'))) as chunks_to_embed from d""",
+    "q_stale_scores": """with now as (select candidate, count(*) as records from ocr_results group by all),
+saved as (
+  select candidate, count(error) as errors, count(text) as outputs, count(*) as samples, avg(seconds) as mean, count(*) as records
+  from ocr_results where ingested_at < timestamp '2025-06-01' group by all)
+select n.candidate, coalesce(s.candidate is null or s.errors > 0 or s.outputs < s.samples or s.mean is null or s.records is distinct from n.records, true) as stale
+from now n left join saved s on n.candidate = s.candidate""",
+    "q_separation": f"""with {WEIGHTS},
+o as (select a, b, p_value, p_value <= 0.5 / (count(*) over () - row_number() over (order by p_value, a, b) + 1) as ok from tests),
+h as (select a, b, bool_and(ok) over (order by p_value, a, b rows between unbounded preceding and current row) as rejected from o),
+newest as (
+  select * from ocr_results
+  qualify row_number() over (partition by candidate, sample_id order by ts desc nulls last, ingested_at desc nulls last, result_id desc) = 1),
+means as (select candidate, round(avg(seconds), 6) as mean from newest group by all),
+placed as (select candidate, row_number() over (order by mean is null, mean, candidate) as place from means)
+select p.candidate, p.place, case when p.place = 1 then 'best' when h.rejected then 'apart' when h.rejected is not null then 'tied' else 'not compared' end as verdict
+from placed p left join h on p.place > 1 and least(p.candidate, (select candidate from placed where place = 1)) = h.a
+  and greatest(p.candidate, (select candidate from placed where place = 1)) = h.b""",
+    "q_transcription": """with a as (select result_id, raw_text, regexp_replace(raw_text, '(?s)^\\s*<think>.*?</think>\\s*', '') as t from ocr_results where raw_text is not null),
+b as (select result_id, raw_text, regexp_replace(t, '(?s)^\\s*```[\\w-]*[ \\t]*\\n(.*?)\\n?```\\s*$', '\\1') as t from a),
+c as (select result_id, raw_text, regexp_replace(t, '(?s)^---\\n(?:[a-z_]+:[^\\n]*\\n)+---\\n?', '') as t from b),
+d as (select result_id, raw_text, regexp_replace(t, '(?is)</?(?:page_number|watermark|page)>|<\\|[a-z_]+\\|>', '', 'g') as t from c),
+e as (select result_id, raw_text, regexp_replace(t, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as t from d)
+select result_id, t as text from e where t != raw_text""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
