@@ -6,7 +6,24 @@ HITS = """once as (
   select hit_id, question_id, retriever, chunk_id, doc_id, score from hits
   qualify row_number() over (partition by question_id, retriever, chunk_id order by hit_id) = 1)"""
 
+#: The pieces of markup without look-around, which the SQL engine's patterns lack: what stands before is matched too.
+MARKUP = (
+    r"""</?[A-Za-z][A-Za-z0-9]{0,19}(?:\s+[\w:-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[\w#.-]+))*\s*/?>""",
+    r"<!--|-->|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});",
+    r"(?m)^#{1,6} +\S|\*\*[^\s*][^*\n]{0,199}?\*\*|(?:^|\W)__[^\s_][^\n]{0,199}?__(?:\W|$)|~~[^\s~][^~\n]{0,199}?~~",
+    r"`[^`\n]{1,200}`|```|\[[^\[\]\n]{0,200}\]\([^()\s]{1,300}\)|\[\^[^\]\s]{1,20}\]",
+    r"(?m)^[|:-][ \t:|-]*-{2,}[ \t:|-]*\|[ \t:|-]*$|^\|(?:[^|\n]*\|){2,}[ \t]*$",
+    r"\n> +\S|(?m:^)> +[A-Za-z_]|\n[-*+] +\S|(?m:^)[-*+] +(?:[A-Za-z_]|\[[ xX]\])|\n(?:={3,}|-{3,})[ \t]*(?m:$)",
+    r"\[\[[^\[\]\n]{1,200}\]\]|(?:^|[^'])'{2,3}[^'\s][^'\n]*(?:'[^'\n]+)*'{2,3}|(?m:^)={2,6} [^\n]{1,200} ={2,6}[ \t]*(?m:$)",
+    r"(?m)^\{\||^\|[-}]|^\|[^\n]*\|\||\{\{[^{}\n]{1,200}\}\}|\[https?://[^\]\s]+[^\]\n]*\]|^(?:\*\*+|##+) +\S|\n[*#]*[:;]+ +\S",
+    r"\\[a-zA-Z]{2,}\*?[\[{]|(?:^|[^\w:\\])\\[a-zA-Z]{2,}|\\[%&_#$,;!]|\\\\|(?:^|[^\w$])\$[^\s$][^$\n]{0,199}\$(?:\W|$)|\$\$",
+    r"\\[\[\]()]|``[^`'\n]{1,200}''|\{\\[a-z]+|(?m:^)%+ ?[a-z]",
+)
+HAS_MARKUP = " or ".join("regexp_matches(text, '" + m.replace("'", "''") + "')" for m in MARKUP)
+
 SQL: dict[str, str] = {
+    "p1_found": f"""select 'segments' as table_name, segment_id as row_id from segments where {HAS_MARKUP}
+union all select 'chunks', chunk_id from chunks where {HAS_MARKUP}""",
     "p4_found": "select chunk_id from chunks where length(text) > 900",
     "p5_found": f"""with {HITS}
 select hit_id from once
