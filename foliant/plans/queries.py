@@ -13,7 +13,7 @@ from foliant.operators import chunking, corpus, evaluation, index, retrieval, sc
 from foliant.operators.ranking import prefix_sums
 from foliant.plans import pipeline as P
 from foliant.sources.markup import links_outside_code
-from foliant.tables import load
+from foliant.tables import load, load_even
 
 Query = Callable[[SparkSession, str], DataFrame]
 ASKED = 50  # searches take every row whose id is divisible by this as a query, against all rows
@@ -30,7 +30,7 @@ def q_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def q_bm25(spark: SparkSession, d: str) -> DataFrame:
     asked = load(spark, d, "questions").filter(F.col("question").isNotNull() & (F.col("question_id") % ASKED == 0))
-    return retrieval.bm25_top(load(spark, d, "chunks"), asked, 10).select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.bm25_top(load_even(spark, d, "chunks"), asked, 10).select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def q_rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def q_split_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def q_signals(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return load(spark, d, "ocr_results").select("result_id", T.solid_length(t).alias("n_solid"), F.round(T.garbage_ratio(t), 6).alias("garbage_ratio"), F.round(T.alpha_ratio(t), 6).alias("alpha_ratio"))
+    return load_even(spark, d, "ocr_results").select("result_id", T.solid_length(t).alias("n_solid"), F.round(T.garbage_ratio(t), 6).alias("garbage_ratio"), F.round(T.alpha_ratio(t), 6).alias("alpha_ratio"))
 
 
 def q_routing(spark: SparkSession, d: str) -> DataFrame:
@@ -100,17 +100,17 @@ def q_routing(spark: SparkSession, d: str) -> DataFrame:
     n = F.length(F.coalesce(t, F.lit(""))).cast("bigint")
     scanned = F.when(F.col("category") == "archive_scans", 0.9).otherwise(0.0)
     reasons = T.ocr_reasons(n, scanned, F.coalesce(T.garbage_ratio(t), F.lit(0.0)), F.coalesce(T.alpha_ratio(t), F.lit(0.0)), F.col("attempts") > 2)
-    rows = load(spark, d, "ocr_results").select("result_id", reasons.alias("reasons"))
+    rows = load_even(spark, d, "ocr_results").select("result_id", reasons.alias("reasons"))
     return rows.select("result_id", (F.size("reasons") > 0).alias("needs_ocr"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 def q_clean_text(spark: SparkSession, d: str) -> DataFrame:
     clean = T.clean_text_layer(F.col("text"))
-    return load(spark, d, "ocr_results").filter("text is not null").select("result_id", F.md5(clean).alias("digest"), F.length(clean).cast("bigint").alias("n_chars"))
+    return load_even(spark, d, "ocr_results").filter("text is not null").select("result_id", F.md5(clean).alias("digest"), F.length(clean).cast("bigint").alias("n_chars"))
 
 
 def q_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    words = load(spark, d, "documents").filter("text is not null").select("lang", F.explode(T.vocabulary(F.col("text"))).alias("word"))
+    words = load_even(spark, d, "documents").filter("text is not null").select("lang", F.explode(T.vocabulary(F.col("text"))).alias("word"))
     return words.groupBy("lang").agg(F.countDistinct("word").alias("words"))
 
 
@@ -119,16 +119,16 @@ def q_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_links(spark: SparkSession, d: str) -> DataFrame:
-    return links_outside_code(load(spark, d, "segments"), "segment_id", "text")
+    return links_outside_code(load_even(spark, d, "segments"), "segment_id", "text")
 
 
 def q_plain_text(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "segments").select("segment_id", tex_plain(markdown_plain("text")).alias("text"))
+    return load_even(spark, d, "segments").select("segment_id", tex_plain(markdown_plain("text")).alias("text"))
 
 
 def q_transcription(spark: SparkSession, d: str) -> DataFrame:
     """Outputs freed from their wrapping; changed rows only."""
-    done = load(spark, d, "ocr_results").filter("raw_text is not null").select("result_id", "raw_text", clean_transcription(F.col("raw_text")).alias("text"))
+    done = load_even(spark, d, "ocr_results").filter("raw_text is not null").select("result_id", "raw_text", clean_transcription(F.col("raw_text")).alias("text"))
     return done.filter("text != raw_text").select("result_id", "text")
 
 
@@ -267,7 +267,7 @@ def q_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_normalized(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "ocr_results").select("result_id", normalized("text").alias("text"))
+    return load_even(spark, d, "ocr_results").select("result_id", normalized("text").alias("text"))
 
 
 def q_running_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -363,7 +363,7 @@ def q_first_appearance(spark: SparkSession, d: str) -> DataFrame:
 
 def q_token_windows(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    rows = load(spark, d, "documents").filter("text is not null").select("doc_id", words.alias("words"))
+    rows = load_even(spark, d, "documents").filter("text is not null").select("doc_id", words.alias("words"))
     made = chunking.token_windows(rows, "doc_id", "words", 256)
     return made.select("doc_id", "window", "start", F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
 

@@ -13,6 +13,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_even(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """`load` for heavy work on single rows: a table that is read in fewer partitions than there are cores is dealt out
+    evenly, which moves next to nothing; larger tables stay as they lie."""
+    table, cores = load(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir`, or a local one where none is set (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
