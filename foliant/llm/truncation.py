@@ -21,6 +21,7 @@ from foliant.tables import materialize
 #: Widths of the windows in which values pile up, and how many more rows than expected make one a limit.
 WIDTHS = (1, 8, 32)
 LEAST_ROWS, LEAST_RATIO = 8, 5.0
+FIT_PARTITIONS = 32
 #: Share of cut rows away from any limit that is assumed before an ending is looked at.
 BASE_RATE = 0.1
 #: Log odds that an ending gives for a cut.
@@ -73,19 +74,34 @@ def _cdf(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def _cdfs(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function of many values, by Chebyshev fit (relative error below 1.2e-7)."""
+    x = np.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    poly = np.zeros_like(t)
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = poly * t + c
+    tail = 0.5 * t * np.exp(poly - x * x)
+    return np.where(z > 0, 1 - tail, tail)
+
+
 def fit_censored(x: np.ndarray, n: np.ndarray, censored: np.ndarray, rounds: int = 30) -> tuple[float, float]:
     """Mean and deviation of a normal distribution by maximum likelihood, where `n` rows have value `x` and those
     `censored` are only known to be at least it. Expectation maximisation with the moments of the cut-off normal."""
+    used = n > 0
+    x, n, censored = x[used], n[used], censored[used]
     total = n.sum()
     mu = float((n * x).sum() / total)
     sd = max(1e-3, float(np.sqrt((n * (x - mu) ** 2).sum() / total)))
-    for _ in range(rounds if censored.any() else 1):
-        z = (x - mu) / sd
-        density = np.exp(-0.5 * z**2) / math.sqrt(2 * math.pi)
+    if not censored.any():
+        return mu, sd
+    first, second, at = x.copy(), x**2, x[censored]
+    for _ in range(rounds):
+        z = (at - mu) / sd
         tail = np.maximum(1e-12, 0.5 * np.array([math.erfc(v / math.sqrt(2)) for v in z]))
-        hazard = density / tail
-        first = np.where(censored, mu + sd * hazard, x)
-        second = np.where(censored, mu**2 + sd**2 + sd * (x + mu) * hazard, x**2)
+        hazard = np.exp(-0.5 * z**2) / math.sqrt(2 * math.pi) / tail
+        first[censored] = mu + sd * hazard
+        second[censored] = mu**2 + sd**2 + sd * (at + mu) * hazard
         mu = float((n * first).sum() / total)
         sd = max(1e-3, math.sqrt(max(0.0, float((n * second).sum() / total) - mu**2)))
     return mu, sd
@@ -106,12 +122,12 @@ def find_limits(value: np.ndarray, count: np.ndarray) -> list[tuple[int, int, fl
     taken = np.zeros(len(value), dtype=bool)
     mu, sd = fit_censored(x, count, np.zeros(len(x), dtype=bool))
     for _ in range(8):
-        cdf = np.array([_cdf((math.log(max(0.5, v + 0.5)) - mu) / sd) for v in value])
+        cdf = _cdfs((np.log(np.maximum(0.5, value + 0.5)) - mu) / sd)
         best = (0.0, 0, 0, 0.0)
         for w in WIDTHS:
             j = np.searchsorted(value, value - w, side="right")  # window (v - w, v]
             seen = upto[1:] - upto[j]
-            low = np.array([_cdf((math.log(max(0.5, v - w + 0.5)) - mu) / sd) for v in value])
+            low = _cdfs((np.log(np.maximum(0.5, value - w + 0.5)) - mu) / sd)
             expected = np.maximum(natural.sum() * np.maximum(cdf - low, 0), 0.5)
             # the fit's own roughness: lengths around the window say how dense rows are there as well
             side = 10 * w
@@ -154,7 +170,8 @@ def length_limits(lengths: DataFrame) -> DataFrame:
             rows.append((key[0], key[1], low, high, p, float(1 - inside["closed"].sum() / inside["n"].sum()), mu, sd))
         return pd.DataFrame(rows, columns=["source", "measure", "low", "high", "posterior", "reliability", "mean", "deviation"])
 
-    return histogram.groupBy("source", "measure").applyInPandas(run, "source string, measure string, low long, high long, posterior double, reliability double, mean double, deviation double")
+    # a number of partitions is named, else all these small groups end in one task
+    return histogram.repartition(FIT_PARTITIONS, "source", "measure").groupBy("source", "measure").applyInPandas(run, "source string, measure string, low long, high long, posterior double, reliability double, mean double, deviation double")
 
 
 def truncation(df: DataFrame, key: str, text: str, source: str, measures: Mapping[str, Column]) -> DataFrame:
