@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import capping, leakage, leximin, markup, packing, reading, repetition, scans, splitting, truncation
 from foliant.operators.joins import salted_left_join
-from foliant.tables import load
+from foliant.tables import load, load_even
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,11 +48,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     """The repeated share of every text."""
-    return repetition.measured(load(spark, d, "ocr_results"), "result_id").select("result_id", F.round("share", 6).alias("share"))
+    return repetition.measured(load_even(spark, d, "ocr_results"), "result_id").select("result_id", F.round("share", 6).alias("share"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetitive(load(spark, d, "ocr_results"), "result_id", "text").select("result_id")
+    return repetition.repetitive(load_even(spark, d, "ocr_results"), "result_id", "text").select("result_id")
 
 
 # 3 ------------------------------------------------------------------------------------------------- truncation
@@ -60,7 +60,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _cut(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation(
-        load(spark, d, "ocr_results"), "result_id", "text", "candidate", {"chars": F.length("text"), "bytes": F.octet_length("text"), "tokens": F.col("gen_tokens")}
+        load_even(spark, d, "ocr_results"), "result_id", "text", "candidate", {"chars": F.length("text"), "bytes": F.octet_length("text"), "tokens": F.col("gen_tokens")}
     )
 
 
@@ -106,11 +106,11 @@ def p5_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return scans.defects(load(spark, d, "ocr_results"))
+    return scans.defects(load_even(spark, d, "ocr_results"))
 
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return scans.repaired(load(spark, d, "ocr_results"))
+    return scans.repaired(load_even(spark, d, "ocr_results"))
 
 
 # 7 ------------------------------------------------------------------------------------------------- one ranking
@@ -129,18 +129,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_texts(load(spark, d, "documents"))
+    return packing.pack_texts(load_even(spark, d, "documents"))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.container_report(packing.pack_texts(load(spark, d, "documents")))
+    return packing.container_report(packing.pack_texts(load_even(spark, d, "documents")))
 
 
 # 9 ------------------------------------------------------------------------------------------------- leakage
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+    return leakage.find_leaks(load_even(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading.reading_levels(load(spark, d, "documents"), load(spark, d, "reading_labels"))
+    return reading.reading_levels(load_even(spark, d, "documents"), load(spark, d, "reading_labels"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
