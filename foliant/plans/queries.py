@@ -49,7 +49,8 @@ def q_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def q_english(spark: SparkSession, d: str) -> DataFrame:
     asked = load(spark, d, "questions").withColumn("detected", T.looks_english(F.col("question")))
-    return asked.groupBy("english", "detected").agg(F.count("*").alias("questions"))
+    said = F.coalesce(F.when(F.col("english"), "yes").when(~F.col("english"), "no"), F.lit("unknown"))
+    return asked.withColumn("english", said).groupBy("english", "detected").agg(F.count("*").alias("questions"))
 
 
 def q_stale_hits(spark: SparkSession, d: str) -> DataFrame:

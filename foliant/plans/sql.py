@@ -125,7 +125,7 @@ from scored qualify context <= 5""",
     "q_english": f"""with w as (
   select english, question, list_filter(regexp_extract_all(lower(coalesce(question, '')), '\\p{{L}}+'), lambda x: list_contains({_words(ENGLISH)}, x)) as e,
     list_filter(regexp_extract_all(lower(coalesce(question, '')), '\\p{{L}}+'), lambda x: list_contains({_words(OTHER)}, x)) as o from questions)
-select english, case when question is null then false when len(e) > 0 or len(o) > 0 then len(e) > len(o)
+select case when english then 'yes' when not english then 'no' else 'unknown' end as english, case when question is null then false when len(e) > 0 or len(o) > 0 then len(e) > len(o)
   else not regexp_matches(array_to_string(regexp_extract_all(question, '\\p{{L}}+'), ''), '[^\\x00-\\x7F]') end as detected, count(*) as questions from w group by all""",
     "q_stale_hits": "select retriever, count(*) as hits from hits h where not exists (select 1 from chunks c where c.chunk_id = h.chunk_id) group by all",
     "q_readiness": """with a as (select distinct doc_id from manifests where doc_id is not null), b as (select distinct doc_id from chunks where doc_id is not null)
