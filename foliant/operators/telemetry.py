@@ -14,9 +14,9 @@ def _rate(hits: Column) -> Column:
     return F.round(F.try_divide(F.sum(F.when(ok & F.coalesce(hits, F.lit(False)), 1.0).otherwise(0.0)), F.sum(F.when(ok, 1.0).otherwise(0.0))), 4)
 
 
-def throughput_columns(digits: int = 3) -> list[Column]:
+def throughput_columns(digits: int = 3, total_digits: int = 1) -> list[Column]:
     """Aggregates over the latest record of each sample (with `empty`: it has no text): counts, exact quantiles of seconds, speed and its basis,
-    peak memory, truncation, retry and empty rates; quantiles keep `digits` digits. Rows with an error count only as errors."""
+    peak memory, truncation, retry and empty rates; quantiles keep `digits` digits, totals and speeds `total_digits`. Rows with an error count only as errors."""
     ok = F.col("error").isNull()
     seconds = F.when(ok, F.col("seconds"))
     decode = F.bool_and(F.when(ok, F.col("gen_seconds").isNotNull()))
@@ -32,8 +32,8 @@ def throughput_columns(digits: int = 3) -> list[Column]:
         F.sum((~ok).cast("int")).cast("bigint").alias("errors"),
         F.round(F.percentile(seconds, 0.5), digits).alias("median_s"),
         F.round(F.percentile(seconds, 0.9), digits).alias("p90_s"),
-        F.round(F.coalesce(F.sum(seconds), F.lit(0.0)), 1).alias("total_s"),
-        F.round(speed, 1).alias("gen_tok_s"),
+        F.round(F.coalesce(F.sum(seconds), F.lit(0.0)), total_digits).alias("total_s"),
+        F.round(speed, total_digits).alias("gen_tok_s"),
         F.when(speed.isNotNull(), F.when(decode, "decode").otherwise("end-to-end")).alias("gen_tok_s_basis"),
         F.round(F.max(F.when(ok, F.col("peak_memory_gb"))), 2).alias("peak_memory_gb"),
         _rate(F.coalesce("first_finish_reason", "finish_reason") == "length").alias("first_truncation_rate"),
@@ -44,10 +44,10 @@ def throughput_columns(digits: int = 3) -> list[Column]:
     ]
 
 
-def throughput(records: DataFrame, overall: str, category: str, digits: int = 3) -> DataFrame:
+def throughput(records: DataFrame, overall: str, category: str, digits: int = 3, total_digits: int = 1) -> DataFrame:
     """The aggregates per `overall` and, at a second grain, per `category` in it (null category: overall)."""
     # an "Expand" of only the columns the aggregates read, each grain combined map-side
-    return records.groupingSets([[F.col(overall)], [F.col(overall), F.col(category)]], F.col(overall), F.col(category)).agg(F.grouping(category).alias("is_overall"), *throughput_columns(digits))
+    return records.groupingSets([[F.col(overall)], [F.col(overall), F.col(category)]], F.col(overall), F.col(category)).agg(F.grouping(category).cast("int").alias("is_overall"), *throughput_columns(digits, total_digits))
 
 
 def failure_streaks(records: DataFrame, keys: list[str], order: list[str], failed: Column, bucket: Column | None = None) -> DataFrame:

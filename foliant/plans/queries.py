@@ -200,7 +200,7 @@ def q_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_throughput(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.throughput(P.latest_attempts(load(spark, d, "ocr_results")), "candidate", "category", 6)
+    return telemetry.throughput(P.latest_attempts(load(spark, d, "ocr_results")), "candidate", "category", 6, 6)
 
 
 def q_streaks(spark: SparkSession, d: str) -> DataFrame:

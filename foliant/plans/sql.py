@@ -68,11 +68,11 @@ tests as (
 
 RATES = """count(*) as pages, sum((error is null)::int)::bigint as ok, sum((error is not null)::int)::bigint as errors,
   round(quantile_cont(seconds, 0.5) filter (error is null), 6) as median_s, round(quantile_cont(seconds, 0.9) filter (error is null), 6) as p90_s,
-  round(coalesce(sum(seconds) filter (error is null), 0), 1) as total_s,
+  round(coalesce(sum(seconds) filter (error is null), 0), 6) as total_s,
   round(case when bool_and(gen_seconds is not null) filter (error is null)
     then sum(coalesce(total_gen_tokens, 0)) filter (error is null) / nullif(sum(gen_seconds) filter (error is null), 0)
     else sum(case when coalesce(total_gen_tokens, 0) > 0 then total_gen_tokens else gen_tokens end) filter (error is null and seconds > 0 and gen_tokens is not null)
-      / nullif(sum(seconds) filter (error is null and seconds > 0 and gen_tokens is not null), 0) end, 1) as gen_tok_s,
+      / nullif(sum(seconds) filter (error is null and seconds > 0 and gen_tokens is not null), 0) end, 6) as gen_tok_s,
   case when gen_tok_s is null then null when bool_and(gen_seconds is not null) filter (error is null) then 'decode' else 'end-to-end' end as gen_tok_s_basis,
   round(max(peak_memory_gb) filter (error is null), 2) as peak_memory_gb,
   round(sum((error is null and coalesce(first_finish_reason, finish_reason, '') = 'length')::int) / nullif(sum((error is null)::int), 0), 4) as first_truncation_rate,
@@ -208,7 +208,7 @@ from n a join n b on a.t < b.t""",
 b as (select doc_id, n, sum(n) over (order by place) - n as start from c)
 select hit_id, b.doc_id, (hit_id - start)::bigint as place from hits asof join b on hit_id >= start where hit_id < start + n""",
     "q_latest": f"with {LATEST} select candidate, sample_id, result_id, finish_reason from newest",
-    "q_throughput": f"with {LATEST} select candidate, category, grouping(category) as is_overall, {RATES} from newest group by grouping sets ((candidate), (candidate, category))",
+    "q_throughput": f"with {LATEST} select candidate, category, grouping(category)::int as is_overall, {RATES} from newest group by grouping sets ((candidate), (candidate, category))",
     "q_streaks": """with m as (select candidate, ts, error is not null as f, sum((error is null)::int) over (partition by candidate order by ts, result_id) as island from ocr_results),
 r as (select candidate, island, count(*) as length, min(ts) as first, max(ts) as last from m where f group by all)
 select candidate, row_number() over (partition by candidate order by island) as streak, length, first, last from r""",
