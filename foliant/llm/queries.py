@@ -60,7 +60,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _cut(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation(
-        load_even(spark, d, "ocr_results"), "result_id", "text", "candidate", {"chars": F.length("text"), "bytes": F.octet_length("text"), "tokens": F.col("gen_tokens")}
+        load_even(spark, d, "ocr_results"), "result_id", "text", "candidate", {"chars": F.length("text"), "bytes": F.octet_length("text"), "tokens": F.col("gen_tokens")}, "page_no"
     )
 
 

@@ -31,19 +31,38 @@ EVIDENCE = {"mark": 7.0, "broken": 6.0, "open": 4.0, "standalone": -3.0, "closed
 # ---------------------------------------------------------------------------------------------- endings
 
 
-def ending(text: Column) -> Column:
+def _roman(n: Column) -> Column:
+    """`n` from 1 to 399 as a Roman numeral in small letters, else null."""
+    digits = [("", "c", "cc", "ccc"), ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"), ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")]
+    places = [F.get(F.array(*(F.lit(x) for x in d)), (F.floor(n / 10**k) % 10).cast("int")) for k, d in zip((2, 1, 0), digits)]
+    return F.when(n.between(1, 399), F.concat(*places))
+
+
+def ending(text: Column, page: Column | None = None) -> Column:
     """Kind of a text's end: mark, broken, open, standalone, closed; null for null, empty and blank texts.
 
     mark: an ellipsis, a note like [truncated] or a broken character; broken: an unclosed bracket, tag, entity, command,
     number or table row; closed: final punctuation, a whole table row, a page number; standalone: a heading, caption,
     list item or formula that needs no punctuation; open: words without any of these.
+
+    A last line is a page number if it gives `page` in digits, misread digits or Roman numerals, or if it is a well-formed
+    number after a finished line, a blank one, or between two dashes or brackets. Letters alone that give the page after
+    an unfinished line may be the start of a word as well: standalone.
     """
     t = F.regexp_replace(text, r"(?U)\s+$", "")
     last = F.trim(F.substring_index(t, "\n", -1))
     two = F.substring_index(t, "\n", -2)
     apart = ~t.contains("\n") | F.trim(F.substring_index(two, "\n", 1)).isin("")
     lines_in_block = F.substring_index(F.regexp_replace(t, r"\n[ \t]*\n", "\u0001"), "\u0001", -1)
-    number = r"[-–—(\[* ]*(?:[0-9lIoO|]{1,4}|[ivxlIVXL]{1,7})[-–—)\]* .]*"
+    before = F.trim(F.substring_index(two, "\n", 1))
+    proper = apart | before.rlike(r"[.!?:;。！？][\"'”’»)\]]*$|\|$")
+    number = F.regexp_extract(last, r"^[-–—(\[* ]*([0-9lIoO|]{1,4}|[ivxlIVXL]{1,7})[-–—)\]* .]*$", 1)
+    is_number = (number != "") & ~last.rlike(r"^[(\[][^)\]]*$") & ~two.rlike(r"^\[\d+\] [^\n]*\n\[\d+\]$")
+    place = (F.lit(None) if page is None else page).cast("int")
+    digits, roman = F.translate(number, "lI|Oo", "11100").try_cast("int").eqNullSafe(place) & place.isNotNull(), F.lower(number).eqNullSafe(_roman(place)) & place.isNotNull()
+    formed = number.rlike(r"[0-9]|^[ivx]$|^(?=..)(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})$|^(?=..)(?:XL|L?X{0,3})(?:IX|IV|V?I{0,3})$")
+    framed = last.rlike(r"^(?:\(.*\)|\[.*\]|[-–—*].*[-–—*])$")
+    numbered = digits & number.rlike("[0-9]") | roman & (F.length(number) > 1) | framed & formed | proper & (digits | roman | formed)
     named = r"(?i)(?:page|seite|página|pág\.?|p\.|s\.) *[0-9lioé]{1,5}(?: *(?:of|von|de|sur|/) *[0-9lio]{1,5})?"
     enumerated = r"(?:\(?[0-9]{1,3}[.)]|\([a-zA-Z]{1,4}\)|[a-z]\)|[-•*–+]) +\S.*"
     caption = r"(?:Fig|Tab|Abb|Figure|Table|Tabelle|Abbildung|Tableau|Tabla|Figura)\.? *[0-9]+[.]? +[^\s:].*|[0-9]{1,3}(?:\.[0-9]{1,3})*\.? +\p{Lu}.*|#{1,6} +.*"
@@ -52,7 +71,8 @@ def ending(text: Column) -> Column:
     return (
         F.when(text.isNull() | t.isin(""), F.lit(None).cast("string"))
         .when(t.rlike(r"(?:\.\.\.|…|�)$|(?i)[\[(](?:truncated|more|cut|continued|\.\.\.|…)[\])]$"), "mark")
-        .when(last.rlike(r"^" + named + r"$") | last.rlike(r"^" + number + r"$") & ~two.rlike(r"^\[\d+\] [^\n]*\n\[\d+\]$"), "closed")
+        .when(last.rlike(r"^" + named + r"$") & (last.rlike("[0-9]") | proper) | is_number & numbered, "closed")
+        .when(is_number & (digits | roman), "standalone")
         .when(last.rlike(r"^\|.*\|$"), "closed")
         .when(last.rlike(r"^\||\|[^|]{0,12}$"), "broken")
         .when(last.rlike(r"<[/a-zA-Z][^<>]{0,20}$|&#?[a-zA-Z0-9]{0,6}$|\\[a-zA-Z]*\{?$|[(\[{]$|\([^()\s][^()]{0,40}$|(?:^|\s)0[.,]$|[\p{L}\d][-¬]$"), "broken")
@@ -174,7 +194,7 @@ def length_limits(lengths: DataFrame) -> DataFrame:
     return histogram.repartition(FIT_PARTITIONS, "source", "measure").groupBy("source", "measure").applyInPandas(run, "source string, measure string, low long, high long, posterior double, reliability double, mean double, deviation double")
 
 
-def truncation(df: DataFrame, key: str, text: str, source: str, measures: Mapping[str, Column]) -> DataFrame:
+def truncation(df: DataFrame, key: str, text: str, source: str, measures: Mapping[str, Column], page: str | None = None) -> DataFrame:
     """(key, source, ending, censored, score, truncated) of every row with a text that is not blank.
 
     `measures` name the lengths that may be limited, as integer expressions over `df`; null ones are ignored. `censored`
@@ -182,7 +202,7 @@ def truncation(df: DataFrame, key: str, text: str, source: str, measures: Mappin
     `score` its log odds plus the ending's evidence; a row is truncated where that is above 0. Null sources form one.
     """
     names = list(measures)
-    rows = df.select(key, F.coalesce(F.col(source).cast("string"), F.lit("?")).alias("source"), ending(F.col(text)).alias("ending"), *(c.cast("long").alias(f"__{m}") for m, c in measures.items())).filter("ending is not null")
+    rows = df.select(key, F.coalesce(F.col(source).cast("string"), F.lit("?")).alias("source"), ending(F.col(text), F.col(page) if page else None).alias("ending"), *(c.cast("long").alias(f"__{m}") for m, c in measures.items())).filter("ending is not null")
     rows = materialize(rows)
     melted = rows.select("source", (F.col("ending") == "closed").alias("closed"), F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"__{m}").alias("value")) for m in names))).alias("m")).select("source", "closed", "m.*")
     limits = length_limits(melted).groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high", (F.col("posterior") * F.col("reliability")).alias("p"))).alias("__limits"))

@@ -72,6 +72,16 @@ def test_kinds_of_endings(spark):
     assert [(r.wanted, r.text, r.got) for r in df.collect() if r.wanted != r.got and not (r.text and not r.text.strip())] == []
 
 
+def test_only_page_numbers_are_numbered_endings(spark):
+    rows = [
+        ("standalone", "200 drivers a day. In the\nl", 1), ("open", "| corpus | 0.05 |\n\nL", 7), ("open", "it was led by\nvi", 3), ("open", "a total of\n14", 3), ("open", "as it fell on\npage lo", 3),
+        ("closed", "in the\n17", 17), ("closed", "in the\n1l", 11), ("closed", "in the\nxiv", 14), ("closed", "text.\nl", 1), ("closed", "text.\n\n1904", 5), ("closed", "text.\n12", 5),
+        ("closed", "in the\n- 4 -", 6), ("broken", "by Jasimarx\n(198", 198), ("open", "in the\n14", None), ("closed", "text.\n14", None), ("open", "in the\nxx", 500), ("open", "in the\nvi", 0),
+    ]
+    df = spark.createDataFrame(rows, "wanted string, text string, page int").withColumn("got", ending(F.col("text"), F.col("page")))
+    assert [(r.wanted, r.text, r.page, r.got) for r in df.collect() if r.wanted != r.got] == []
+
+
 def test_censored_fit_finds_the_uncensored_distribution():
     rng = np.random.default_rng(1)
     x = rng.normal(7.3, 0.4, 4000)
