@@ -3,7 +3,8 @@
 Lengths of every source are fitted by right-censored maximum likelihood: a log-normal distribution of which the values
 piled up at a limit are only known to reach it. Limits are found where a narrow window of lengths holds many more rows
 than the fit explains; the excess is the window's censoring posterior. It is combined, in log odds, with the evidence of
-the text's own ending. Everything but the fit of the (source, measure) histograms is an expression.
+the text's own ending, whose weight for proper ends is fitted to how often cuts at random places of the table's texts
+end so. Everything but the fit of the (source, measure) histograms is an expression.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ LEAST_ROWS, LEAST_RATIO = 8, 5.0
 FIT_PARTITIONS = 32
 #: Share of cut rows away from any limit that is assumed before an ending is looked at.
 BASE_RATE = 0.1
-#: Log odds that an ending gives for a cut.
+#: Log odds that an ending gives for a cut. Those of the proper ends only hold until a table's own are fitted, where
+#: they count as PRIOR_ROWS rows with PROPER shares of whole texts; about SAMPLE texts are cut at random places for that.
 EVIDENCE = {"mark": 7.0, "broken": 6.0, "open": 4.0, "standalone": -3.0, "closed": -7.0}
+PROPER = {"standalone": 0.1, "closed": 0.9}
+PRIOR_ROWS, SAMPLE, LEAST_LENGTH = 20, 5_000, 100
 
 
 # ---------------------------------------------------------------------------------------------- endings
@@ -175,11 +179,27 @@ def find_limits(value: np.ndarray, count: np.ndarray) -> list[tuple[int, int, fl
     return out
 
 
-def length_limits(lengths: DataFrame) -> DataFrame:
+def fitted_evidence(ends: Mapping[str, int], cuts: Mapping[str, int]) -> tuple[dict[str, float], float, float]:
+    """EVIDENCE with the weights of proper ends fitted, and the shares of closed ends among whole and among cut texts.
+
+    `ends` counts the endings of a table, of which the proper ones stand for whole texts; `cuts` those of texts that were
+    cut at random places: some of them end with a sentence or a heading too.
+    """
+    out, whole, cut = dict(EVIDENCE), {}, {}
+    n, m = sum(ends.get(k, 0) for k in PROPER), sum(cuts.values())
+    for k, share in PROPER.items():
+        whole[k] = (ends.get(k, 0) + PRIOR_ROWS * share) / (n + PRIOR_ROWS)
+        cut[k] = (cuts.get(k, 0) + PRIOR_ROWS * share * math.exp(EVIDENCE[k])) / (m + PRIOR_ROWS)
+        out[k] = min(0.0, math.log(cut[k] / whole[k]))
+    return out, whole["closed"], cut["closed"]
+
+
+def length_limits(lengths: DataFrame, whole: float = 1.0, cut: float = 0.0) -> DataFrame:
     """(source, measure, low, high, posterior, reliability, mean, deviation) from `lengths` (source, measure, value, closed).
 
     Only histograms are grouped: one row per source, measure and distinct length, however many rows a source has. The
-    reliability is the share of a window's rows whose text does not end in a closed way.
+    reliability is the share of cut texts among a window's rows, by its share of closed ends: `whole` texts have that
+    share of them, `cut` ones the other.
     """
     histogram = lengths.filter(F.col("value") > 0).groupBy("source", "measure", "value").agg(F.count("*").alias("n"), F.sum(F.col("closed").cast("int")).alias("closed"))
 
@@ -187,7 +207,8 @@ def length_limits(lengths: DataFrame) -> DataFrame:
         rows = []
         for low, high, p, mu, sd in find_limits(f["value"].to_numpy(), f["n"].to_numpy()):
             inside = f[(f["value"] >= low) & (f["value"] <= high)]
-            rows.append((key[0], key[1], low, high, p, float(1 - inside["closed"].sum() / inside["n"].sum()), mu, sd))
+            closed = inside["closed"].sum() / inside["n"].sum()
+            rows.append((key[0], key[1], low, high, p, float(np.clip((whole - closed) / (whole - cut), 0.0, 1.0)) if whole > cut else float(1 - closed), mu, sd))
         return pd.DataFrame(rows, columns=["source", "measure", "low", "high", "posterior", "reliability", "mean", "deviation"])
 
     # a number of partitions is named, else all these small groups end in one task
@@ -200,12 +221,20 @@ def truncation(df: DataFrame, key: str, text: str, source: str, measures: Mappin
     `measures` name the lengths that may be limited, as integer expressions over `df`; null ones are ignored. `censored`
     is the largest posterior of the limits that the row's lengths lie at, times that limit's reliability, or BASE_RATE;
     `score` its log odds plus the ending's evidence; a row is truncated where that is above 0. Null sources form one.
+    An open, broken or marked end is a cut wherever it lies; a proper one is where a limit's posterior outweighs how
+    seldom cuts end so.
     """
     names = list(measures)
     rows = df.select(key, F.coalesce(F.col(source).cast("string"), F.lit("?")).alias("source"), ending(F.col(text), F.col(page) if page else None).alias("ending"), *(c.cast("long").alias(f"__{m}") for m, c in measures.items())).filter("ending is not null")
     rows = materialize(rows)
+    counted = lambda d: {r["ending"]: r["count"] for r in d.groupBy("ending").count().collect()}
+    ends = counted(rows)
+    every, half = max(1, sum(ends.values()) // SAMPLE), F.floor(F.length(text) / 2)
+    drawn = df.filter((F.length(text) >= LEAST_LENGTH) & (F.pmod(F.xxhash64(text), F.lit(every)) == 0))
+    shortened = drawn.select(F.substring(F.col(text), F.lit(1), (half + F.pmod(F.xxhash64(text, F.lit(1)), half)).cast("int")).alias("text"), (F.col(page) if page else F.lit(None)).alias("page"))
+    weights, whole, cut = fitted_evidence(ends, counted(shortened.select(ending(F.col("text"), F.col("page")).alias("ending")).filter("ending is not null")))
     melted = rows.select("source", (F.col("ending") == "closed").alias("closed"), F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"__{m}").alias("value")) for m in names))).alias("m")).select("source", "closed", "m.*")
-    limits = length_limits(melted).groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high", (F.col("posterior") * F.col("reliability")).alias("p"))).alias("__limits"))
+    limits = length_limits(melted, whole, cut).groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high", (F.col("posterior") * F.col("reliability")).alias("p"))).alias("__limits"))
     placed = rows.join(limits, "source", "left")
 
     def at(limit: Column) -> Column:
@@ -216,7 +245,7 @@ def truncation(df: DataFrame, key: str, text: str, source: str, measures: Mappin
 
     censored = F.greatest(F.lit(BASE_RATE), F.coalesce(F.array_max(F.transform("__limits", at)), F.lit(BASE_RATE)))
     evidence = F.lit(None).cast("double")
-    for k, v in EVIDENCE.items():
+    for k, v in weights.items():
         evidence = F.when(F.col("ending") == k, F.lit(v)).otherwise(evidence)
     p = F.least(F.col("censored"), F.lit(0.999))
     return (

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm.repetition import SHARE, STATISTICS, learn_list, list_expression, measured, repeated_share, repetitive, with_statistics
-from foliant.llm.truncation import ending, find_limits, fit_censored, length_limits, truncation, truncation_rates
+from foliant.llm.truncation import EVIDENCE, ending, find_limits, fit_censored, fitted_evidence, length_limits, truncation, truncation_rates
 
 PROSE = (
     "The survey cost less than three hundred coins and was faded enough for workers. In the second year critics found that a camera cannot change a "
@@ -100,6 +100,24 @@ def test_limits_are_found_and_natural_lengths_are_not():
     assert all(p < 0.9 or hi < 1000 for lo, hi, p, _, _ in find_limits(*np.unique(v, return_counts=True))[:1])
 
 
+def test_a_sure_limit_overrules_a_closed_ending(spark):
+    rng = np.random.default_rng(4)
+    rows, story = [], PROSE * 40
+    for source in ("cut", "free"):
+        for n in np.exp(rng.normal(7.3, 0.4, 1500)).astype(int):
+            at = int(rng.integers(0, len(PROSE)))
+            end = story.find(". ", at + n) + 1
+            rows.append((len(rows), source, story[at : at + 1500] if source == "cut" and end - at > 1500 else story[at:end]))
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    by = {r.id: r for r in truncation(df, "id", "text", "source", {"chars": F.length("text")}).collect()}
+    sure = [by[i] for i, s, t in rows if s == "cut" and len(t) == 1500]
+    assert any(r.ending == "closed" for r in sure) and all(r.truncated for r in sure)
+    assert not any(by[i].truncated for i, _, t in rows if len(t) != 1500)
+    weights, whole, cut = fitted_evidence({"closed": 900, "standalone": 100, "open": 50}, {"open": 970, "closed": 20, "standalone": 10})
+    assert -4 < weights["closed"] < -3.5 and weights["open"] == EVIDENCE["open"] and whole > 0.89 and cut < 0.03
+    assert fitted_evidence({}, {})[0] == pytest.approx(EVIDENCE)
+
+
 def test_truncation_combines_limit_and_ending(spark, with_clashes):
     rng = np.random.default_rng(3)
     rows, i = [], 0
