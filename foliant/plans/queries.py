@@ -13,7 +13,7 @@ from foliant.operators import chunking, corpus, evaluation, index, retrieval, sc
 from foliant.operators.ranking import prefix_sums
 from foliant.plans import pipeline as P
 from foliant.sources.markup import links_outside_code
-from foliant.tables import load, load_even
+from foliant.tables import load, load_even, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 ASKED = 50  # searches take every row whose id is divisible by this as a query, against all rows
@@ -329,8 +329,11 @@ def q_separation(spark: SparkSession, d: str) -> DataFrame:
 def q_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Mean of category means of seconds with its interval; documents are the clusters, kinds of them the strata."""
     rows = load(spark, d, "ocr_results").filter("seconds is not null and doc_id is not null and category is not null")
-    cells = rows.withColumn("cluster", F.pmod(F.xxhash64("doc_id"), F.lit(512))).groupBy("candidate", "cluster", "category").agg(F.sum("seconds").alias("s"), F.count("*").alias("n"))
-    return statistics.bootstrap(cells, ["candidate"], "cluster", "category")
+    cells = materialize(rows.withColumn("candidate", F.coalesce("candidate", F.lit("\u0000"))).groupBy("candidate", "doc_id", "category").agg(F.sum("seconds").alias("s"), F.count("*").alias("n")))
+    kinds = cells.groupBy("candidate", "doc_id").agg(F.min("category").alias("kind"))  # a document is of one kind
+    pools = statistics.collapsed_strata(kinds, ["candidate"], "kind").select("candidate", "doc_id", "pool")
+    out = statistics.bootstrap(cells.join(pools, ["candidate", "doc_id"]), ["candidate"], "doc_id", "category", "pool")
+    return out.withColumn("candidate", F.nullif("candidate", F.lit("\u0000")))
 
 
 def q_pairs(spark: SparkSession, d: str) -> DataFrame:

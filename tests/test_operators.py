@@ -198,6 +198,27 @@ def test_bootstrap_and_strata(spark):
     assert pools["x", "c3"] == "a" and pools["y", "c1"] == pools["y", "c2"]
 
 
+def test_bootstrap_in_parts_agrees_with_that_in_one_place(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, f"c{i}", f"g{i % 3}", f"p{i % 2}", float(x), 2) for k in ("a", "b") for i, x in enumerate(rng.normal(10, 2, 600) + 40 * np.array([i % 2 for i in range(600)]))]
+    cells = spark.createDataFrame(rows, "k string, cl string, g string, st string, s double, n long")
+    for stratum in ("st", None):
+        one, parts, again = ({r.k: r for r in statistics.bootstrap(cells, ["k"], "cl", "g", stratum, held=h).collect()} for h in (4096, 50, 50))
+        for k in ("a", "b"):
+            assert parts[k].mean == pytest.approx(one[k].mean) and parts[k].n_clusters == one[k].n_clusters == 600
+            assert (parts[k].high - parts[k].low) == pytest.approx(one[k].high - one[k].low, rel=0.1) and parts[k].low == pytest.approx(one[k].low, rel=0.03)
+            assert again[k].low == pytest.approx(parts[k].low) and again[k].high == pytest.approx(parts[k].high)
+
+
+def test_bootstrap_query_draws_documents_within_kinds(spark):
+    from foliant.plans.queries import q_bootstrap
+
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/ocr_results.parquet").filter("seconds is not null and doc_id is not null and category is not null")
+    wanted = {r.candidate: r.n for r in rows.groupBy("candidate").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    assert {r.candidate: r.n_clusters for r in q_bootstrap(spark, d).collect()} == wanted
+
+
 def test_scores(spark):
     df = spark.createDataFrame([(1, "a b c", "a b d"), (2, "", "x"), (3, "x", ""), (4, "**A** b", "a b"), (5, None, None)], "u int, r string, h string")
     out = {x.u: x for x in scoring.score(df, ["u"], "r", "h").collect()}
