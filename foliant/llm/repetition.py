@@ -3,7 +3,7 @@
 Cheap statistics of every text (compression, distinct words, distinct word sequences, repeated lines and sentences)
 feed a learned decision list: sequential covering grows conjunctions of thresholds on labelled statistics, prunes them
 on rows held back, and emits them as one ordered Spark conditional expression. The labels are exact: `repeated_share`
-measures a bounded sample. Rows the list selects are measured exactly as well.
+measures a bounded sample. The list says which rule a repetitive row meets; whether it is one, the exact share says.
 """
 
 from __future__ import annotations
@@ -251,13 +251,18 @@ def teach(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> list[Rule
 
 
 def repetitive(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
-    """(key, rule, share) of the rows that repeat at least SHARE of their words: the rule of the learned list that
-    selected them and the exact share. Null keys give no rows."""
-    chosen = with_statistics(df.filter(F.col(key).isNotNull()), key, text).withColumn("rule", list_expression(teach(df, key, text, sample))).filter("rule > 0").select(key, "rule", "text")
+    """(key, rule, share) of the rows that repeat at least SHARE of their words: the exact share, and the first rule of
+    the learned list that holds, 0 where none does. The list only names rules: every row is measured, whether or not the
+    sample holds rows like it. Null keys give no rows."""
+    rules = list_expression(teach(df, key, text, sample))
     kind = df.schema[key].dataType.simpleString()
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f[[key, "rule"]].assign(share=[repeated_share(t) for t in f["text"]])
+            f = f.assign(share=[repeated_share(t) for t in f["text"]])
+            f = f[f["share"] >= SHARE].reset_index(drop=True)
+            yield pd.concat([f, pd.DataFrame([statistics(t) for t in f["text"]], columns=list(STATISTICS), index=f.index)], axis=1).drop(columns="text")
 
-    return chosen.mapInPandas(check, f"{key} {kind}, rule int, share double").filter(F.col("share") >= SHARE)
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("text"))
+    found = rows.mapInPandas(check, f"{key} {kind}, share double, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return found.select(key, rules.alias("rule"), "share")

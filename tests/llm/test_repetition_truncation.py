@@ -57,6 +57,12 @@ def test_repetition_with_awkward_rows(spark, with_clashes):
     assert spark.range(1).select(list_expression([]).alias("x")).first().x == 0
 
 
+def test_repetition_that_the_sample_does_not_hold_is_found(spark):
+    rows = [(i, PROSE.replace("team", f"team{i}")) for i in range(400)] + [(1000, "loop again " * 80), (1001, PROSE + PROSE)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert {r.id: r.rule for r in repetitive(df, "id", "text", sample=1).collect()} == {1000: 0, 1001: 0}
+
+
 ENDINGS = {
     "closed": ["It ends.", "He said “so.”", "see Ondeskas et al.", "text.\n- 2 -", "text.\niv", "text.\nPage 2 of l3", "| a | 1 |", "text.\n\n1904", "* * *", "text.\n[3]", "k ≤ √n   (4)", "fell (see x1)."],
     "standalone": ["text.\n\nFig. 3 Sobre la fuente", "text.\n\n6.7 Kopie und Treffer", "text.\n\n1) one thing\n2) two things", "text.\n\nx² + y² = 25"],
