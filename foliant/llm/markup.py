@@ -27,30 +27,30 @@ PIECES = (
     r"<!--|-->",  # comment
     r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});",  # entity
     r"^#{1,6} +\S",  # Markdown from here on: heading
-    r"\*\*(?=[^\s*])[^*\n]{1,200}?\*\*",
-    r"(?<!\w)__(?=[^\s_])[^\n]{1,200}?__(?!\w)",
-    r"~~(?=\S)[^~\n]{1,200}?~~",
-    r"`[^`\n]{1,200}`|```",
-    r"\[[^\[\]\n]{0,200}\]\([^()\s]{1,300}\)",
+    r"\*\*(?=[^\s*])[^*\n]+?\*\*",
+    r"(?<!\w)__(?=[^\s_])[^\n]+?__(?!\w)",
+    r"~~(?=\S)[^~\n]+?~~",
+    r"`[^`\n]+`|```",
+    r"\[[^\[\]\n]*\]\((?=[^()\s])\S*?\)",
     r"\[\^[^\]\s]{1,20}\]",
     r"^[|:-][ \t:|-]*-{2,}[ \t:|-]*\|[ \t:|-]*$",  # table rule
     r"^\|(?:[^|\n]*\|){2,}[ \t]*$",
     r"(?<=\n)> +\S|^> +[^\W\d]",
     r"(?<=\n)[-*+] +\S|^[-*+] +(?:[^\W\d]|\[[ xX]\])",
     r"(?<=\n)(?:={3,}|-{3,})[ \t]*$",
-    r"\[\[[^\[\]\n]{1,200}\]\]",  # wiki from here on
+    r"\[\[[^\[\]\n]+\]\]",  # wiki from here on
     r"(?<!')'{2,3}(?=[^'\s])[^'\n]*(?:'[^'\n]+)*'{2,3}",
-    r"^={2,6} [^\n]{1,200} ={2,6}[ \t]*$",
+    r"^={2,6} [^\n]+ ={2,6}[ \t]*$",
     r"^\{\||^\|[-}]|^\|[^\n]*\|\|",
-    r"\{\{[^{}\n]{1,200}\}\}",
+    r"\{\{[^{}]+\}\}",
     r"\[https?://[^\]\s]+[^\]\n]*\]",
     r"^(?:\*\*+|##+) +\S|(?<=\n)[*#]*[:;]+ +\S",
     r"\\[a-zA-Z]{2,}\*?[\[{]",  # LaTeX from here on
     r"(?<![\w:\\])\\[a-zA-Z]{2,}(?![a-zA-Z])",
     r"\\[%&_#$,;!]|\\\\",
-    r"(?<![\w$])\$(?=[^\s$])[^$\n]{1,200}\$(?!\w)|\$\$",
+    r"(?<![\w$])\$(?=[^\s$])[^$\n]+\$(?!\w)|\$\$",
     r"\\[\[\]()]",
-    r"``[^`'\n]{1,200}''",
+    r"``[^`'\n]+''",
     r"\{\\[a-z]+\b",
     r"^%+ ?[a-z]",
 )
@@ -80,11 +80,16 @@ CODE = re.compile(
 )
 FORMULA = re.compile(
     r"\$\$(?P<a>.+?)\$\$|\\\[(?P<b>.+?)\\\]|\\\((?P<c>.+?)\\\)|<math\b[^>]*>(?P<d>.*?)</math>|\\begin\{(?P<f>equation|align|displaymath)\*?\}(?P<e>.+?)\\end\{(?P=f)\*?\}"
-    r"|(?<![\w$])\$(?=[^\s$])(?P<g>[^$\n]{1,200})\$(?!\w)",
+    r"|(?<![\w$])\$(?=[^\s$])(?P<g>[^$\n]+)\$(?!\w)",
     re.S,
 )
 TABULAR = re.compile(r"\\begin\{tabular\}(?:\{[^{}]*\})?(.*?)\\end\{tabular\}", re.S)
 WIKI_TABLE = re.compile(r"^\{\|[^\n]*\n(.*?)^\|\}[ \t]*$", re.S | re.M)
+#: Where a link leads, with balanced parentheses in it up to ten levels deep.
+TARGET = r"[^()\s]*+"
+for _ in range(10):
+    TARGET = r"[^()\s]*+(?:\(" + TARGET + r"\)[^()\s]*+)*+"
+
 STEPS: tuple[tuple[re.Pattern, str], ...] = tuple(
     (re.compile(p, f), r)
     for p, f, r in (
@@ -110,20 +115,20 @@ STEPS: tuple[tuple[re.Pattern, str], ...] = tuple(
         (r"\{\\[a-z]+\s+([^{}]*)\}", 0, r"\1"),
         (r"\\[a-zA-Z]{2,}\*?\{([^{}]*)\}", 0, r"\1"),
         (r"(?<![\w:\\])\\(?:hline|centering|noindent|newpage|toprule|midrule|bottomrule|maketitle)\b *", 0, ""),
-        (r"``([^`'\n]{1,200})''", 0, r"“\1”"),
+        (r"``([^`'\n]+)''", 0, r"“\1”"),
         (r"(?m)^\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\n?", 0, ""),
-        (r"!?\[([^\[\]\n]{0,200})\]\([^()\s]{1,300}\)", 0, r"\1"),
+        (r"!?\[([^\[\]\n]*)\]\((?=[^()\s])" + TARGET + r"\)", 0, r"\1"),
         (r"\[\^[^\]\s]{1,20}\]:?", 0, ""),
         (r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]", 0, r"\1"),
         (r"\[https?://[^\]\s]+\s*([^\]\n]*)\]", 0, r"\1"),
-        (r"\{\{[^{}\n]{1,200}\}\}", 0, ""),
+        (r"\{\{[^{}]+\}\}", 0, ""),
         (r"(?m)^(?:\*+|[-+]) +(?:\[[ xX]\] +)?", 0, "• "),
         (r"(?m)^#+ +(?=\S)|(?<=\n)[*#]*[:;]+ +(?=\S)", 0, "• "),
         (r"(?:(?<=\n)|\A)> +(?=\D)|(?<=\n)> +", 0, ""),
-        (r"\*\*(?=[^\s*])([^*\n]{1,200}?)\*\*", 0, r"\1"),
-        (r"(?<!\w)__(?=[^\s_])([^\n]{1,200}?)__(?!\w)", 0, r"\1"),
-        (r"~~(?=\S)([^~\n]{1,200}?)~~", 0, r"\1"),
-        (r"`([^`\n]{1,200})`", 0, r"\1"),
+        (r"\*\*(?=[^\s*])([^*\n]+?)\*\*", 0, r"\1"),
+        (r"(?<!\w)__(?=[^\s_])([^\n]+?)__(?!\w)", 0, r"\1"),
+        (r"~~(?=\S)([^~\n]+?)~~", 0, r"\1"),
+        (r"`([^`\n]+)`", 0, r"\1"),
         (r"```[^\n]*\n?", 0, ""),
         (r"'{3}(?=[^'\s])([^\n]*?)'{3}|(?<!')'{2}(?=[^'\s])([^\n]*?)'{2}(?!')", 0, r"\1\2"),
         (TAG, 0, ""),

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm.markup import ANY, clean, clean_texts, containers, has_markup, host_paths
 
@@ -35,6 +36,22 @@ def test_java_and_python_agree(spark):
     assert found == set(range(len(PIECES)))
 
 
+LONG = "so long a passage, " * 30 + "ends"
+LONG_PIECES = {
+    f"a **{LONG}** b": f"a {LONG} b", f"an __{LONG}__ b": f"an {LONG} b", f"~~{LONG}~~": LONG, f"`{LONG}`": LONG, f"[{LONG}](b.md)": LONG, f"[x](https://a.example/{'p/' * 400})": "x",
+    "see [x](https://a.example/a_(b)_(c(d))) y": "see x y", f"[[{LONG}]] x": f"{LONG} x", f"== {LONG} ==": LONG, "a {{cite\n| k = 3\n| t = x\n}} b": "a b", f"a {{{{{LONG}}}}} b": "a b", f"``{LONG}''": f"“{LONG}”",
+}
+
+
+def test_pieces_of_any_length_and_over_lines(spark):
+    texts = [*LONG_PIECES, f"with ${LONG}$ in"]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").filter(has_markup(F.col("text")))
+    assert {r.text for r in found.collect()} == set(texts) and all(re.search(ANY, t) for t in texts)
+    assert {t: clean(t) for t in LONG_PIECES} == LONG_PIECES and "$" not in clean(texts[-1]).replace("$$", "")
+    hard = ["**x " * 3_000, "__x " * 3_000, "[x](" + "(a" * 20_000, "{{x\n" * 3_000, "$x " * 3_001, "[" * 50_000]
+    assert spark.createDataFrame([(t,) for t in hard], "text string").filter(has_markup(F.col("text"))).count() <= len(hard)
+
+
 def test_structure_is_kept():
     text = clean("<h2>Title</h2>\n<p>One &amp; two</p><ul><li>a</li><li>b</li></ul><table><tr><td>x</td><td>1</td></tr></table><pre><code>if a &lt; b:\n    go()</code></pre>")
     assert text == "Title\n\nOne & two\n\n• a\n• b\n\nx\t1\n\n    if a < b:\n        go()"
