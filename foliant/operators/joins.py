@@ -18,3 +18,14 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spr
     """
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [*keys, "__salt"], "left").drop("__salt")
+
+
+#: Rows of the right side up to which a join is told to broadcast it.
+BROADCAST_ROWS = 20_000
+
+
+def small_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`salted_left_join` for a right side that is written already: it is counted, and broadcast up to `most` rows."""
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), [*keys], "left")
+    return salted_left_join(left, right, keys, spread)
