@@ -2,34 +2,46 @@
 
 Lengths of every source are fitted by right-censored maximum likelihood: a log-normal distribution of which the values
 piled up at a limit are only known to reach it. Limits are found where a narrow window of lengths holds many more rows
-than the fit explains; the excess is the window's censoring posterior. It is combined, in log odds, with the evidence of
-the text's own ending, whose weight for proper ends is fitted to how often cuts at random places of the table's texts
-end so. Everything but the fit of the (source, measure) histograms is an expression.
+than the fit explains; the excess is the window's censoring posterior. Expectation maximisation over the counts of
+endings inside and outside those windows then fits how cut and whole texts end, and how many rows of every window and
+of every source are cut; the censoring posteriors are its prior, cuts at random places of whole texts its examples. A
+row is truncated where the posterior of its place and its ending together exceeds one half. Only the fits of histograms
+and of small count tables run in Python, everything else is an expression.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.joins import small_left_join
 from foliant.tables import materialize
 
 #: Widths of the windows in which values pile up, and how many more rows than expected make one a limit.
 WIDTHS = (1, 8, 32)
 LEAST_ROWS, LEAST_RATIO = 8, 5.0
 FIT_PARTITIONS = 32
-#: Share of cut rows away from any limit that is assumed before an ending is looked at.
-BASE_RATE = 0.1
-#: Log odds that an ending gives for a cut. Those of the proper ends only hold until a table's own are fitted, where
-#: they count as PRIOR_ROWS rows with PROPER shares of whole texts; about SAMPLE texts are cut at random places for that.
-EVIDENCE = {"mark": 7.0, "broken": 6.0, "open": 4.0, "standalone": -3.0, "closed": -7.0}
-PROPER = {"standalone": 0.1, "closed": 0.9}
-PRIOR_ROWS, SAMPLE, LEAST_LENGTH = 20, 5_000, 100
+ENDINGS = ("mark", "broken", "open", "standalone", "closed")
+#: How whole and cut texts are believed to end before any is counted: shares that count as PRIOR_ROWS rows each. Whole
+#: texts end with a mark, broken or open no more often than WHOLE says, whatever is counted.
+WHOLE = (0.0001, 0.0001, 0.0001, 0.0997, 0.9)
+CUT = (0.05, 0.15, 0.74, 0.04, 0.02)
+PRIOR_ROWS = 50
+#: Rows that all texts cut at random places count as together.
+DRAWN_ROWS = 200
+#: Rows that a window's censoring posterior, or the rate of all sources, counts as beside a place's own rows.
+BELIEF = 20
+#: Share of cut rows away from any limit that the fit starts from, and its rounds.
+BASE_RATE, ROUNDS = 0.05, 200
+#: About so many whole texts of at least LEAST_LENGTH characters, drawn by a hash, are cut at random places.
+SAMPLE, LEAST_LENGTH = 5_000, 100
+#: Lines before the last one that are looked at to tell a list.
+LIST_LINES = 40
 
 
 # ---------------------------------------------------------------------------------------------- endings
@@ -42,6 +54,10 @@ def _roman(n: Column) -> Column:
     return F.when(n.between(1, 399), F.concat(*places))
 
 
+#: The characters that Unicode counts as white space.
+BLANKS = " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def ending(text: Column, page: Column | None = None) -> Column:
     """Kind of a text's end: mark, broken, open, standalone, closed; null for null, empty and blank texts.
 
@@ -53,11 +69,13 @@ def ending(text: Column, page: Column | None = None) -> Column:
     number after a finished line, a blank one, or between two dashes or brackets. Letters alone that give the page after
     an unfinished line may be the start of a word as well: standalone.
     """
-    t = F.regexp_replace(text, r"(?U)\s+$", "")
+    # all that is looked at are whole lines at the end, so no pattern runs over the text before them
+    t = F.substring_index(F.rtrim(text, F.lit(BLANKS)), "\n", -LIST_LINES)
     last = F.trim(F.substring_index(t, "\n", -1))
     two = F.substring_index(t, "\n", -2)
     apart = ~t.contains("\n") | F.trim(F.substring_index(two, "\n", 1)).isin("")
     lines_in_block = F.substring_index(F.regexp_replace(t, r"\n[ \t]*\n", "\u0001"), "\u0001", -1)
+    end = F.right(last, F.lit(80))
     before = F.trim(F.substring_index(two, "\n", 1))
     proper = apart | before.rlike(r"[.!?:;。！？][\"'”’»)\]]*$|\|$")
     number = F.regexp_extract(last, r"^[-–—(\[* ]*([0-9lIoO|]{1,4}|[ivxlIVXL]{1,7})[-–—)\]* .]*$", 1)
@@ -72,19 +90,20 @@ def ending(text: Column, page: Column | None = None) -> Column:
     caption = r"(?:Fig|Tab|Abb|Figure|Table|Tabelle|Abbildung|Tableau|Tabla|Figura)\.? *[0-9]+[.]? +[^\s:].*|[0-9]{1,3}(?:\.[0-9]{1,3})*\.? +\p{Lu}.*|#{1,6} +.*"
     formula = r".{0,30}[=≤≥≠≈∑∫√].{0,30}"
     listed = lines_in_block.rlike(r"^(?:(?:\(?[0-9]{1,3}[.)]|\([a-zA-Z]{1,4}\)|[-•*–+]) +[^\n]*\n?)+$")
+    sentences = last.rlike(r"\p{L}{3}[.!?] +\p{L}")  # a line of several needs a stop after the last
     return (
-        F.when(text.isNull() | t.isin(""), F.lit(None).cast("string"))
-        .when(t.rlike(r"(?:\.\.\.|…|�)$|(?i)[\[(](?:truncated|more|cut|continued|\.\.\.|…)[\])]$"), "mark")
+        F.when(text.isNull() | t.isin("") | ~F.coalesce(t.rlike(r"(?U)\S"), F.lit(False)), F.lit(None).cast("string"))
+        .when(end.rlike(r"(?:\.\.\.|…|�)$|(?i)[\[(](?:truncated|more|cut|continued|\.\.\.|…)[\])]$"), "mark")
         .when(last.rlike(r"^" + named + r"$") & (last.rlike("[0-9]") | proper) | is_number & numbered, "closed")
         .when(is_number & (digits | roman), "standalone")
         .when(last.rlike(r"^\|.*\|$"), "closed")
         .when(last.rlike(r"^\||\|[^|]{0,12}$"), "broken")
-        .when(last.rlike(r"<[/a-zA-Z][^<>]{0,20}$|&#?[a-zA-Z0-9]{0,6}$|\\[a-zA-Z]*\{?$|[(\[{]$|\([^()\s][^()]{0,40}$|(?:^|\s)0[.,]$|[\p{L}\d][-¬]$"), "broken")
-        .when(last.rlike(r"(?:[.!?。！？]|[:;])[\"'”’»)\]]*$|[.!?)][\"'”’»\]]*\[\d+\]$|^[-*_= ]{3,}$"), "closed")
+        .when(end.rlike(r"<[/a-zA-Z][^<>]{0,20}$|&#?[a-zA-Z0-9]{0,6}$|\\[a-zA-Z]*\{?$|[(\[{]$|\([^()\s][^()]{0,40}$|(?:^|\s)0[.,]$|[\p{L}\d][-¬]$"), "broken")
+        .when(end.rlike(r"(?:[.!?。！？]|[:;])[\"'”’»)\]]*$|[.!?)][\"'”’»\]]*\[\d+\]$") | last.rlike("^[-*_= ]{3,}$"), "closed")
         .when(last.rlike(r"\(\d+\)$") & last.rlike(formula), "closed")
         .when(apart & last.rlike(r"^" + formula + r"$"), "standalone")
-        .when(apart & last.rlike(r"^(?:" + caption + r")$"), "standalone")
-        .when(listed & last.rlike(r"^" + enumerated + r"$"), "standalone")
+        .when(apart & last.rlike(r"^(?:" + caption + r")$") & ~sentences, "standalone")
+        .when(listed & last.rlike(r"^" + enumerated + r"$") & ~sentences, "standalone")
         .when(two.rlike(r"^\[\d+\] [^\n]*\n\[\d+\]$"), "standalone")
         .when(last.rlike(r"\([^()]*\)$"), "standalone")
         .otherwise("open")
@@ -145,7 +164,7 @@ def find_limits(value: np.ndarray, count: np.ndarray) -> list[tuple[int, int, fl
     upto = np.append(0.0, np.cumsum(count))
     taken = np.zeros(len(value), dtype=bool)
     mu, sd = fit_censored(x, count, np.zeros(len(x), dtype=bool))
-    for _ in range(8):
+    while True:  # every window takes at least one length, so this ends
         cdf = _cdfs((np.log(np.maximum(0.5, value + 0.5)) - mu) / sd)
         best = (0.0, 0, 0, 0.0)
         for w in WIDTHS:
@@ -179,79 +198,114 @@ def find_limits(value: np.ndarray, count: np.ndarray) -> list[tuple[int, int, fl
     return out
 
 
-def fitted_evidence(ends: Mapping[str, int], cuts: Mapping[str, int]) -> tuple[dict[str, float], float, float]:
-    """EVIDENCE with the weights of proper ends fitted, and the shares of closed ends among whole and among cut texts.
+def fit_endings(counts: np.ndarray, prior: np.ndarray, limited: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How texts cut at a limit end, how those cut elsewhere do, how whole ones do, and the cut share of every place, by
+    expectation maximisation.
 
-    `ends` counts the endings of a table, of which the proper ones stand for whole texts; `cuts` those of texts that were
-    cut at random places: some of them end with a sentence or a heading too.
+    `counts` has a row per place with its numbers of ENDINGS, `prior` the place's censoring posterior, `limited` says
+    which places are limits, `drawn` has the endings of texts that were cut at random places.
     """
-    out, whole, cut = dict(EVIDENCE), {}, {}
-    n, m = sum(ends.get(k, 0) for k in PROPER), sum(cuts.values())
-    for k, share in PROPER.items():
-        whole[k] = (ends.get(k, 0) + PRIOR_ROWS * share) / (n + PRIOR_ROWS)
-        cut[k] = (cuts.get(k, 0) + PRIOR_ROWS * share * math.exp(EVIDENCE[k])) / (m + PRIOR_ROWS)
-        out[k] = min(0.0, math.log(cut[k] / whole[k]))
-    return out, whole["closed"], cut["closed"]
-
-
-def length_limits(lengths: DataFrame, whole: float = 1.0, cut: float = 0.0) -> DataFrame:
-    """(source, measure, low, high, posterior, reliability, mean, deviation) from `lengths` (source, measure, value, closed).
-
-    Only histograms are grouped: one row per source, measure and distinct length, however many rows a source has. The
-    reliability is the share of cut texts among a window's rows, by its share of closed ends: `whole` texts have that
-    share of them, `cut` ones the other.
+    believed, most = np.asarray(CUT) * PRIOR_ROWS, np.asarray(WHOLE)
+    known = believed + drawn * (DRAWN_ROWS / max(1.0, drawn.sum()))
+    at, off, whole, rate = known / known.sum(), np.asarray(CUT), most, prior.copy()
+    for _ in range(ROUNDS):
+        a = rate[:, None] * np.where(limited[:, None], at, off)
+        share = counts * a / (a + (1 - rate[:, None]) * whole)
+        at, off = share[limited].sum(0) + known, share[~limited].sum(0) + believed
+        whole = (counts - share).sum(0) + most * PRIOR_ROWS
+        at, off, whole = at / at.sum(), off / off.sum(), whole / whole.sum()
+        whole[:3] = np.minimum(whole[:3], most[:3])
+        whole[3:] *= (1 - whole[:3].sum()) / whole[3:].sum()
+        rate = (share.sum(1) + BELIEF * prior) / (counts.sum(1) + BELIEF)
+    return at, off, whole, rate
+
+
+def cut_rates(counts: np.ndarray, prior: np.ndarray, cut: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The cut share of every place where the shares of endings are known, those of cut texts by place; rows of `counts`
+    are independent."""
+    rate = prior.copy()
+    for _ in range(ROUNDS):
+        a = rate[:, None] * cut
+        rate = ((counts * a / (a + (1 - rate[:, None]) * whole)).sum(1) + BELIEF * prior) / (counts.sum(1) + BELIEF)
+    return rate
+
+
+def length_limits(lengths: DataFrame) -> DataFrame:
+    """(source, measure, low, high, posterior, mean, deviation) from `lengths` (source, measure, value).
+
+    Only histograms are grouped: one row per source, measure and distinct length, however many rows a source has.
     """
-    histogram = lengths.filter(F.col("value") > 0).groupBy("source", "measure", "value").agg(F.count("*").alias("n"), F.sum(F.col("closed").cast("int")).alias("closed"))
+    histogram = lengths.filter(F.col("value") > 0).groupBy("source", "measure", "value").agg(F.count("*").alias("n"))
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for low, high, p, mu, sd in find_limits(f["value"].to_numpy(), f["n"].to_numpy()):
-            inside = f[(f["value"] >= low) & (f["value"] <= high)]
-            closed = inside["closed"].sum() / inside["n"].sum()
-            rows.append((key[0], key[1], low, high, p, float(np.clip((whole - closed) / (whole - cut), 0.0, 1.0)) if whole > cut else float(1 - closed), mu, sd))
-        return pd.DataFrame(rows, columns=["source", "measure", "low", "high", "posterior", "reliability", "mean", "deviation"])
+        found = find_limits(f["value"].to_numpy(), f["n"].to_numpy())
+        return pd.DataFrame([(key[0], key[1], *x) for x in found], columns=["source", "measure", "low", "high", "posterior", "mean", "deviation"])
 
     # a number of partitions is named, else all these small groups end in one task
-    return histogram.repartition(FIT_PARTITIONS, "source", "measure").groupBy("source", "measure").applyInPandas(run, "source string, measure string, low long, high long, posterior double, reliability double, mean double, deviation double")
+    return histogram.repartition(FIT_PARTITIONS, "source", "measure").groupBy("source", "measure").applyInPandas(run, "source string, measure string, low long, high long, posterior double, mean double, deviation double")
+
+
+def _drawn(df: DataFrame, text: str, page: str | None, closed: int) -> np.ndarray:
+    """Endings of about SAMPLE whole texts, cut at random places of their second half."""
+    half = F.floor(F.length(text) / 2)
+    drawn = df.filter((F.length(text) >= LEAST_LENGTH) & (F.pmod(F.xxhash64(text), F.lit(max(1, closed // SAMPLE))) == 0))
+    shortened = drawn.select(F.col(text).alias("whole"), F.substring(F.col(text), F.lit(1), (half + F.pmod(F.xxhash64(text, F.lit(1)), half)).cast("int")).alias("text"), (F.col(page) if page else F.lit(None)).alias("page"))
+    found = shortened.filter(ending(F.col("whole"), F.col("page")) == "closed").select(ending(F.col("text"), F.col("page")).alias("ending")).groupBy("ending").count().collect()
+    n = {r["ending"]: r["count"] for r in found}
+    return np.array([n.get(e, 0) for e in ENDINGS], dtype=float)
 
 
 def truncation(df: DataFrame, key: str, text: str, source: str, measures: Mapping[str, Column], page: str | None = None) -> DataFrame:
-    """(key, source, ending, censored, score, truncated) of every row with a text that is not blank.
+    """(key, source, ending, censored, cut_rate, posterior, truncated, by_ending) of every row with a text that is not blank.
 
-    `measures` name the lengths that may be limited, as integer expressions over `df`; null ones are ignored. `censored`
-    is the largest posterior of the limits that the row's lengths lie at, times that limit's reliability, or BASE_RATE;
-    `score` its log odds plus the ending's evidence; a row is truncated where that is above 0. Null sources form one.
-    An open, broken or marked end is a cut wherever it lies; a proper one is where a limit's posterior outweighs how
-    seldom cuts end so.
+    `measures` name the lengths that may be limited, as integer expressions over `df`; null ones are ignored. A row lies
+    at the limit with the largest censoring posterior of those whose window holds one of its lengths (`censored`), or at
+    none; `cut_rate` is the fitted share of cut rows there, `posterior` that of rows with this ending there. `by_ending`
+    is what the ending says where no length is looked at. Null sources form one.
     """
     names = list(measures)
     rows = df.select(key, F.coalesce(F.col(source).cast("string"), F.lit("?")).alias("source"), ending(F.col(text), F.col(page) if page else None).alias("ending"), *(c.cast("long").alias(f"__{m}") for m, c in measures.items())).filter("ending is not null")
     rows = materialize(rows)
-    counted = lambda d: {r["ending"]: r["count"] for r in d.groupBy("ending").count().collect()}
-    ends = counted(rows)
-    every, half = max(1, sum(ends.values()) // SAMPLE), F.floor(F.length(text) / 2)
-    drawn = df.filter((F.length(text) >= LEAST_LENGTH) & (F.pmod(F.xxhash64(text), F.lit(every)) == 0))
-    shortened = drawn.select(F.substring(F.col(text), F.lit(1), (half + F.pmod(F.xxhash64(text, F.lit(1)), half)).cast("int")).alias("text"), (F.col(page) if page else F.lit(None)).alias("page"))
-    weights, whole, cut = fitted_evidence(ends, counted(shortened.select(ending(F.col("text"), F.col("page")).alias("ending")).filter("ending is not null")))
-    melted = rows.select("source", (F.col("ending") == "closed").alias("closed"), F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"__{m}").alias("value")) for m in names))).alias("m")).select("source", "closed", "m.*")
-    limits = length_limits(melted, whole, cut).groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high", (F.col("posterior") * F.col("reliability")).alias("p"))).alias("__limits"))
-    placed = rows.join(limits, "source", "left")
-
-    def at(limit: Column) -> Column:
+    melted = rows.select("source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"__{m}").alias("value")) for m in names))).alias("m")).select("source", "m.*")
+    limits = materialize(length_limits(melted).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("posterior", "measure", "low", "high"))).alias("__limits")))
+    placed = small_left_join(rows, limits, ["source"], F.col(key))
+
+    def holds(limit: Column) -> Column:
         hit = F.lit(False)
         for m in names:
             hit = hit | ((limit["measure"] == m) & F.coalesce(F.col(f"__{m}").between(limit["low"], limit["high"]), F.lit(False)))
-        return F.when(hit, limit["p"]).otherwise(F.lit(BASE_RATE))
+        return hit
 
-    censored = F.greatest(F.lit(BASE_RATE), F.coalesce(F.array_max(F.transform("__limits", at)), F.lit(BASE_RATE)))
-    evidence = F.lit(None).cast("double")
-    for k, v in weights.items():
-        evidence = F.when(F.col("ending") == k, F.lit(v)).otherwise(evidence)
-    p = F.least(F.col("censored"), F.lit(0.999))
+    # limits are sorted by their posterior, so the last one that holds a length is the row's place
+    hits = F.transform("__limits", lambda x, i: F.when(holds(x), F.struct(x["posterior"].alias("p"), i.alias("i"))))
+    placed = placed.withColumn("__at", F.array_max(F.filter(hits, lambda x: x.isNotNull()))).select(
+        key, "source", "ending", F.coalesce("__at.i", F.lit(-1)).alias("place"), F.col("__at.p").alias("censored")
+    )
+    sums = [F.sum((F.col("ending") == e).cast("long")).alias(e) for e in ENDINGS]
+    cells = materialize(placed.groupBy("source", "place").agg(F.max("censored").alias("censored"), *sums))
+    # for the fit, places of like posterior and like share of closed ends are taken together: a few hundred at most
+    share = F.col("closed") / (F.col("mark") + F.col("broken") + F.col("open") + F.col("standalone") + F.col("closed"))
+    binned = cells.groupBy(F.floor(F.col("censored") * 20).alias("p"), F.floor(share * 20).alias("c")).agg(F.avg("censored").alias("censored"), *(F.sum(e).alias(e) for e in ENDINGS))
+    bins = binned.toPandas().sort_values(["p", "c"])
+    counts = bins[[*ENDINGS]].to_numpy(dtype=float)
+    limited = bins["censored"].notna().to_numpy()
+    at, off, whole, rate = fit_endings(counts, bins["censored"].astype(float).fillna(BASE_RATE).to_numpy(), limited, _drawn(df, text, page, int(bins["closed"].sum())))
+    base = float((rate * counts.sum(1))[~limited].sum() / counts[~limited].sum()) if counts[~limited].sum() else BASE_RATE
+
+    def rated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            p = f["censored"].astype(float)
+            cut = np.where(p.notna().to_numpy()[:, None], at, off)
+            yield f[["source", "place"]].assign(cut_rate=cut_rates(f[[*ENDINGS]].to_numpy(dtype=float), p.fillna(base).to_numpy(), cut, whole))
+
+    rates = materialize(cells.mapInPandas(rated, "source string, place int, cut_rate double"))
+    # how much more often cut texts end so than whole ones
+    ratio = lambda cut: F.element_at(F.create_map(*(F.lit(x) for e, c, w in zip(ENDINGS, cut, whole) for x in (e, float(c / w)))), F.col("ending"))
+    joint = lambda p, r: p * r / (p * r + 1 - p)
     return (
-        placed.withColumn("censored", censored)
-        .withColumn("score", F.log(p / (1 - p)) + evidence)
-        .select(key, "source", "ending", "censored", "score", (F.col("score") > 0).alias("truncated"))
+        small_left_join(placed, rates, ["source", "place"], F.col(key))
+        .withColumn("posterior", joint(F.col("cut_rate"), F.when(F.col("place") < 0, ratio(off)).otherwise(ratio(at))))
+        .select(key, "source", "ending", "censored", "cut_rate", "posterior", (F.col("posterior") > 0.5).alias("truncated"), (joint(F.lit(base), ratio(off)) > 0.5).alias("by_ending"))
     )
 
 

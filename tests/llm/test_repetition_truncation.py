@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm.repetition import SHARE, STATISTICS, learn_list, list_expression, measured, repeated_share, repetitive, with_statistics
-from foliant.llm.truncation import EVIDENCE, ending, find_limits, fit_censored, fitted_evidence, length_limits, truncation, truncation_rates
+from foliant.llm.truncation import cut_rates, ending, find_limits, fit_censored, fit_endings, length_limits, truncation, truncation_rates
 
 PROSE = (
     "The survey cost less than three hundred coins and was faded enough for workers. In the second year critics found that a camera cannot change a "
@@ -119,9 +119,25 @@ def test_a_sure_limit_overrules_a_closed_ending(spark):
     sure = [by[i] for i, s, t in rows if s == "cut" and len(t) == 1500]
     assert any(r.ending == "closed" for r in sure) and all(r.truncated for r in sure)
     assert not any(by[i].truncated for i, _, t in rows if len(t) != 1500)
-    weights, whole, cut = fitted_evidence({"closed": 900, "standalone": 100, "open": 50}, {"open": 970, "closed": 20, "standalone": 10})
-    assert -4 < weights["closed"] < -3.5 and weights["open"] == EVIDENCE["open"] and whole > 0.89 and cut < 0.03
-    assert fitted_evidence({}, {})[0] == pytest.approx(EVIDENCE)
+    assert all(by[i].by_ending is False for i, s, t in rows if s == "cut" and len(t) == 1500 and by[i].ending == "closed")
+
+
+def test_shares_of_endings_and_cut_rates_are_recovered():
+    rng = np.random.default_rng(5)
+    at, whole = np.array([0.02, 0.1, 0.8, 0.05, 0.03]), np.array([0, 0, 0, 0.1, 0.9])
+    true, n = np.array([0.01, 0.97, 0.6]), np.array([20_000, 300, 200])
+    counts = np.array([rng.multinomial(int(m * r), at) + rng.multinomial(int(m * (1 - r)), whole) for m, r in zip(n, true)], dtype=float)
+    limited, prior = np.array([False, True, True]), np.array([0.05, 0.95, 0.9])
+    cut, off, ends, rate = fit_endings(counts, prior, limited, 1000 * at)
+    assert np.abs(rate - true).max() < 0.05 and abs(cut[2] - 0.8) < 0.05 and abs(ends[4] - 0.9) < 0.02 and ends[:3].max() <= 0.0001
+    assert np.allclose(cut_rates(counts[1:], prior[1:], cut, ends), rate[1:], atol=0.01)
+    assert np.isfinite(np.concatenate([*fit_endings(np.zeros((0, 5)), np.zeros(0), np.zeros(0, dtype=bool), np.zeros(5))[:3]])).all()
+
+
+def test_captions_of_several_sentences_need_a_stop(spark):
+    rows = [("open", "Fig. 3 shows the range. The effect of the"), ("standalone", "Fig. 3 On the range"), ("open", "1) one thing. And then the\n2) other things. And so"), ("closed", "x" * 5000 + "\n" + "y.")]
+    df = spark.createDataFrame(rows, "wanted string, text string").withColumn("got", ending(F.col("text")))
+    assert [(r.wanted, r.text, r.got) for r in df.collect() if r.wanted != r.got] == []
 
 
 def test_truncation_combines_limit_and_ending(spark, with_clashes):
@@ -145,4 +161,4 @@ def test_truncation_combines_limit_and_ending(spark, with_clashes):
     assert {r.source for r in truncation_rates(out).collect()} == {"cut", "free", "?"}
     empty = spark.createDataFrame([], "id long, source string, text string, tokens long")
     assert truncation(empty, "id", "text", "source", {"chars": F.length("text")}).count() == 0
-    assert length_limits(spark.createDataFrame([], "source string, measure string, value long, closed boolean")).count() == 0
+    assert length_limits(spark.createDataFrame([], "source string, measure string, value long")).count() == 0
