@@ -1,32 +1,46 @@
 """Problem 9: passages of held-out items inside a corpus.
 
-A prefix-filtered set join on shingles of five words. Half an item in one stretch is a window of its shingles of which
-at least a known number must survive the allowed single-word changes, so at least one of the window's rarest ones must
-be in the document: only those prefix shingles, ordered by their count over the whole corpus, open a candidate pair. A
-pair must then hold as many of the item's shingles as one window needs, close to one diagonal (positional bound) in a
-document long enough (length bound), and is verified by aligning words from its seeds outwards.
-
-The items are the query side. They are broadcast in blocks of a fixed number of items, all corpus rows meet all blocks.
+A prefix-filtered set join. A passage is half an item's words in one stretch, in which at most one word in CHANGE_WITHIN
+is changed, lost or doubled. Items and documents are cut into shingles of five words whose middle word is free, so that
+a change spoils at most four of them; a passage must therefore share a known number of its window's shingles, and at
+least one of the window's rarest ones, ordered by their count over the whole corpus. Those prefix shingles open a pair of
+document and item, the number of shared shingles near one diagonal bounds it, and an alignment of the words inside one
+item-sized window of the document verifies it.
+
+Documents are split into words once. What the pass hands on are (document, place, shingle) rows for shingles that pass a
+filter of fixed size made of all items; all joins that follow see such rows only, so any number of items takes the same
+number of passes. Texts are met again for the documents of bounded pairs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.tables import materialize
+
 N = 5
 SHARE = 0.5
-#: At most one changed word in so many makes a passage; prefixes are sized by it, as a change costs up to N shingles.
+#: At most one changed word in so many makes a passage.
 CHANGE_WITHIN = 6
-BLOCK = 4000
-GAPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2))
-RESYNC = 4
+#: Words left out of a shingle's place in an item, and in documents: its middle word as it is, lost, or doubled.
+OUTER = (0, 1, 3, 4)
+VARIANTS = (OUTER, (0, 1, 2, 3), (0, 1, 4, 5))
+#: Skips in the item and in the document at a change: a changed, lost or doubled word, one of which a wrong character
+#: made two, two that became one, or the two parts of a number. A change of two of the item's words counts twice.
+#: A change is followed by RESYNC equal words, the last one before a passage's edge by EDGE.
+NUMBER = 2
+GAPS = ((1, 1), (1, 0), (0, 1), (1, 2), (2, 1), (2, 2), (2, 0), (0, 2))
+RESYNC, EDGE = 3, 2
+#: Bits of the filter of item shingles, in words of 32, and rows of a side up to which a join is told to broadcast it.
+FILTER_BITS, BROADCAST_ROWS = 1 << 25, 500_000
+#: Distinct words whose hashes a worker remembers at a time.
+REMEMBERED = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"<[^<>\n]{1,200}>|\]\([^()\s]{1,300}\)|\\[a-zA-Z]{2,20}\*?(?=[{\s])|&[a-zA-Z]{2,8};")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -39,60 +53,39 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-class Items:
-    """The query side of one block: word ids, shingles, and where they stand in which item."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = ids
-        words = [words_of(t) for t in texts]
-        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws), 1)}
-        self.words = [[self.vocabulary[w] for w in ws] for ws in words]
-        self.n = np.array([len(w) for w in self.words], dtype="int64")
-        self.need = np.maximum(1, np.ceil(self.n * SHARE)).astype("int64")  # words of a passage
-        window = np.maximum(1, self.need - N + 1)  # shingles in it
-        self.changes = self.need // CHANGE_WITHIN
-        self.survive = np.maximum(1, window - N * self.changes)
-        item, pos, keys = [], [], []
-        for i, w in enumerate(self.words):
-            if len(w) >= N:
-                h = shingles(np.array(w, dtype="uint64"))
-                keys.append(h)
-                item.append(np.full(len(h), i))
-                pos.append(np.arange(len(h)))
-        key = np.concatenate(keys) if keys else np.zeros(0, dtype="uint64")
-        item, pos = (np.concatenate(x) if x else np.zeros(0, dtype="int64") for x in (item, pos))
-        order = np.lexsort((pos, item, key))
-        self.at_item, self.at_pos = item[order], pos[order]
-        self.keys, self.begin = np.unique(key[order], return_index=True)
-        self.end = np.append(self.begin[1:], len(order))
-        self.code = np.empty(len(order), dtype="int64")  # shingle number of every entry
-        self.code[:] = np.repeat(np.arange(len(self.keys)), self.end - self.begin)
-        self.prefix = np.ones(len(order), dtype=bool)
-
-    def set_prefix(self, counts: np.ndarray) -> None:
-        """Marks the entries that are among the rarest of some window of their item."""
-        rarity = counts[self.code]
-        self.prefix[:] = False
-        by_item = np.argsort(self.at_item, kind="stable")
-        starts = np.searchsorted(self.at_item[by_item], np.arange(len(self.words) + 1))
-        for i in range(len(self.words)):
-            own = by_item[starts[i] : starts[i + 1]]
-            if not len(own):
-                continue
-            own = own[np.argsort(self.at_pos[own])]
-            size = int(min(len(own), max(1, self.need[i] - N + 1)))
-            take = int(min(size, size - self.survive[i] + 1))
-            windows = np.lib.stride_tricks.sliding_window_view(rarity[own], size)
-            rank = np.argsort(windows, axis=1, kind="stable")[:, : max(1, take)]
-            self.prefix[own[np.unique(rank + np.arange(len(windows))[:, None])]] = True
-
-
-def shingles(ids: np.ndarray) -> np.ndarray:
-    """Hashes of the N-grams of word ids; 0 where one of the words has id 0."""
-    k = len(ids) - N + 1
-    h, known = np.zeros(k, dtype="uint64"), np.ones(k, dtype=bool)
-    for j in range(N):
-        x = ids[j : j + k]
+class WordHashes(dict):
+    """Hashes of words, 63 bits and never 0, remembered while a worker runs. The bit of NUMBER is set in those of numbers."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word) >> 3 << 2 | (NUMBER if word.isdigit() else 0) | 1
+        return h
+
+
+def bounds(n: int) -> tuple[int, int, int]:
+    """Of an item of `n` words: the words of a passage, the changes that may be in it, the shingles that then survive.
+
+    A passage of w words has w - 4 shingles, of which a change spoils at most four; the changes are as many as the
+    density allows and still leave one. Passages of fewer words than a shingle allow none and are one shingle.
+    """
+    need = max(1, -(-n // 2))
+    if need < N:
+        return need, 0, 1
+    changes = min(need // CHANGE_WITHIN, (need - N) // len(OUTER))
+    return need, changes, need - N + 1 - len(OUTER) * changes
+
+
+def combined(ids: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
+    """One hash per place of `ids`, of the words at `offsets` from it; 0 where one of them is missing (0)."""
+    k = len(ids) - offsets[-1]
+    if k <= 0:
+        return np.zeros(0, dtype="uint64")
+    h, known = np.full(k, len(offsets), dtype="uint64"), np.ones(k, dtype=bool)
+    for o in offsets:
+        x = ids[o : o + k]
         h = (h ^ x) * MULTIPLIER
         h ^= h >> np.uint64(29)
         known &= x != 0
@@ -101,155 +94,229 @@ def shingles(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def _probe(items: Items, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words of a batch as ids, each document's first place, and for every place the shingle number or -1."""
-    get, ids, bounds, total = items.vocabulary.get, [], [0], 0
-    for t in texts:
-        w = words_of(t) if t else []
-        ids.append(np.fromiter(map(get, w, repeat(0)), dtype="uint64", count=len(w)))
-        total += len(w) + 1
-        ids.append(np.zeros(1, dtype="uint64"))  # a word of no item parts the documents
-        bounds.append(total)
-    flat = np.concatenate([*ids, np.zeros(N, dtype="uint64")])
-    h = shingles(flat)
-    code = np.full(len(h), -1, dtype="int64")
-    some = np.flatnonzero(h)
-    if len(some) and len(items.keys):
-        found = np.searchsorted(items.keys, h[some])
-        found[found == len(items.keys)] = 0
-        hit = items.keys[found] == h[some]
-        code[some[hit]] = found[hit]
-    return flat, np.array(bounds), code
-
-
-def _grow(item: list[int], doc: list[int], i: int, j: int, step: int) -> tuple[int, int]:
-    """From the places i, j on: the last item place reached, and the number of changes on the way."""
-    n, m, last, changes = len(item), len(doc), i - step, 0
+def item_offsets(need: int) -> tuple[int, ...]:
+    """The shingle of an item: OUTER, or for passages shorter than that all their words."""
+    return OUTER if need >= N else tuple(range(need))
+
+
+def as_long(h: np.ndarray) -> np.ndarray:
+    return h.view("int64")
+
+
+def _grow(item: list[int], doc: list[int], i: int, j: int, step: int) -> tuple[int, list[int]]:
+    """From the places i, j on: the last item place reached, and the item places of the changes on the way."""
+    n, m, last, changes = len(item), len(doc), i - step, []
+
+    def resumed(x: int, y: int) -> int:
+        """Equal words from x, y on, RESYNC at most; those beyond the item's end count as equal."""
+        for k in range(RESYNC):
+            u, v = x + k * step, y + k * step
+            if not 0 <= u < n:
+                return RESYNC if k else 0
+            if not 0 <= v < m or item[u] != doc[v]:
+                return k
+        return RESYNC
+
     while 0 <= i < n and 0 <= j < m:
         if item[i] == doc[j]:
             last, i, j = i, i + step, j + step
             continue
+        far = (0, 0, 0)
         for a, b in GAPS:
-            x, y = i + a * step, j + b * step
-            for k in range(RESYNC):
-                u, v = x + k * step, y + k * step
-                if not 0 <= u < n:
-                    if k == 0:
-                        return last, changes
-                    break
-                if not 0 <= v < m or item[u] != doc[v]:
-                    break
-            else:
+            if (a, b) in ((2, 2), (2, 0), (0, 2)):
+                skipped = item[i : i + a] + doc[j : j + b] if step > 0 else item[max(0, i - a + 1) : i + 1] + doc[max(0, j - b + 1) : j + 1]
+                if not all(x & NUMBER for x in skipped):
+                    continue
+            r = resumed(i + a * step, j + b * step)
+            if r == RESYNC:
+                far = (r, a, b)
                 break
-            if k and not 0 <= u < n:
-                break
-        else:
-            return last, changes
-        changes, i, j = changes + 1, x, y
+            if r >= EDGE and a < 2 and b < 2 and r > far[0]:
+                far = (r, a, b)
+        r, a, b = far
+        if not r:
+            break
+        changes += [i] * (2 if a == 2 or a == 0 and b == 2 else 1)
+        i, j = i + a * step, j + b * step
+        if r < RESYNC:  # the passage's edge: a change with few words after it, and no further
+            last = i + (r - 1) * step
+            break
     return last, changes
 
 
-def longest_stretch(item: list[int], doc: list[int], seeds: list[tuple[int, int]]) -> int:
-    """Most words of the item spanned by one in-order stretch through a seed (place in item, place in document).
+def longest_stretch(item: list[int], doc: list[int], seeds: list[tuple[int, int]], need: int, allowed: int) -> int:
+    """Most words of the item spanned by one in-order stretch through a seed (place in item, place in document), if `need`
+    words of it in one piece hold no more than `allowed` changes; else 0.
 
-    From a seed the alignment grows both ways. At a mismatch it skips up to two words on either side (a changed, lost or
-    doubled word, a number counting as two) if RESYNC words agree after it, or all up to the item's end. A stretch with
-    a change in fewer than CHANGE_WITHIN words on average is other text on the same pattern and does not count.
+    From a seed the alignment grows both ways. At a mismatch it skips what GAPS say if RESYNC words agree after it, or all
+    up to the item's end; the last change before a passage's edge needs EDGE of them.
     """
     best, done = 0, []
     for p, q in seeds:
-        if any(low <= p <= high and abs(q - p - shift) <= 2 * changes for low, high, shift, changes in done):
+        if any(low <= p <= high and abs(q - p - shift) <= slack for low, high, shift, slack in done):
             continue
-        high, c1 = _grow(item, doc, p, q, 1)
-        low, c2 = _grow(item, doc, p - 1, q - 1, -1)
-        done.append((low, high, q - p, c1 + c2))
-        if (c1 + c2) * CHANGE_WITHIN <= high - low + 1:
+        high, after = _grow(item, doc, p, q, 1)
+        low, before = _grow(item, doc, p - 1, q - 1, -1)
+        done.append((low, high, q - p, len(before) + len(after)))
+        changes = sorted(before + after)
+        # the windows worth a look begin at the stretch's start or right after a change
+        starts = [low] + [c + 1 for c in changes]
+        if any(s + need - 1 <= high and sum(s <= c < s + need for c in changes) <= allowed for s in starts):
             best = max(best, high - low + 1)
     return best
 
 
-def find(items: Items, keys: list, texts: list[str]) -> list[tuple]:
-    """(key, item number, words in the stretch) of one batch."""
-    flat, bounds, code = _probe(items, texts)
-    at = np.flatnonzero(code >= 0)
-    if not len(at):
-        return []
-    c = code[at]
-    doc = np.searchsorted(bounds, at, side="right") - 1
-    # documents that hold a prefix shingle of some item, then all shingles of those pairs
-    width = items.end[c] - items.begin[c]
-    entry = np.repeat(items.begin[c] - np.append(0, np.cumsum(width)[:-1]), width) + np.arange(width.sum())
-    place, doc = np.repeat(at, width), np.repeat(doc, width)
-    item = items.at_item[entry]
-    pair = doc * len(items.words) + item
-    unique, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-    opened = np.zeros(len(unique), dtype=bool)
-    opened[inverse[items.prefix[entry]]] = True
-    i = unique % len(items.words)
-    long_enough = np.diff(bounds)[unique // len(items.words)] - 1 >= items.need[i] - items.changes[i]
-    good = opened & long_enough & (count >= items.survive[i])
-    out = []
-    keep = np.flatnonzero(good[inverse])
-    keep = keep[np.argsort(inverse[keep], kind="stable")]
-    for group in np.split(keep, np.flatnonzero(np.diff(inverse[keep])) + 1) if len(keep) else []:
-        k = int(item[group[0]])
-        d = int(doc[group[0]])
-        p, q = items.at_pos[entry[group]], place[group] - bounds[d]
-        # positional bound: enough shingles within the shift that the allowed changes can cause
-        diagonal = np.sort(q - p)
-        s = int(items.survive[k])
-        if (diagonal[s - 1 :] - diagonal[: len(diagonal) - s + 1]).min() > 2 * items.changes[k] + 2:
-            continue
-        spanned = longest_stretch(items.words[k], flat[bounds[d] : bounds[d + 1] - 1].tolist(), list(zip(p.tolist(), q.tolist())))
-        if spanned >= items.need[k]:
-            out.append((keys[d], k, spanned))
-    return out
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+# ---------------------------------------------------------------------------------------------- the join
+
+
+def item_shingles(items: DataFrame) -> DataFrame:
+    """(item, n, pos, shingle, size) of `items` (item, t): the shingles of every item; `size` is the number of its words
+    where passages are shorter than a shingle, else 5."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for f in frames:
+            out = []
+            for i, t in zip(f["item"], f["t"]):
+                ids = np.fromiter(map(known.__getitem__, words_of(t)), dtype="uint64")
+                need = bounds(len(ids))[0]
+                h = combined(ids, item_offsets(need))
+                out.append(pd.DataFrame({"item": i, "n": len(ids), "pos": np.arange(len(h)), "shingle": as_long(h), "size": min(need, N)}))
+            yield pd.concat(out) if out else pd.DataFrame({"item": [], "n": [], "pos": [], "shingle": [], "size": []})
+
+    return items.mapInPandas(run, "item long, n int, pos int, shingle long, size int")
+
+
+def _places(corpus: DataFrame, filter_words: dict[int, int], sizes: list[int]) -> DataFrame:
+    """(doc, place, shingle) of `corpus` (doc, t) for shingles that pass the filter."""
+    bits = np.zeros(FILTER_BITS // 32, dtype="uint32")
+    for w, b in filter_words.items():
+        bits[w] = b & 0xFFFFFFFF
+    shared = corpus.sparkSession.sparkContext.broadcast(bits)  # fixed size
+    kinds = [v for v in VARIANTS if N in sizes] + [tuple(range(s)) for s in sizes if s < N]
+    doc_type = corpus.schema["doc"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, table, space = WordHashes(), shared.value, np.zeros(N + 1, dtype="uint64")
+        for f in frames:
+            ids, starts, total = [], [], 0
+            for t in f["t"]:
+                w = words_of(t)
+                starts.append(total)
+                ids += [np.fromiter(map(known.__getitem__, w), dtype="uint64", count=len(w)), space]  # shingles end with their document
+                total += len(w) + len(space)
+            flat, starts = np.concatenate(ids) if ids else space, np.array(starts)
+            for kind in kinds:
+                h = combined(flat, kind)
+                at = np.flatnonzero((table[(h >> np.uint64(8)) % np.uint64(FILTER_BITS // 32)] >> (h >> np.uint64(3) & np.uint64(31)).astype("uint32")) & 1 & (h != 0))
+                doc = np.searchsorted(starts, at, side="right") - 1
+                yield pd.DataFrame({"doc": f["doc"].to_numpy()[doc], "place": at - starts[doc], "shingle": as_long(h[at])})
+
+    return corpus.mapInPandas(run, f"doc {doc_type}, place int, shingle long")
+
+
+def prefixes(shingles: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item, shingle): of every window of an item that a passage may be, as many of its rarest shingles as may be spoiled
+    and one more. One item's shingles are brought together, never more."""
+    ranked = shingles.join(counts.hint("merge"), "shingle", "left")
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("pos")
+        need, changes, survive = bounds(int(f["n"].iloc[0]))
+        window = min(len(f), max(1, need - N + 1))
+        rarity = f["seen"].fillna(0).to_numpy()
+        order = np.argsort(np.lib.stride_tricks.sliding_window_view(rarity, window), axis=1, kind="stable")[:, : window - survive + 1]
+        kept = np.unique(order + np.arange(len(order))[:, None])
+        return pd.DataFrame({"item": key[0], "shingle": f["shingle"].to_numpy()[kept]})
+
+    return ranked.groupBy("item").applyInPandas(run, "item long, shingle long").distinct()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table that is written already, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def candidates(places: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(doc, item, low): pairs that share a prefix shingle and, within one of the diagonals that a passage's changes can
+    reach, as many shingles as survive them; `low` is where that band of diagonals begins."""
+    counts = places.groupBy("shingle").agg(F.count("*").alias("seen"))
+    prefix = materialize(prefixes(shingles, counts))
+    opened = materialize(places.join(_small(prefix), "shingle").select("doc", "item").distinct())
+    wide = places.join(_small(materialize(opened.select("doc").distinct())), "doc", "left_semi").join(_small(shingles), "shingle").join(_small(opened), ["doc", "item"], "left_semi")
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") / 2))
+    changes = F.when(need < N, 0).otherwise(F.least(F.floor(need / CHANGE_WITHIN), F.floor((need - N) / len(OUTER))))
+    survive = F.when(need < N, 1).otherwise(need - N + 1 - len(OUTER) * changes)
+    width = changes + 2  # each change shifts by one word, and a middle word may be lost or doubled
+    # every band of `width` diagonals lies in one of the overlapping ones
+    band = F.explode(F.array(F.floor((F.col("place") - F.col("pos")) / width), F.floor((F.col("place") - F.col("pos")) / width) - 1))
+    shared = wide.select("doc", "item", "pos", width.alias("width"), survive.alias("survive"), band.alias("band")).groupBy("doc", "item", "band", "width", "survive").agg(F.countDistinct("pos").alias("shared"))
+    return shared.filter("shared >= survive").select("doc", "item", (F.col("band") * F.col("width")).alias("low"), "width")
+
+
+def verify(words: list[int], item: list[int], low: int, width: int) -> int:
+    """The stretch of an item in the window of a document that the diagonals from `low` on reach; 0 without a passage."""
+    need, allowed, _ = bounds(len(item))
+    begin = max(0, low - N)
+    part = words[begin : low + 2 * width + len(item) + 2 * allowed + N]
+    offsets = item_offsets(need)
+    at: dict[tuple, list[int]] = {}
+    for p in range(len(item) - offsets[-1]):
+        at.setdefault(tuple(item[p + o] for o in offsets), []).append(p)
+    seeds = []
+    for v in VARIANTS if need >= N else (offsets,):
+        for q in range(len(part) - v[-1]):
+            seeds += [(p, q) for p in at.get(tuple(part[q + o] for o in v), ()) if p - q + low - begin <= 1 and item[p] == part[q]]
+    found = longest_stretch(item, part, sorted(seeds), need, allowed)
+    return found if found >= need else 0
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, item_words, stretch_words, share): every document with every item of which it holds at least half.
 
     The share is of the item's words, in one stretch and in order, apart from case, punctuation, spacing, markup and
-    single changed, lost or doubled words. Items with equal words are all reported. Items of fewer than five words
-    cannot be found; null and empty texts and null keys give no rows. Items are collected in blocks of `block`, which
-    bounds what is broadcast; an empty items table gives no rows.
+    single changed, lost or doubled words, at most one in CHANGE_WITHIN of half the item's words. Items with equal words
+    are all reported. Items of fewer than nine words, half of which is no shingle, need that half without a change.
+    Items without words, null and empty texts and null keys give no rows; neither does an empty table.
     """
-    spark = documents.sparkSession
     key_type, item_type = documents.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    schema = f"{key} {key_type}, {item} {item_type}, item_words int, stretch_words int"
-    corpus = documents.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    asked = items.filter(F.col(item).isNotNull() & (F.length(item_text) > 0)).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, -(-asked.count() // block))
-    result = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").collect()
-        by_text: dict[str, list] = {}
-        for r in rows:
-            by_text.setdefault(" ".join(words_of(r.t)), []).append(r.i)
-        query = spark.sparkContext.broadcast(Items(list(by_text.values()), list(by_text)))
-
-        def count(frames: Iterator[pd.DataFrame], query=query) -> Iterator[pd.DataFrame]:
-            q, total = query.value, np.zeros(len(query.value.keys), dtype="int64")
-            for f in frames:
-                code = _probe(q, f["t"].tolist())[2]
-                total += np.bincount(code[code >= 0], minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pd.DataFrame({"code": some, "n": total[some]})
-
-        counts = np.zeros(len(query.value.keys), dtype="int64")
-        for r in corpus.select("t").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
-            counts[r.code] = r.n
-        query.value.set_prefix(counts)
-        ready = spark.sparkContext.broadcast(query.value)
-
-        def search(frames: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
-            q = ready.value
-            for f in frames:
-                found = [(k, i, int(q.n[n]), s) for k, n, s in find(q, f["k"].tolist(), f["t"].tolist()) for i in q.ids[n]]
-                yield pd.DataFrame(found, columns=[key, item, "item_words", "stretch_words"])
-
-        result = result.unionByName(corpus.mapInPandas(search, schema))
-    return result.withColumn("share", F.col("stretch_words") / F.col("item_words"))
+    corpus = documents.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("doc"), F.col(text).alias("t"))
+    asked = items.filter(F.col(item).isNotNull() & (F.length(item_text) > 0)).select(F.col(item).alias("id"), F.col(item_text).alias("t"))
+
+    def normal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[["id"]].assign(t=[" ".join(words_of(t)) for t in f["t"]])
+
+    # items with equal words are one
+    named = materialize(asked.mapInPandas(normal, f"id {item_type}, t string").filter("t != ''").select("id", F.xxhash64("t").alias("item"), "t"))
+    distinct = materialize(named.groupBy("item").agg(F.min("t").alias("t")))
+    shingles = materialize(item_shingles(distinct))
+    place = F.pmod(F.shiftrightunsigned("shingle", 8), F.lit(FILTER_BITS // 32))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(shingle, 3) & 31 as int))")
+    words = {r.w: r.b for r in shingles.groupBy(place.alias("w")).agg(F.bit_or(bit).alias("b")).toLocalIterator()}  # at most FILTER_BITS / 32 rows
+    sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())
+    places = materialize(_places(corpus, words, sizes))
+    pairs = materialize(candidates(places, shingles))
+    met = pairs.join(_small(distinct), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "t", "low", "width")).alias("asked"))
+    texts = corpus.join(_small(materialize(pairs.select("doc").distinct())), "doc", "left_semi")
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for f in frames:
+            out = []
+            for d, t, questions in zip(f["doc"], f["t"], f["asked"]):
+                ids, best = [known[w] for w in words_of(t)], {}
+                for x in questions:
+                    own = [known[w] for w in x["t"].split(" ")]
+                    s = verify(ids, own, int(x["low"]), int(x["width"]))
+                    if s > best.get(x["item"], (0, 0))[1]:
+                        best[x["item"]] = (len(own), s)
+                out += [(d, i, n, s) for i, (n, s) in best.items()]
+            yield pd.DataFrame(out, columns=["doc", "item", "item_words", "stretch_words"])
+
+    found = texts.join(met, "doc").select("doc", "t", "asked").mapInPandas(check, f"doc {key_type}, item long, item_words int, stretch_words int")
+    out = found.join(_small(named.select("id", "item")), "item").select(F.col("doc").alias(key), F.col("id").alias(item), "item_words", "stretch_words")
+    return out.withColumn("share", F.col("stretch_words") / F.col("item_words"))
 
 
 def leak_report(leaks: DataFrame, items: DataFrame, item: str = "item_id") -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from foliant.llm.leakage import find_leaks, leak_report, longest_stretch, words_of
+from foliant.llm.leakage import OUTER, bounds, find_leaks, leak_report, longest_stretch, words_of
 from foliant.llm.reading import reading_features, reading_levels
 
 
@@ -15,13 +15,48 @@ def test_words_without_markup():
 
 
 def test_stretch_allows_single_changes_only():
-    item = list(range(1, 61))
+    item = list(range(1, 241, 4))  # words that are no numbers
+    need, allowed, _ = bounds(60)
     changed = [0 if i % 10 == 5 else x for i, x in enumerate(item)]
-    assert longest_stretch(item, [99] * 7 + changed + [98], [(0, 7)]) == 60
+    assert longest_stretch(item, [1001] * 7 + changed + [1005], [(0, 7)], need, allowed) == 60
     lost = [x for i, x in enumerate(item) if i % 12 != 6]
-    assert longest_stretch(item, lost, [(0, 0)]) == 60
+    assert longest_stretch(item, lost, [(0, 0)], need, allowed) == 60
+    split = [y for i, x in enumerate(item) for y in ([1001, 1005] if i % 11 == 6 else [x])]
+    assert longest_stretch(item, split, [(0, 0)], need, allowed) == 60
     pattern = [x if i % 4 else 0 for i, x in enumerate(item)]
-    assert longest_stretch(item, pattern, [(1, 1)]) < 20
+    assert longest_stretch(item, pattern, [(1, 1)], need, allowed) == 0
+    adjacent = [1001 if i % 12 in (5, 6) else x for i, x in enumerate(item)]
+    assert longest_stretch(item, adjacent, [(0, 0)], need, allowed) == 0
+    number = [x | 2 if i % 24 in (5, 6) else x for i, x in enumerate(item)]
+    other = [1003 if i % 24 in (5, 6) else x for i, x in enumerate(item)]
+    assert longest_stretch(number, other, [(0, 0)], need, allowed) == 60
+
+
+def test_bounds_leave_a_shingle_however_the_changes_lie():
+    for n in range(9, 260):
+        need, changes, survive = bounds(n)
+        assert survive >= 1 and changes <= need // 6
+        # changes as far apart as they can be spoil the most
+        for first in range(6):
+            spoiled = {p - o for c in range(changes) for p in [first + c * max(1, need // max(1, changes))] for o in OUTER}
+            assert len([p for p in range(need - 4) if p not in spoiled]) >= survive
+    assert [bounds(n) for n in (1, 4, 8)] == [(1, 0, 1), (2, 0, 1), (4, 0, 1)]
+
+
+def test_passages_with_changes_wherever_they_lie_are_found(spark):
+    r = random.Random(9)
+    own = sentence(r, 48).split()
+    every_fifth = [w if (i + 1) % 5 else "xx" for i, w in enumerate(own[:24])]
+    near_end = own[:20] + ["xx"] + own[21:24]
+    one_short = own[:23]
+    doubled = [y for i, w in enumerate(own[:24]) for y in ([w, w] if i % 6 == 3 else [w])]
+    lost = [w for i, w in enumerate(own[:24]) if i % 6 != 3]
+    cases = [every_fifth, near_end, doubled, lost, one_short, own[:10] + sentence(r, 30).split() + own[10:30]]
+    docs = [(i, " ".join(sentence(r, 40).split() + c + sentence(r, 40).split())) for i, c in enumerate(cases)]
+    items = [(1, " ".join(own)), (2, "alpha beta gamma delta"), (3, "Omega!"), (4, " ".join(own).upper() + ".")]
+    docs += [(10, "x beta, gamma y"), (11, "so beta x gamma"), (12, "this omega that")]
+    found = {(x.doc_id, x.item_id) for x in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(d, i) for d in (0, 1, 2, 3) for i in (1, 4)} | {(10, 2), (12, 3)}
 
 
 def leak_case():
@@ -49,12 +84,13 @@ def leak_case():
     return items, docs, wanted | {(903, 5), (904, 5)}
 
 
-@pytest.mark.parametrize("block", [4000, 7])
-def test_planted_passages_are_found(spark, with_clashes, block):
+@pytest.mark.parametrize("broadcast", [500_000, 3])
+def test_planted_passages_are_found(spark, with_clashes, monkeypatch, broadcast):
     items, docs, wanted = leak_case()
     d = with_clashes(spark.createDataFrame(docs, "doc_id long, text string"))
     e = with_clashes(spark.createDataFrame(items, "item_id long, text string"))
-    leaks = find_leaks(d, e, block=block)
+    monkeypatch.setattr("foliant.llm.leakage.BROADCAST_ROWS", broadcast)
+    leaks = find_leaks(d, e)
     assert {(r.doc_id, r.item_id) for r in leaks.collect()} == wanted
     report = {r.item_id: r.documents for r in leak_report(leaks, e).collect()}
     assert report[5] == sum(i == 5 for _, i in wanted) and report[101] == 0
