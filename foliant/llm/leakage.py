@@ -7,9 +7,10 @@ least one of the window's rarest ones, ordered by their count over the whole cor
 document and item, the number of shared shingles near one diagonal bounds it, and an alignment of the words inside one
 item-sized window of the document verifies it.
 
-Documents are split into words once. What the pass hands on are (document, place, shingle) rows for shingles that pass a
-filter of fixed size made of all items; all joins that follow see such rows only, so any number of items takes the same
-number of passes. Texts are met again for the documents of bounded pairs.
+Documents are split into words once, whatever the number of items. What that pass hands on of a document are the places
+of those shingles that pass a filter of fixed size made of all items; counts and joins see nothing else. The items' side
+of the join is sent to the workers in blocks of bounded size, as a document's places lie together. Texts are met again
+for the documents of bounded pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ GAPS = ((1, 1), (1, 0), (0, 1), (1, 2), (2, 1), (2, 2), (2, 0), (0, 2))
 RESYNC, EDGE = 3, 2
 #: Bits of the filter of item shingles, in words of 32, and rows of a side up to which a join is told to broadcast it.
 FILTER_BITS, BROADCAST_ROWS = 1 << 25, 500_000
+#: Item shingles in a block that is sent to the workers, and places of documents that a worker takes at a time.
+BLOCK, PLACES = 2_000_000, 1_000_000
 #: Distinct words whose hashes a worker remembers at a time.
 REMEMBERED = 1_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -188,7 +191,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 def _places(corpus: DataFrame, filter_words: dict[int, int], sizes: list[int]) -> DataFrame:
-    """(doc, place, shingle) of `corpus` (doc, t) for shingles that pass the filter."""
+    """(doc, at, shingle) of `corpus` (doc, t): the places of the shingles that pass the filter, and those, as arrays."""
     bits = np.zeros(FILTER_BITS // 32, dtype="uint32")
     for w, b in filter_words.items():
         bits[w] = b & 0xFFFFFFFF
@@ -199,25 +202,33 @@ def _places(corpus: DataFrame, filter_words: dict[int, int], sizes: list[int]) -
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, table, space = WordHashes(), shared.value, np.zeros(N + 1, dtype="uint64")
         for f in frames:
-            ids, starts, total = [], [], 0
+            ids, starts, total = [], [0], 0
             for t in f["t"]:
                 w = words_of(t)
-                starts.append(total)
                 ids += [np.fromiter(map(known.__getitem__, w), dtype="uint64", count=len(w)), space]  # shingles end with their document
                 total += len(w) + len(space)
+                starts.append(total)
             flat, starts = np.concatenate(ids) if ids else space, np.array(starts)
+            found, hashes = [np.zeros(0, dtype="int64")], [np.zeros(0, dtype="uint64")]
             for kind in kinds:
                 h = combined(flat, kind)
                 at = np.flatnonzero((table[(h >> np.uint64(8)) % np.uint64(FILTER_BITS // 32)] >> (h >> np.uint64(3) & np.uint64(31)).astype("uint32")) & 1 & (h != 0))
-                doc = np.searchsorted(starts, at, side="right") - 1
-                yield pd.DataFrame({"doc": f["doc"].to_numpy()[doc], "place": at - starts[doc], "shingle": as_long(h[at])})
-
-    return corpus.mapInPandas(run, f"doc {doc_type}, place int, shingle long")
-
-
-def prefixes(shingles: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item, shingle): of every window of an item that a passage may be, as many of its rarest shingles as may be spoiled
-    and one more. One item's shingles are brought together, never more."""
+                found.append(at)
+                hashes.append(h[at])
+            at, h = np.concatenate(found), np.concatenate(hashes)
+            order = np.argsort(at, kind="stable")
+            at, h = at[order], as_long(h[order])
+            cuts = np.searchsorted(at, starts)
+            some = np.flatnonzero(np.diff(cuts))
+            if len(some):
+                yield pd.DataFrame({"doc": f["doc"].to_numpy()[some], "at": [(at[cuts[i] : cuts[i + 1]] - starts[i]).astype("int32") for i in some], "shingle": [h[cuts[i] : cuts[i + 1]] for i in some]})
+
+    return corpus.mapInPandas(run, f"doc {doc_type}, at array<int>, shingle array<long>")
+
+
+def with_prefixes(shingles: DataFrame, counts: DataFrame) -> DataFrame:
+    """`shingles` with `prefix`: whether it is, in a window of its item that a passage may be, among as many of the
+    rarest shingles as may be spoiled and one more. One item's shingles are brought together, never more."""
     ranked = shingles.join(counts.hint("merge"), "shingle", "left")
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
@@ -226,10 +237,11 @@ def prefixes(shingles: DataFrame, counts: DataFrame) -> DataFrame:
         window = min(len(f), max(1, need - N + 1))
         rarity = f["seen"].fillna(0).to_numpy()
         order = np.argsort(np.lib.stride_tricks.sliding_window_view(rarity, window), axis=1, kind="stable")[:, : window - survive + 1]
-        kept = np.unique(order + np.arange(len(order))[:, None])
-        return pd.DataFrame({"item": key[0], "shingle": f["shingle"].to_numpy()[kept]})
+        prefix = np.zeros(len(f), dtype=bool)
+        prefix[np.unique(order + np.arange(len(order))[:, None])] = True
+        return f[["item", "n", "pos", "shingle"]].assign(prefix=prefix)
 
-    return ranked.groupBy("item").applyInPandas(run, "item long, shingle long").distinct()
+    return ranked.groupBy("item").applyInPandas(run, "item long, n int, pos int, shingle long, prefix boolean")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -237,21 +249,81 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
 
 
-def candidates(places: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(doc, item, low): pairs that share a prefix shingle and, within one of the diagonals that a passage's changes can
-    reach, as many shingles as survive them; `low` is where that band of diagonals begins."""
-    counts = places.groupBy("shingle").agg(F.count("*").alias("seen"))
-    prefix = materialize(prefixes(shingles, counts))
-    opened = materialize(places.join(_small(prefix), "shingle").select("doc", "item").distinct())
-    wide = places.join(_small(materialize(opened.select("doc").distinct())), "doc", "left_semi").join(_small(shingles), "shingle").join(_small(opened), ["doc", "item"], "left_semi")
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") / 2))
-    changes = F.when(need < N, 0).otherwise(F.least(F.floor(need / CHANGE_WITHIN), F.floor((need - N) / len(OUTER))))
-    survive = F.when(need < N, 1).otherwise(need - N + 1 - len(OUTER) * changes)
-    width = changes + 2  # each change shifts by one word, and a middle word may be lost or doubled
-    # every band of `width` diagonals lies in one of the overlapping ones
-    band = F.explode(F.array(F.floor((F.col("place") - F.col("pos")) / width), F.floor((F.col("place") - F.col("pos")) / width) - 1))
-    shared = wide.select("doc", "item", "pos", width.alias("width"), survive.alias("survive"), band.alias("band")).groupBy("doc", "item", "band", "width", "survive").agg(F.countDistinct("pos").alias("shared"))
-    return shared.filter("shared >= survive").select("doc", "item", (F.col("band") * F.col("width")).alias("low"), "width")
+class Block:
+    """Shingles of some items in sorted arrays."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["shingle", "item", "pos"])
+        self.ids, self.item = np.unique(rows["item"].to_numpy(), return_inverse=True)
+        n = np.zeros(len(self.ids), dtype="int64")
+        n[self.item] = rows["n"].to_numpy()
+        limits = np.array([bounds(x) for x in n.tolist()], dtype="int64").reshape(-1, 3)
+        self.window = np.maximum(1, limits[:, 0] - N + 1)
+        self.width = limits[:, 1] + 2  # a change shifts by one word, and a middle word may be lost or doubled
+        self.survive = limits[:, 2]
+        self.pos, self.prefix = rows["pos"].to_numpy().astype("int64"), rows["prefix"].to_numpy()
+        self.keys, self.begin = np.unique(rows["shingle"].to_numpy(), return_index=True)
+        self.size = np.diff(np.append(self.begin, len(rows)))
+
+    def arrays(self) -> tuple:
+        return (self.ids, self.item, self.window, self.width, self.survive, self.pos, self.prefix, self.keys, self.begin, self.size)
+
+
+def _pairs(block: tuple, doc: np.ndarray, at: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, item, first diagonal and width of the bands of diagonals in which a document and an item share a
+    prefix shingle and as many shingles of one window as survive a passage's changes."""
+    ids, item, window, width, survive, pos, prefix, keys, begin, size = block
+    k = np.minimum(np.searchsorted(keys, shingle), len(keys) - 1)
+    hit = keys[k] == shingle
+    k, doc, at = k[hit], doc[hit], at[hit]
+    wide = size[k]
+    entry = np.repeat(begin[k] - np.append(0, np.cumsum(wide)[:-1]), wide) + np.arange(wide.sum())
+    doc, at = np.repeat(doc, wide), np.repeat(at, wide)
+    own = item[entry]
+    band = (at - pos[entry]) // width[own]
+    # every range of `width` diagonals lies in one of the overlapping bands: a shingle is in two
+    key = (doc * len(ids) + own << 32) + (band + (1 << 30))
+    opened = np.unique(key[prefix[entry]])
+    opened = np.unique(np.append(opened, opened - 1))
+    both, place = np.append(key, key - 1), np.append(pos[entry], pos[entry])
+    j = np.minimum(np.searchsorted(opened, both), max(0, len(opened) - 1))
+    good = opened[j] == both if len(opened) else np.zeros(len(both), dtype=bool)
+    rows = np.unique(np.stack([both[good], place[good]]), axis=1) if good.any() else np.zeros((2, 0), dtype="int64")
+    key, place = rows
+    i = (key >> 32) % len(ids)
+    last = np.arange(len(key)) + survive[i] - 1
+    inside = last < len(key)
+    inside[inside] = (key[last[inside]] == key[inside]) & (place[last[inside]] - place[inside] < window[i[inside]])
+    key = np.unique(key[inside])
+    i = (key >> 32) % len(ids)
+    return (key >> 32) // len(ids), ids[i], ((key & 0xFFFFFFFF) - (1 << 30)) * width[i], width[i]
+
+
+def candidates(places: DataFrame, shingles: DataFrame, block: int) -> DataFrame:
+    """(doc, item, low, width): pairs that share a prefix shingle and, near the same diagonals and in one window of the
+    item, as many shingles as survive a passage's changes; the diagonals are those from `low` to `low` + 2 x `width`."""
+    spark, doc_type = places.sparkSession, places.schema["doc"].dataType.simpleString()
+    counts = places.select(F.explode("shingle").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("seen"))
+    ready = materialize(with_prefixes(shingles, counts))
+    blocks = max(1, -(-ready.count() // block))
+    schema, out = f"doc {doc_type}, item long, low long, width int", None
+    for b in range(blocks):
+        own = ready.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).toPandas()  # about `block` rows
+        if not len(own):
+            continue
+        shared = spark.sparkContext.broadcast(Block(own).arrays())
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                sizes = f["at"].map(len).to_numpy()
+                for _, part in f.groupby(np.cumsum(sizes) // PLACES, sort=False):
+                    n = part["at"].map(len).to_numpy()
+                    d, i, low, width = _pairs(shared.value, np.repeat(np.arange(len(part)), n), np.concatenate(part["at"].to_numpy()).astype("int64"), np.concatenate(part["shingle"].to_numpy()))
+                    yield pd.DataFrame({"doc": part["doc"].to_numpy()[d], "item": i, "low": low, "width": width})
+
+        found = places.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def verify(words: list[int], item: list[int], low: int, width: int) -> int:
@@ -271,7 +343,7 @@ def verify(words: list[int], item: list[int], low: int, width: int) -> int:
     return found if found >= need else 0
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """(key, item, item_words, stretch_words, share): every document with every item of which it holds at least half.
 
     The share is of the item's words, in one stretch and in order, apart from case, punctuation, spacing, markup and
@@ -296,7 +368,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     words = {r.w: r.b for r in shingles.groupBy(place.alias("w")).agg(F.bit_or(bit).alias("b")).toLocalIterator()}  # at most FILTER_BITS / 32 rows
     sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())
     places = materialize(_places(corpus, words, sizes))
-    pairs = materialize(candidates(places, shingles))
+    pairs = materialize(candidates(places, shingles, block))
     met = pairs.join(_small(distinct), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "t", "low", "width")).alias("asked"))
     texts = corpus.join(_small(materialize(pairs.select("doc").distinct())), "doc", "left_semi")
 

@@ -84,13 +84,13 @@ def leak_case():
     return items, docs, wanted | {(903, 5), (904, 5)}
 
 
-@pytest.mark.parametrize("broadcast", [500_000, 3])
-def test_planted_passages_are_found(spark, with_clashes, monkeypatch, broadcast):
+@pytest.mark.parametrize(("broadcast", "block"), [(500_000, 2_000_000), (3, 500)])
+def test_planted_passages_are_found(spark, with_clashes, monkeypatch, broadcast, block):
     items, docs, wanted = leak_case()
     d = with_clashes(spark.createDataFrame(docs, "doc_id long, text string"))
     e = with_clashes(spark.createDataFrame(items, "item_id long, text string"))
     monkeypatch.setattr("foliant.llm.leakage.BROADCAST_ROWS", broadcast)
-    leaks = find_leaks(d, e)
+    leaks = find_leaks(d, e, block=block)
     assert {(r.doc_id, r.item_id) for r in leaks.collect()} == wanted
     report = {r.item_id: r.documents for r in leak_report(leaks, e).collect()}
     assert report[5] == sum(i == 5 for _, i in wanted) and report[101] == 0
