@@ -288,8 +288,9 @@ def _pairs(block: tuple, doc: np.ndarray, at: np.ndarray, shingle: np.ndarray) -
     both, place = np.append(key, key - 1), np.append(pos[entry], pos[entry])
     j = np.minimum(np.searchsorted(opened, both), max(0, len(opened) - 1))
     good = opened[j] == both if len(opened) else np.zeros(len(both), dtype=bool)
-    rows = np.unique(np.stack([both[good], place[good]]), axis=1) if good.any() else np.zeros((2, 0), dtype="int64")
-    key, place = rows
+    span = int(place.max(initial=0)) + 1
+    rows = np.unique(j[good] * span + place[good])  # a shingle of the item counts once in a band
+    key, place = opened[rows // span], rows % span
     i = (key >> 32) % len(ids)
     last = np.arange(len(key)) + survive[i] - 1
     inside = last < len(key)
@@ -326,20 +327,25 @@ def candidates(places: DataFrame, shingles: DataFrame, block: int) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def verify(words: list[int], item: list[int], low: int, width: int) -> int:
+def places_of(item: np.ndarray) -> dict[int, list[int]]:
+    """Where the shingles of an item stand in it."""
+    at: dict[int, list[int]] = {}
+    for p, h in enumerate(combined(item, item_offsets(bounds(len(item))[0])).tolist()):
+        at.setdefault(h, []).append(p)
+    return at
+
+
+def verify(words: np.ndarray, item: np.ndarray, at: dict[int, list[int]], low: int, width: int) -> int:
     """The stretch of an item in the window of a document that the diagonals from `low` on reach; 0 without a passage."""
     need, allowed, _ = bounds(len(item))
     begin = max(0, low - N)
     part = words[begin : low + 2 * width + len(item) + 2 * allowed + N]
-    offsets = item_offsets(need)
-    at: dict[tuple, list[int]] = {}
-    for p in range(len(item) - offsets[-1]):
-        at.setdefault(tuple(item[p + o] for o in offsets), []).append(p)
     seeds = []
-    for v in VARIANTS if need >= N else (offsets,):
-        for q in range(len(part) - v[-1]):
-            seeds += [(p, q) for p in at.get(tuple(part[q + o] for o in v), ()) if p - q + low - begin <= 1 and item[p] == part[q]]
-    found = longest_stretch(item, part, sorted(seeds), need, allowed)
+    for v in VARIANTS if need >= N else (item_offsets(need),):
+        for q, h in enumerate(combined(part, v).tolist()):
+            if h in at:
+                seeds += [(p, q) for p in at[h]]
+    found = longest_stretch(item.tolist(), part.tolist(), sorted(seeds), need, allowed)
     return found if found >= need else 0
 
 
@@ -374,13 +380,17 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
+        hashed = lambda words: np.fromiter(map(known.__getitem__, words), dtype="uint64", count=len(words))
         for f in frames:
-            out = []
+            out, items = [], {}
             for d, t, questions in zip(f["doc"], f["t"], f["asked"]):
-                ids, best = [known[w] for w in words_of(t)], {}
+                ids, best = hashed(words_of(t)), {}
                 for x in questions:
-                    own = [known[w] for w in x["t"].split(" ")]
-                    s = verify(ids, own, int(x["low"]), int(x["width"]))
+                    if x["item"] not in items:
+                        own = hashed(x["t"].split(" "))
+                        items[x["item"]] = own, places_of(own)
+                    own, places = items[x["item"]]
+                    s = verify(ids, own, places, int(x["low"]), int(x["width"]))
                     if s > best.get(x["item"], (0, 0))[1]:
                         best[x["item"]] = (len(own), s)
                 out += [(d, i, n, s) for i, (n, s) in best.items()]
