@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.operators.ranking import SALTS
+from foliant.operators.ranking import SALTS, top_per_group
 
 
 def water_levels(counts: DataFrame, group: Sequence[str], size: str, max_count: int | None, max_share: float | None) -> DataFrame:
@@ -106,3 +106,20 @@ def capped_hits(hits: DataFrame, max_count: int | None = 4, max_share: float | N
     """Result lists with at most `max_count` hits, or a share of `max_share`, per doc_id."""
     columns = hits.select("hit_id", "question_id", "retriever", "chunk_id", "doc_id", "score")
     return cap_contributors(first_of_repeats(columns), ["question_id", "retriever"], "doc_id", "score", "hit_id", max_count, max_share)
+
+
+def kept_hits(hits: DataFrame, most: int = 4) -> DataFrame:
+    """The rows of result lists that keep at most `most` hits per doc_id, with their place among those (`quality_rank`).
+
+    With a count for limit the level is given, so the best of each document are picked where they lie, before anything
+    is moved, and the result is that of `capped_hits`. Null ids form groups of their own.
+    """
+    once = first_of_repeats(hits.select("hit_id", "question_id", "retriever", "chunk_id", "doc_id", "score"))
+    order = [F.desc_nulls_last("score"), F.asc("hit_id")]
+    return top_per_group(once, ["question_id", "retriever", "doc_id"], order, most, F.col("hit_id"), "quality_rank")
+
+
+def dropped_hits(hits: DataFrame, most: int = 4) -> DataFrame:
+    """(hit_id): the rows that `kept_hits` leaves out, repeats aside. Only ids are moved to tell them."""
+    once = first_of_repeats(hits.select("hit_id", "question_id", "retriever", "chunk_id", "doc_id", "score"))
+    return once.select("hit_id").join(kept_hits(hits, most).select("hit_id"), "hit_id", "left_anti")

@@ -13,13 +13,16 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.tokens import DEFAULT, counter
+from foliant.operators.ranking import prefix_sums
 from foliant.tables import materialize
 
 CAPACITY = 4096
+#: Tasks that pack, at least; there are as many as partitions if those are more.
+LEAST_TASKS = 32
 ROWS_PER_PARTITION = 20_000
 
 
@@ -109,7 +112,7 @@ def pack(items: DataFrame, key: str, capacity: int = CAPACITY, shares: Mapping[s
     rows = items.count()
     parts = max(1, -(-rows // rows_per_partition))
     pieces = items.withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity)).cast("int")).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-    totals = pieces.groupBy("part", "source").agg(F.sum("tokens").alias("tokens"))
+    totals = materialize(pieces.groupBy("part", "source").agg(F.sum("tokens").alias("tokens")))
     if shares is None:
         of = totals.groupBy("source").agg(F.sum("tokens").alias("t"))
         all_tokens = totals.agg(F.sum("tokens").alias("all_t"))
@@ -118,11 +121,10 @@ def pack(items: DataFrame, key: str, capacity: int = CAPACITY, shares: Mapping[s
         whole = float(sum(shares.values())) or 1.0
         target = items.sparkSession.createDataFrame([(s, x / whole) for s, x in shares.items()], "source string, share double")
     # what a source is owed when a partition begins: its share of all tokens before, less its own tokens before
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    all_before = totals.groupBy("part").agg(F.sum("tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("all_before"))
-    own = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = totals.groupBy("part").agg(F.sum("tokens").alias("t"), F.lit(0).alias("all"))
+    all_before = prefix_sums(per_part, ["all"], "part", "t", "all_before").select("part", "all_before")
     owed = (
-        totals.withColumn("own_before", F.coalesce(F.sum("tokens").over(own), F.lit(0)))
+        prefix_sums(totals, ["source"], "part", "tokens", "own_before")
         .join(all_before, "part")
         .join(target, "source", "left")
         .select(F.col("part").alias("o_part"), F.col("source").alias("o_source"), F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("all_before") - F.col("own_before")).alias("owed"))
@@ -154,7 +156,9 @@ def pack(items: DataFrame, key: str, capacity: int = CAPACITY, shares: Mapping[s
 
     schema = f"{key} {items.schema[key].dataType.simpleString()}, source string, piece int, n_pieces int, first_token long, tokens long, container long, place int"
     ready = pieces.join(owed, (F.col("part") == F.col("o_part")) & (F.col("source") == F.col("o_source")))
-    return ready.select("part", key, "source", "tokens", "n_pieces", "share", "owed").groupBy("part").applyInPandas(run, schema)
+    # a number of partitions is named, else few bytes but much work would end in one task
+    ready = ready.select("part", key, "source", "tokens", "n_pieces", "share", "owed").repartition(max(LEAST_TASKS, parts), "part")
+    return ready.groupBy("part").applyInPandas(run, schema)
 
 
 def pack_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, tokenizer: str | None = DEFAULT, shares: Mapping[str, float] | None = None, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:

@@ -81,25 +81,41 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of which the operator made more than one piece."""
-    return splitting.split_texts(load(spark, d, "chunks"), "chunk_id", "text").filter("piece = 1").select("chunk_id")
+    return splitting.piece_bounds(load(spark, d, "chunks"), "chunk_id", "text").filter("piece = 1").select("chunk_id")
+
+
+def p4_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Of every chunk that was cut: its characters as far as pieces cover them without a gap, whether all pieces keep
+    the limit and the overlap, and whether each holds the text that its place says."""
+    chunks = load(spark, d, "chunks").select("chunk_id", "text")
+    lists = splitting.split_texts(chunks, "chunk_id", "text").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("piece", "start", "end", "text"))).alias("p"))
+    overlap = F.transform(F.slice("p", 2, F.size("p") - 1), lambda x, i: F.element_at("p", i + 1)["end"] - x["start"])
+    whole = chunks.withColumnRenamed("text", "whole").join(lists, "chunk_id")
+    return whole.select(
+        "chunk_id",
+        F.when((F.col("p")[0]["start"] == 0) & F.forall(overlap, lambda o: o >= 0), F.element_at("p", -1)["end"]).alias("covered"),
+        F.forall("p", lambda x: F.length(x["text"]).between(1, splitting.LIMIT)).alias("within_limit"),
+        F.forall(overlap, lambda o: o <= splitting.OVERLAP).alias("within_overlap"),
+        F.forall("p", lambda x: x["text"] == F.substring(F.col("whole"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))).alias("same_text"),
+    )
 
 
 # 5 ------------------------------------------------------------------------------------------------- capping
 
 
+def p5_method(spark: SparkSession, d: str) -> DataFrame:
+    """Water-filling over the whole table: lists in which no document keeps more than a fifth of the hits."""
+    return capping.capped_hits(load(spark, d, "hits"), max_count=None, max_share=0.2).filter("kept").select("hit_id", "question_id", "retriever", "doc_id", "level", "quality_rank")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return capping.capped_hits(load(spark, d, "hits"), max_count=4).filter("not kept").select("hit_id")
+    """A limit on counts: the level is given, there is no share to solve."""
+    return capping.dropped_hits(load(spark, d, "hits"), 4).select("hit_id")
 
 
 def p5_lists(spark: SparkSession, d: str) -> DataFrame:
     """The result lists with at most four hits a document; `quality_rank` is the place among those of the document."""
-    kept = capping.capped_hits(load(spark, d, "hits"), max_count=4).filter("kept")
-    return kept.select("question_id", "retriever", "hit_id", "chunk_id", "doc_id", "score", "quality_rank")
-
-
-def p5_share(spark: SparkSession, d: str) -> DataFrame:
-    """Lists in which no document keeps more than a fifth of the hits."""
-    return capping.capped_hits(load(spark, d, "hits"), max_count=None, max_share=0.2).filter("kept").select("hit_id", "question_id", "retriever", "doc_id", "level", "quality_rank")
+    return capping.kept_hits(load(spark, d, "hits"), 4).select("question_id", "retriever", "hit_id", "chunk_id", "doc_id", "score", "quality_rank")
 
 
 # 6 ------------------------------------------------------------------------------------------------- scans
@@ -136,6 +152,22 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_report(packing.pack_texts(load_even(spark, d, "documents")))
 
 
+def _by_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(load_even(spark, d, "documents"), tokenizer=None)
+
+
+def p8_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document, sized in bytes: its size as packed, its pieces, and whether it lies whole where it can."""
+    packed = _by_bytes(spark, d).groupBy("doc_id").agg(F.sum("tokens").alias("bytes"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("different"), F.max("n_pieces").alias("n"))
+    return packed.select("doc_id", "bytes", "pieces", ((F.col("pieces") == F.col("n")) & (F.col("different") == F.col("n"))).alias("complete"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: all bytes packed, whether no container holds more than it can, and whether 98 of 100 bytes of room are used."""
+    report = packing.container_report(_by_bytes(spark, d))
+    return report.agg(F.sum("tokens").alias("bytes"), (F.max("tokens") <= packing.CAPACITY).alias("within_capacity"), (F.sum("tokens") >= 0.98 * packing.CAPACITY * F.count("*")).alias("full"))
+
+
 # 9 ------------------------------------------------------------------------------------------------- leakage
 
 
@@ -171,11 +203,11 @@ def queries() -> dict[str, Query]:
         p1_method, p1_clean, p1_found,
         p2_shares, p2_found,
         p3_rates, p3_found,
-        p4_pieces, p4_found,
-        p5_found, p5_lists, p5_share,
+        p4_pieces, p4_found, p4_valid,
+        p5_method, p5_found, p5_lists,
         p6_repaired, p6_found,
         p7_ranking, p7_found,
-        p8_pack, p8_containers,
+        p8_pack, p8_containers, p8_valid, p8_fill,
         p9_found, p9_items,
         p10_found, p10_profile,
     )}

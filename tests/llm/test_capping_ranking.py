@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from foliant.llm.capping import cap_contributors, capped_hits
+from foliant.llm.capping import cap_contributors, capped_hits, dropped_hits, kept_hits
 from foliant.llm.leximin import leximin_ranking
 
 HITS = "hit_id long, question_id long, retriever string, chunk_id long, doc_id string, score double"
@@ -43,6 +43,10 @@ def test_cap_by_count_equals_brute_force(spark, with_clashes, count):
     out = capped_hits(with_clashes(spark.createDataFrame(rows, HITS)), count).collect()
     assert {r.hit_id for r in out if r.kept} == brute_cap(rows, defaultdict(lambda: count))
     assert len(out) == len(first_rows(rows))
+    df = with_clashes(spark.createDataFrame(rows, HITS))
+    kept = {r.hit_id: r.quality_rank for r in kept_hits(df, count).collect()}
+    assert kept == {r.hit_id: r.quality_rank for r in out if r.kept}
+    assert sorted(r.hit_id for r in dropped_hits(df, count).collect()) == sorted(r.hit_id for r in out if not r.kept)
 
 
 @pytest.mark.parametrize("share", [0.2, 0.34, 0.6])
