@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.normal import furniture_free, normalized, word_distance
+from foliant.functions.normal import PAGE_NUMBER, STAMP, normalized, normalized_lines, word_distance
 
 ZONE = 3
+#: Fixed value: what ends a line.
+LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
 
 
 def _bag_f1(pairs: DataFrame, key: Sequence[str], ref: Column, hyp: Column, out: str, digits: int) -> DataFrame:
@@ -62,7 +64,7 @@ def score(pairs: DataFrame, key: Sequence[str], ref: str, hyp: str) -> DataFrame
 
 def zone_lines(pages: DataFrame, doc: str, page: str, text: str, zone: int = ZONE, line: Column | None = None) -> DataFrame:
     """(doc, page, place, line): the first and last `zone` lines of each page that are not blank."""
-    lines = F.filter(F.split(F.col(text), r"\r\n|[\n\r\u000B\u000C\u0085\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)\s", "") != "")
+    lines = F.filter(F.split(F.col(text), LINE_END), lambda x: F.regexp_replace(x, r"(?U)\s", "") != "")
     cut = pages.filter(F.col(text).isNotNull()).select(doc, page, lines.alias("ls"))
     ends = F.when(F.size("ls") <= 2 * zone, F.col("ls")).otherwise(F.concat(F.slice("ls", 1, zone), F.slice("ls", F.size("ls") - zone + 1, zone)))
     return cut.select(doc, page, F.posexplode(ends).alias("place", "line"))
@@ -76,17 +78,52 @@ def running_lines(pages: DataFrame, doc: str, page: str, text: str, zone: int =
     total = pages.filter(F.col(text).isNotNull()).groupBy(doc).agg(F.countDistinct(page).alias("__all"))
     counts = zoned.select(doc, page, "line").distinct().groupBy(doc, "line").agg(F.count("*").alias("pages"))
     solid = F.length(F.regexp_replace("line", r"[^\p{L}\p{N}]", "")) >= 4
-    number = F.col("line").rlike(r"^(?:page )?[-–—]? ?\d{1,4} ?(?:(?:/|of) ?\d{1,4})? ?[-–—]?$")
+    number = F.col("line").rlike(PAGE_NUMBER)
     return counts.join(total, doc).filter((F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.col("__all") / 2))) & solid & ~number).select(doc, "line", "pages")
 
 
+def _ends(places: Column, zone: int = ZONE) -> Column:
+    """The first and last `zone` of an array of places, each once."""
+    return F.when(F.size(places) <= 2 * zone, places).otherwise(F.concat(F.slice(places, 1, zone), F.slice(places, F.size(places) - zone + 1, zone)))
+
+
+def _where(forms: Column, test: Callable[[Column], Column]) -> Column:
+    """The places (from 0) of an array's elements that pass `test`."""
+    return F.filter(F.transform(forms, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    return F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(gone, i), x)), lambda x: x.isNotNull()), "\n")
+
+
 def without_furniture(pairs: DataFrame, running: DataFrame, doc: str, ref: str, hyp: str) -> DataFrame:
     """`pairs` with furniture dropped from both texts: margin stamps, running lines in the zones, bare page numbers; a
-    line leaves the hypothesis only if the same left this page's reference."""
+    line leaves the hypothesis only if the same left this page's reference.
+
+    Lines are told by their normal forms. The reference loses stamps, running lines in its zones, and then a bare number
+    as the first or last line that is left. The hypothesis loses stamps, and in its zones as many lines of a form as the
+    reference lost, the first ones. Null texts count as empty; extra columns stay.
+    """
     lines = running.groupBy(doc).agg(F.collect_set("line").alias("__running"))  # bounded: six lines a page, on half the pages
-    joined = pairs.join(lines, doc, "left")
-    freed = furniture_free(F.coalesce(F.col(ref), F.lit("")), F.coalesce(F.col(hyp), F.lit("")), F.coalesce("__running", F.array().cast("array<string>")))
-    return joined.withColumn("__f", freed).withColumns({ref: F.col("__f.reference"), hyp: F.col("__f.hypothesis")}).drop("__f", "__running")
+    split = lambda c: F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), rf"(?:{LINE_END})\z", ""), LINE_END)
+    cut = pairs.join(lines, doc, "left").withColumns({"__r": split(ref), "__h": split(hyp), "__running": F.coalesce("__running", F.array().cast("array<string>"))})
+    cut = cut.withColumns({"__rf": normalized_lines("__r"), "__hf": normalized_lines("__h")})
+    form = lambda f, i: F.get(F.col(f), i)
+    solid = lambda f: _where(F.col(f), lambda x: x != "")
+    stamped = lambda f: _where(F.col(f), lambda x: x.rlike(STAMP))
+    # the reference: stamps and running lines, then numbers at the ends of what is left
+    cut = cut.withColumn("__gone", F.array_union(stamped("__rf"), F.filter(_ends(solid("__rf")), lambda i: F.array_contains("__running", form("__rf", i)))))
+    cut = cut.withColumn("__left", F.array_except(solid("__rf"), "__gone"))
+    edges = F.filter(F.array(F.get("__left", F.lit(0)), F.try_element_at("__left", F.when(F.size("__left") > 0, -1).otherwise(1))), lambda i: i.isNotNull() & form("__rf", i).rlike(PAGE_NUMBER))
+    cut = cut.withColumn("__gone", F.array_union("__gone", edges))
+    cut = cut.withColumn("__lost", F.filter(F.transform("__gone", lambda i: form("__rf", i)), lambda x: ~x.rlike(STAMP)))
+    # the hypothesis: the n-th zone line of a form goes if the reference lost at least n of that form
+    cut = cut.withColumn("__zone", _ends(F.array_except(solid("__hf"), stamped("__hf"))))
+    count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+    nth = lambda i, k: count(F.transform(F.slice("__zone", F.lit(1), k + 1), lambda j: form("__hf", j)), form("__hf", i))
+    taken = F.filter(F.transform("__zone", lambda i, k: F.when(nth(i, k) <= count(F.col("__lost"), form("__hf", i)), i)), lambda i: i.isNotNull())
+    freed = cut.withColumns({ref: _without(F.col("__r"), F.col("__gone")), hyp: _without(F.col("__h"), F.array_union(stamped("__hf"), taken))})
+    return freed.drop("__r", "__h", "__rf", "__hf", "__running", "__gone", "__left", "__lost", "__zone")
 
 
 def metric_estimates(scores: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.functions.normal import clean_transcription, drop_furniture, edit_distance, normal_form, plain_text, tex_to_text
+from foliant.functions.normal import clean_transcription, edit_distance, normal_form, plain_text, tex_to_text
 
 
 def one(spark, value, f, **more):
@@ -85,6 +85,8 @@ def test_unit_vectors(spark):
 def test_normal_forms():
     assert tex_to_text(r"\mathrm{softmax}\left(\frac{QK^T}{\sqrt{d_k}}\right)") == "softmax(QKT √dk)"
     assert tex_to_text(r"$d_{model}$ is $\alpha = 0.3$") == "dmodel is α = 0.3" and tex_to_text("plain 5 % text") == "plain 5 % text"
+    assert tex_to_text(r"\begin{tabular}a & b\\c & d\end{tabular} e & f") == "a   b c   d e & f" and tex_to_text("\\begin{x} a & b \\ c") == " a & b  c"
+    assert tex_to_text(r"\left. x \right) 50\% \|v\| \, \hspace{2em}y\[z\] \alpha*") == " x ) 50% ‖v‖   y\\[z\\] α"
     assert plain_text("![alt](x.png) [text](u) <b>bold</b> &amp;").split() == ["text", "bold", "&"]
     assert normal_form("**Trans-\nduction** of `x` ﬁne") == "transduction of x fine"
     assert edit_distance("kitten", "sitting") == 3 and edit_distance([], ["a"]) == 1 and edit_distance("", "") == 0
@@ -97,10 +99,19 @@ def test_edit_distance_is_a_distance(a, b):
     assert d == edit_distance(b, a) and abs(len(a) - len(b)) <= d <= max(len(a), len(b)) and (d == 0) == (a == b)
 
 
-def test_furniture():
-    ref = "Short Title\narXiv:1706.03762v7 [cs.CL] 2 Aug 2023\nBody text\nmore\n12"
-    assert drop_furniture(ref, "Short Title\nBody text\nmore\n12", {"short title"}) == ("Body text\nmore", "Body text\nmore")
-    assert drop_furniture("Title\nBody", "Title\nBody", set()) == ("Title\nBody", "Title\nBody")
+def test_furniture(spark):
+    from foliant.operators.scoring import without_furniture
+
+    page = "Short Title\narXiv:1706.03762v7 [cs.CL] 2 Aug 2023\nBody text\nmore\n12"
+    rows = [
+        (1, "d", page, "Short Title\nBody text\nmore\n12", "Body text\nmore", "Body text\nmore"), (2, "other", "Title\nBody", "Title\nBody", "Title\nBody", "Title\nBody"), (3, "d", None, None, "", ""),
+        (4, "d", "Short Title\na\n\nb", "Short Title\nx\nShort Title", "a\n\nb", "x\nShort Title"), (5, "d", "Short Title", "Short Title", "", ""), (6, None, "7\na\nb\n8", "7\na\nb\n9", "a\nb", "a\nb\n9"),
+        (7, "d", "a\nb\nc\nShort Title\nd\ne\nf", "Short Title", "a\nb\nc\nShort Title\nd\ne\nf", "Short Title"),
+    ]
+    pairs = spark.createDataFrame([r[:4] for r in rows], "k int, doc string, ref string, hyp string")
+    running = spark.createDataFrame([("d", "short title", 2)], "doc string, line string, pages long")
+    out = {r.k: (r.ref, r.hyp) for r in without_furniture(pairs, running, "doc", "ref", "hyp").collect()}
+    assert out == {r[0]: r[4:] for r in rows}
 
 
 def test_transcription_is_unwrapped(spark):
