@@ -88,6 +88,10 @@ def test_latex_parts():
     assert latex.sections("x\\chapter{A}y\\section{B {c}}z", 2) == [(0, None, "x"), (1, "A", "y"), (2, "B {c}", "z")]
     assert latex.readable_length("\\begin{document}Hello \\emph{you}\\end{document}") == 9
     assert latex.brace_end("{a{b}", 0) is None
+    guarded = "\\ifx\\a\\b\\endinput\\fi kept\n\\endinput\nno"
+    assert latex.upto_endinput(guarded) == "\\ifx\\a\\b\\endinput\\fi kept\n\n"
+    book = {"b/main.tex": b"A \\expandableinput{one} \\subimport{ch/}{two} \\include{one}\\usepackage{x,loc}\\usepackage{loc}", "b/one.tex": b"1\n", "b/ch/two.tex": b"2 \\input{three}", "b/ch/three.tex": b"3", "b/loc.sty": b"\\newcommand{\\g}{h}"}
+    assert latex.flatten(book, "b/main.tex") == ("A 1\n 2 3\n \n1\n\n\\usepackage{x}\n\\newcommand{\\g}{h}\n\n", [])
     deep = {f"f{i}.tex": f"\\input{{f{i + 1}}}".encode() for i in range(30)}
     assert any("deeper" in w for w in latex.flatten(deep, "f0.tex")[1])
     with pytest.raises(ValueError):
