@@ -10,7 +10,7 @@ wide enough for all that the others leave over; the exact share of those rows de
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -100,23 +100,24 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def statistics(text: Column) -> Column:
-    """STATISTICS of a text as one struct: its number of words, and the shares of different ones among its words, sequences
-    of three words, lines and sentences; in the latter three digits are masked. 1 where there is nothing to count."""
+def statistics(text: Column, names: Sequence[str] = STATISTICS) -> Column:
+    """Those of STATISTICS that `names` has, of a text, as one struct: its number of words, and the shares of different ones
+    among its words, sequences of three words, lines and sentences; in the latter three digits are masked. 1 where there
+    is nothing to count."""
     share = lambda a: once(a, lambda x: F.when(F.size(x) > 0, F.size(F.array_distinct(x)) / F.size(x)).otherwise(F.lit(1.0)))
     parts = lambda x, d: F.filter(F.split(x, d), lambda y: y != "")
     t = F.lower(F.coalesce(text, F.lit("")))
-
-    def of_words(words: Column) -> Column:
-        return F.struct(F.size(words).cast("double").alias("n"), share(words).alias("d"))
-
-    def of_masked(m: Column) -> Column:
+    of_words = {"n_words": lambda w: F.size(w).cast("double"), "distinct_words": share}
+    of_masked = {
         # what a word is followed by is a sequence; the first word of all belongs to none
-        grams = F.regexp_extract_all(m, F.lit(r"\S+(?=(\s+\S+\s+\S+\s+\S+))"), F.lit(1))
-        return F.struct(share(grams).alias("g"), share(parts(m, "\n")).alias("l"), share(parts(m, r"[.!?:]\s+|\n")).alias("s"))
-
-    pair = F.struct(once(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)), of_words).alias("w"), once(F.regexp_replace(t, r"[0-9]+", "#"), of_masked).alias("m"))
-    return once(pair, lambda x: F.struct(*(v.alias(k) for k, v in zip(STATISTICS, (x["w"]["n"], x["w"]["d"], x["m"]["g"], x["m"]["l"], x["m"]["s"])))))
+        "distinct_grams": lambda m: share(F.regexp_extract_all(m, F.lit(r"\S+(?=(\s+\S+\s+\S+\s+\S+))"), F.lit(1))),
+        "distinct_lines": lambda m: share(parts(m, "\n")),
+        "distinct_sentences": lambda m: share(parts(m, r"[.!?:]\s+|\n")),
+    }
+    chosen = lambda of: lambda x: F.struct(F.lit(0).alias("_"), *(f(x).alias(k) for k, f in of.items() if k in names))
+    some = lambda of, value: once(value if set(names) & set(of) else F.lit(None), chosen({k: f for k, f in of.items() if k in names}))
+    pair = F.struct(some(of_words, F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))).alias("w"), some(of_masked, F.regexp_replace(t, r"[0-9]+", "#")).alias("m"))
+    return once(pair, lambda x: F.struct(F.lit(0).alias("_"), *(x["w" if k in of_words else "m"][k].alias(k) for k in STATISTICS if k in names)))
 
 
 # ---------------------------------------------------------------------------------------------- decision list
@@ -216,9 +217,10 @@ def list_expression(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def with_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, STATISTICS)."""
-    return df.select(F.col(key), F.col(text).alias("text"), F.explode(F.array(statistics(F.col(text)))).alias("__s")).select(key, "text", *(F.col(f"__s.{c}").alias(c) for c in STATISTICS))
+def with_statistics(df: DataFrame, key: str, text: str, names: Sequence[str] = STATISTICS) -> DataFrame:
+    """(key, text, and those of STATISTICS that `names` has)."""
+    rows = df.select(F.col(key), F.col(text).alias("text"), F.explode(F.array(statistics(F.col(text), names))).alias("__s"))
+    return rows.select(key, "text", *(F.col(f"__s.{c}").alias(c) for c in STATISTICS if c in names))
 
 
 def measured(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -254,7 +256,8 @@ def teach(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> list[Rule
 def repetitive(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
     """(key, rule, share) of the rows that a rule of the learned list selects and that repeat at least SHARE of their
     words: the number of the first rule that holds, and the exact share. Null keys give no rows."""
-    rules = list_expression(teach(df, key, text, sample))
+    learned = teach(df, key, text, sample)
+    rules, named = list_expression(learned), [c.statistic for rule in learned for c in rule]
     kind = df.schema[key].dataType.simpleString()
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,5 +265,5 @@ def repetitive(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Data
             yield f[[key, "rule"]].assign(share=[repeated_share(t) for t in f["text"]])
 
     # exploding a rule or nothing keeps the planner from computing the rules once more to filter by them
-    rows = with_statistics(df.filter(F.col(key).isNotNull()), key, text).select(key, "text", F.explode(F.when(rules > 0, F.array(rules))).alias("rule"))
+    rows = with_statistics(df.filter(F.col(key).isNotNull()), key, text, named).select(key, "text", F.explode(F.when(rules > 0, F.array(rules))).alias("rule"))
     return rows.mapInPandas(check, f"{key} {kind}, rule int, share double").filter(F.col("share") >= SHARE)
