@@ -247,3 +247,17 @@ def is_html(text: Column) -> Column:
     """A document type or html element within the first 15 characters after white space."""
     head = F.lower(F.substring(F.regexp_replace(text, r"(?U)^\s+", ""), 1, 15))
     return head.startswith("<!doctype html") | head.startswith("<html")
+
+
+# ---------------------------------------------------------------------------------------------- identities
+
+
+def fingerprint(**parts: Column) -> Column:
+    """A canonical identity: the parts as JSON, sorted by name."""
+    return F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))))
+
+
+def subset_id(suite: Column, category: Column, size: Column, seed: Column) -> Column:
+    """A name for a drawn subset with eight digits of the SHA-1 of what it was drawn by."""
+    drawn = F.concat_ws(":", category, size.cast("string"), seed.cast("string"))
+    return F.concat(suite, F.lit("-"), size.cast("string"), F.lit("-"), F.substring(F.sha1(drawn), 1, 8))

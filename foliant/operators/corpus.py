@@ -65,3 +65,13 @@ def owner_as_of(rows: DataFrame, owners: DataFrame, row: str = "row", start: str
     blocks = owners.filter(F.col(size) > 0).withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(start) + F.col(size) - 1) / width))))
     placed = rows.withColumn("__b", F.floor(F.col(row) / width))
     return placed.join(blocks, "__b").filter((F.col(row) >= F.col(start)) & (F.col(row) < F.col(start) + F.col(size))).drop("__b")
+
+
+def first_pages(pages: DataFrame, n: int, page: str = "page") -> DataFrame:
+    """Pages up to number `n`, from 1."""
+    return pages.filter(F.col(page) <= n)
+
+
+def page_range(pages: DataFrame, first: int, last: int, limit: int, page: str = "page", text: str = "text") -> DataFrame:
+    """Pages from `first` to `last` with `too_large`: whether the text has more than `limit` characters; null texts have none."""
+    return pages.filter(F.col(page).between(first, last)).withColumn("too_large", F.coalesce(F.length(text), F.lit(0)) > limit)

@@ -13,9 +13,9 @@ from foliant.operators.corpus import latest
 
 
 def read_tests(spark: SparkSession, path: str) -> DataFrame:
-    """(category, pdf, page, id, type, …) of JSON-lines test files, the category from the file's name."""
+    """(category, pdf, page, id, type, …) of JSON-lines test files, the category from the name of the file or of the folder that holds its parts."""
     rows = spark.read.schema("pdf string, page int, id string, type string, max_diffs int, checked string").json(path)
-    return rows.withColumn("category", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1))
+    return rows.withColumn("category", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1))
 
 
 def samples(tests: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -38,9 +38,9 @@ def unit_scores(tests: DataFrame, failed: DataFrame, candidate: str = "candidate
 
     `failed` holds (candidate, test); a candidate without any failure must be in it with a null test.
     """
-    names = [r[0] for r in failed.filter(F.col(candidate).isNotNull()).select(candidate).distinct().collect()]  # a run has few candidates
+    names = failed.select(F.col(candidate).alias("__c")).filter("__c is not null").distinct()
     units = tests.select(F.col("id").alias("unit"), F.col("category").alias("group"), F.col("pdf").alias("cluster"))
-    every = units.withColumn("__c", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
+    every = units.crossJoin(F.broadcast(names))  # a run has few candidates
     misses = failed.filter("test is not null").select(F.col(candidate).alias("__c"), F.col("test").alias("unit"), F.lit(0.0).alias("__v")).distinct()
     return every.join(misses, ["__c", "unit"], "left").select(F.col("__c").alias(candidate), "unit", "group", "cluster", F.coalesce("__v", F.lit(1.0)).alias("value"))
 
@@ -124,3 +124,31 @@ def shared_and_added(first: DataFrame, second: DataFrame, cluster: str = "cluste
     """(cluster, state): clusters of the second round that the first had too, and those added."""
     a = first.select(cluster).distinct().withColumn("__a", F.lit(True))
     return second.select(cluster).distinct().join(a, cluster, "left").select(cluster, F.when(F.col("__a"), "shared").otherwise("added").alias("state"))
+
+
+def output_path(candidate: Column, pdf: Column) -> Column:
+    """Where a scorer finds a candidate's output for the first page of a file."""
+    return F.concat(candidate, F.lit("/"), F.regexp_replace(pdf, r"\.pdf$", ""), F.lit("_pg1_repeat1.md"))
+
+
+def truth_pages(records: DataFrame, truth: DataFrame, doc: str = "doc_id", page: str = "page", pages: str = "pages") -> DataFrame:
+    """`records` (doc, page, …) with the `truth` of their page, from (doc, pages: an array in order), and `complete`:
+    whether the document has as many records as true pages. Pages without either side are left out."""
+    true = truth.select(doc, F.size(pages).alias("__n"), F.posexplode(pages).alias("__at", "truth")).withColumn(page, F.col("__at") + 1).drop("__at")
+    have = records.groupBy(doc).agg(F.count("*").alias("__have"))
+    return records.join(true, [doc, page]).join(have, doc).withColumn("complete", F.col("__have") == F.col("__n")).drop("__n", "__have")
+
+
+def suite_identity(samples: DataFrame, suite: str, sample: str) -> DataFrame:
+    """(suite, samples, identity): the SHA-256 over the digests of a suite's distinct samples in order, in ranges of their
+    own digests, so that no suite is brought together."""
+    each = samples.select(suite, F.sha2(F.col(sample), 256).alias("d")).distinct()
+    ranges = each.groupBy(suite, F.substring("d", 1, 2).alias("r")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("k"))
+    whole = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "k"))), lambda x: x["k"]), ""), 256)
+    return ranges.groupBy(suite).agg(F.sum("n").alias("samples"), whole.alias("identity"))
+
+
+def given_documents(contexts: DataFrame, documents: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Contexts with `given`: whether their document is among `documents`; one that is not is the caller's error."""
+    known = documents.select(doc).distinct().withColumn("__given", F.lit(True))
+    return contexts.join(known, doc, "left").withColumn("given", F.coalesce("__given", F.lit(False))).drop("__given")

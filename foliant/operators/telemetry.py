@@ -117,3 +117,19 @@ def run_counters(samples: DataFrame, outputs_before: DataFrame, attempts: DataFr
     now = attempts.groupBy("candidate").agg(F.sum(F.col("error").isNull().cast("bigint")).alias("done"), F.sum(F.col("error").isNotNull().cast("bigint")).alias("errors"))
     both = before.join(now, "candidate", "full_outer").na.fill(0, ["skipped", "done", "errors"]).crossJoin(F.broadcast(total))  # one row
     return both.select("candidate", "total", "skipped", "done", "errors", (F.col("total") - F.col("skipped") - F.col("done") - F.col("errors")).alias("remaining"))
+
+
+def medians(records: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, median): exact medians of the known values."""
+    return records.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"))
+
+
+def most_common(rows: DataFrame, column: str) -> DataFrame:
+    """(column, n, place): values by descending count, ties by value; nulls aside. Distinct values are ranked, not rows."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), column)).cast("bigint"))
+
+
+def page_record(rows: DataFrame, page: Column, text: Column, seconds: Column, model: Column) -> DataFrame:
+    """`rows` as page rows of a manifest: index from 0, method, characters, seconds of three digits, and the model."""
+    return rows.withColumns({"index": (page - 1).cast("int"), "method": F.lit("ocr"), "n_chars": F.length(F.coalesce(text, F.lit(""))).cast("bigint"), "seconds": F.round(seconds, 3), "model": model})

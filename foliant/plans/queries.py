@@ -373,4 +373,6 @@ def q_token_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {n: f for n, f in globals().items() if n.startswith("q_")}
+    from foliant.plans import source_queries
+
+    return {n: f for n, f in globals().items() if n.startswith("q_")} | source_queries.queries()

@@ -299,4 +299,6 @@ select result_id, t as text from e where t != raw_text""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from foliant.plans import source_sql
+
+    return SQL | source_sql.oracle_sql()
