@@ -14,10 +14,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.joins import salted_left_join
+from foliant.operators.joins import small_left_join
 from foliant.tables import materialize
 
 TAG = r"</?[A-Za-z][A-Za-z0-9]{0,19}(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[\w#.-]+))*\s*/?>"
@@ -207,70 +207,101 @@ def clean_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- consensus host paths
 
-#: Hosts whose elected paths are broadcast; with more of them, the pages of a host meet them in parts.
+#: Hosts whose lost paths are broadcast; with more of them, the pages of a host meet them in parts.
 BROADCAST_HOSTS = 5000
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "sup", "sub", "code", "u", "s", "small", "ref", "mi", "mo", "mn", "font", "abbr"}
 
 
 class Containers(HTMLParser):
-    """Containers of one page: generalised path, text characters, linked characters, text."""
+    """The containers of one page, and its markup in order, each stretch with the container that it belongs to."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[list] = [["", 0, 0, []]]
+        super().__init__(convert_charrefs=False)
+        self.stack = [0]
+        self.paths, self.own, self.linked_own = [""], [0], [0]
         self.linked = 0
-        self.found: list[tuple[str, int, int, str]] = []
+        self.stretches: list[tuple[int, str, bool]] = []  # container, markup, whether it is text
+
+    @property
+    def at(self) -> int:
+        return self.stack[-1]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        raw = self.get_starttag_text() or ""
         if tag == "a":
             self.linked += 1
-        if tag in INLINE or tag in VOID:
-            return
-        css = re.sub(r"\d+", "", (dict(attrs).get("class") or "").split(" ")[0])
-        self.stack.append([f"{self.stack[-1][0]}/{tag}{'.' + css if css else ''}", 0, 0, []])
+        if tag not in INLINE and tag not in VOID:
+            css = re.sub(r"\d+", "", (dict(attrs).get("class") or "").split(" ")[0])
+            self.paths.append(f"{self.paths[self.at]}/{tag}{'.' + css if css else ''}")
+            self.own.append(0)
+            self.linked_own.append(0)
+            self.stack.append(len(self.paths) - 1)
+        self.stretches.append((self.at, raw, False))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.stretches.append((self.at, self.get_starttag_text() or "", False))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.linked = max(0, self.linked - 1)
-        if tag in INLINE or tag in VOID or not any(x[0].rpartition("/")[2].split(".")[0] == tag for x in self.stack[1:]):
+        if tag in INLINE or tag in VOID:
+            self.stretches.append((self.at, f"</{tag}>", False))
             return
-        while len(self.stack) > 1:
-            done = self.stack.pop()
-            self.close_container(done)
-            if done[0].rpartition("/")[2].split(".")[0] == tag:
-                break
+        names = [self.paths[i].rpartition("/")[2].split(".")[0] for i in self.stack[1:]]
+        if tag in names:
+            keep = len(names) - names[::-1].index(tag)  # the innermost open one of that name
+            self.stretches.append((self.stack[keep], f"</{tag}>", False))
+            del self.stack[keep:]
 
-    def close_container(self, c: list) -> None:
-        self.found.append((c[0], c[1], c[2], "".join(c[3]).strip()))
+    def handle_data(self, data: str, n: int | None = None) -> None:
+        n = len(data.strip()) if n is None else n
+        self.own[self.at] += n
+        self.linked_own[self.at] += n if self.linked else 0
+        self.stretches.append((self.at, data, True))
 
-    def handle_data(self, data: str) -> None:
-        c, n = self.stack[-1], len(data.strip())
-        c[1] += n
-        c[2] += n if self.linked else 0
-        c[3].append(data)
+    def handle_entityref(self, name: str) -> None:
+        self.handle_data(f"&{name};", 1)
 
-    def finish(self) -> list[tuple[str, int, int, str]]:
-        self.close()
-        while self.stack:
-            self.close_container(self.stack.pop())
-        return [x for x in self.found if x[1]]
+    def handle_charref(self, name: str) -> None:
+        self.handle_data(f"&#{name};", 1)
 
+    def scored(self) -> list[tuple[str, int, int]]:
+        """(path, text characters, linked characters) of the containers with text; scripts and styles have none."""
+        return [(p, n, k) for p, n, k in zip(self.paths, self.own, self.linked_own) if n and not re.search(r"/(?:script|style)(?:[./]|$)", p)]
 
-def containers(text: str) -> list[tuple[str, int, int, str]]:
+    def kept(self, wanted: set[str]) -> str:
+        """The page's markup without the texts of containers outside `wanted` and the tags that hold nothing else."""
+        around = {p[: m.start()] for p in wanted for m in re.finditer("/", p)} | wanted
+        return "".join(raw for i, raw, text in self.stretches if self.paths[i] in (wanted if text else around))
+
+
+def parsed(text: str) -> Containers:
     parser = Containers()
     parser.feed(text)
-    return parser.finish()
+    parser.close()
+    return parser
+
+
+def containers(text: str) -> list[tuple[str, int, int, str]]:
+    """(path, text characters, linked characters, text) of a page's containers with text."""
+    page = parsed(text)
+    return [(p, n, k, "".join(raw for i, raw, is_text in page.stretches if is_text and page.paths[i] == p).strip()) for p, n, k in page.scored()]
 
 
-def host_paths(pages: DataFrame, key: str, text: str, host: str, least_share: float = 0.02) -> DataFrame:
-    """(key, host, paths, text): every page extracted by the container paths that its host agrees on.
+def host_paths(pages: DataFrame, key: str, text: str, host: str, least_share: float = 0.02, least_pages: float = 0.002) -> DataFrame:
+    """(key, host, paths, text): every page extracted by the container paths that its host agrees on, as clean text.
 
     A container's score is its own text without linked text, as a share of the page. Pages vote with these scores for
-    generalised paths (tags with the first class, digits removed), sums are combined before the shuffle, and a path
-    wins on a host if it gets `least_share` of the host's votes. A page whose containers all lose keeps its best one.
-    Pages without any element are one container, the path ''. Null texts give an empty text; a null host is '?'.
-    A host may hold any share of all pages: only (path, votes) rows are grouped by host.
+    generalised paths (tags with the first class, digits removed), sums are combined before the shuffle. A path loses on a
+    host if at least two of its pages, and `least_pages` of them, hold it and it gets less than `least_share` of a page
+    on average there; navigation does, a heading or a list item does not, and what too few pages hold to agree on stays.
+    A page whose containers all lose keeps its best one.
+    What is left of a page is its markup with the texts of the winners, which `clean` turns into text, so headings, lists,
+    tables, code and formulas stay, as do the marks of other languages inside elements. Pages without any element are
+    one container, the path '', and are cleaned whole. Null texts give an empty text; a null host is '?'.
+    A host may hold any share of all pages: only (path, votes) rows are grouped by host, and of those the losers, which
+    are at most the paths of a page over `least_pages`.
     """
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key), F.coalesce(F.col(host).cast("string"), F.lit("?")).alias("host"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(TAG), F.lit(False)).alias("is_page"))
@@ -280,30 +311,31 @@ def host_paths(pages: DataFrame, key: str, text: str, host: str, least_share: fl
         for f in frames:
             out = []
             for h, t in zip(f["host"], f["text"]):
-                found = containers(t)
-                whole = sum(n for _, n, _, _ in found) or 1
-                out += [(h, p, (n - linked) / whole) for p, n, linked, _ in found]
+                found = parsed(t).scored()
+                whole, own = sum(n for _, n, _ in found) or 1, {}
+                for p, n, linked in found:
+                    own[p] = own.get(p, 0.0) + (n - linked) / whole
+                out += [(h, p, v) for p, v in own.items()] + [(h, None, 0.0)]
             yield pd.DataFrame(out, columns=["host", "path", "score"])
 
-    votes = marked.select("host", "text").mapInPandas(score, "host string, path string, score double").groupBy("host", "path").agg(F.sum("score").alias("votes"))
-    of_host = Window.partitionBy("host")
-    winners = votes.withColumn("all_votes", F.sum("votes").over(of_host)).filter(F.col("votes") >= least_share * F.col("all_votes"))
-    elected = winners.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("elected"))  # at most 1 / least_share paths
+    votes = marked.select("host", "text").mapInPandas(score, "host string, path string, score double").groupBy("host", "path").agg(F.sum("score").alias("votes"), F.count("*").alias("pages"))
+    votes = materialize(votes)
+    of_host = votes.filter("path is null").select("host", F.col("pages").alias("all_pages"))
+    lost = votes.filter("path is not null").join(of_host, "host").filter((F.col("pages") >= F.greatest(F.lit(2), least_pages * F.col("all_pages"))) & (F.col("votes") < least_share * F.col("pages")))
+    losers = lost.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("lost"))
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for k, h, t, e in zip(f[key], f["host"], f["text"], f["elected"]):
-                found, wanted = containers(t), set(e if e is not None else ())
-                kept = [x for x in found if x[0] in wanted] or sorted(found, key=lambda x: x[2] - x[1])[:1]
-                out.append((k, h, sorted({x[0] for x in kept}), "\n\n".join(x[3] for x in kept)))
+            for k, h, t, e in zip(f[key], f["host"], f["text"], f["lost"]):
+                page, lost = parsed(t), set(e if e is not None else ())
+                found = page.scored()
+                kept = {x[0] for x in found if x[0] not in lost} or {x[0] for x in sorted(found, key=lambda x: x[2] - x[1])[:1]}
+                out.append((k, h, sorted(kept), clean(page.kept(kept))))
             yield pd.DataFrame(out, columns=[key, "host", "paths", "text"])
 
-    elected = materialize(elected)
-    if elected.count() <= BROADCAST_HOSTS:  # at most that many hosts of 1 / least_share paths
-        met = marked.join(F.broadcast(elected), "host", "left")
-    else:
-        met = salted_left_join(marked, elected, ["host"], F.col(key))
-    extracted = met.select(key, "host", "text", "elected").mapInPandas(extract, f"{key} {kind}, host string, paths array<string>, text string")
-    plain = rows.filter("not is_page").select(key, "host", F.array(F.lit("")).alias("paths"), F.coalesce("text", F.lit("")).alias("text"))
+    met = small_left_join(marked, materialize(losers), ["host"], F.col(key), BROADCAST_HOSTS)
+    extracted = met.select(key, "host", "text", "lost").mapInPandas(extract, f"{key} {kind}, host string, paths array<string>, text string")
+    bare = clean_texts(rows.filter("not is_page").withColumn("__key", F.struct(F.col(key).alias("k"), "host")), "__key", "text")
+    plain = bare.select(F.col("__key.k").alias(key), "__key.host", F.array(F.lit("")).alias("paths"), F.coalesce("text", F.lit("")).alias("text"))
     return plain.unionByName(extracted)

@@ -25,8 +25,10 @@ def _marked_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_method(spark: SparkSession, d: str) -> DataFrame:
-    """Consensus host paths over both tables; the host is the kind of source that a document came from."""
-    kinds = load(spark, d, "manifests").groupBy("doc_id").agg(F.min("source_kind").alias("host"))
+    """Consensus host paths over both tables; the host is where a document came from: the folder and the ending of its
+    source path."""
+    path = F.min("source_path")
+    kinds = load(spark, d, "manifests").groupBy("doc_id").agg(F.concat(F.regexp_extract(path, "^(.*/)?", 0), F.lit("*"), F.regexp_extract(path, r"\.[^./]*$", 0)).alias("host"))
     rows = salted_left_join(_marked_rows(spark, d).withColumn("key", F.concat_ws(":", "table_name", "row_id")), kinds, ["doc_id"], F.col("key"))
     found = markup.host_paths(rows, "key", "text", "host")
     return found.select(F.split("key", ":")[0].alias("table_name"), F.split("key", ":")[1].cast("bigint").alias("row_id"), "host", "paths", "text")

@@ -83,3 +83,12 @@ def test_host_paths_elect_the_shared_container(spark, with_clashes, monkeypatch,
     assert out[3].text == "the article text of page 3" and out[3].paths == ["/div.body/p"]
     assert out[100].text == "plain" and out[101].text == "" and out[101].host == "?" and out[102].text == "alone"
     assert host_paths(spark.createDataFrame([], "id int, host string, text string"), "id", "text", "host").count() == 0
+
+
+def test_host_paths_keep_structure_and_clean_other_marks(spark):
+    nav = '<ul class="nav"><li><a href="#">menu</a></li><li><a href="#">more</a></li></ul><script>var x = 1;</script>'
+    page = lambda i: nav + f"<div class='c'><h2>Part {i}</h2><p>Some **bold** text &amp; $a_1$ of page {i}, long enough to win.</p><ul><li>one point of it</li><li>other point of it</li></ul><table><tr><td>cell</td><td>{i}</td></tr></table></div>"
+    rows = [(i, "h", page(i)) for i in range(30)] + [(100, "h", "# T\n\n- [x] a *b*"), (101, "h", "<p>only &lt;i&gt;</p>")]
+    out = {r.id: r for r in host_paths(spark.createDataFrame(rows, "id int, host string, text string"), "id", "text", "host").collect()}
+    assert out[3].text == "Part 3\n\nSome bold text & a_1 of page 3, long enough to win.\n\n• one point of it\n• other point of it\n\ncell\t3"
+    assert out[100].text == "T\n\n• a *b*" and out[100].paths == [""] and out[101].text == "only <i>"
