@@ -54,7 +54,7 @@ def soft_hyphens_joined(text: Column, words: Column) -> Column:
     glued = lambda acc, x: F.when(
         (tail(acc) != "") & (head(x) != "") & F.array_contains(words, F.lower(F.concat(tail(acc), head(x)))), F.concat(acc, x)
     ).otherwise(F.concat_ws("-", acc, x))
-    return F.when(F.size(parts) > 1, F.aggregate(F.slice(parts, 2, 1_000_000), parts[0], glued)).otherwise(text)
+    return F.when(F.size(parts) > 1, F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), parts[0], glued)).otherwise(text)
 
 
 def clean_text_layer(text: Column, words: Column | None = None) -> Column:
@@ -83,7 +83,8 @@ def split_pages(markdown: Column) -> Column:
     """Array of structs (number, text) from page-marked Markdown. A repeated number keeps its first place and its last
     text."""
     numbers = F.regexp_extract_all(markdown, F.lit(PAGE_MARKER), F.lit(1))
-    texts = F.slice(F.split(markdown, PAGE_MARKER.replace("(\\d+)", "\\d+").replace("(\\w+)", "\\w+")), 2, 1_000_000)
+    parts = F.split(markdown, PAGE_MARKER.replace("(\\d+)", "\\d+").replace("(\\w+)", "\\w+"))
+    texts = F.slice(parts, F.lit(2), F.size(parts) - 1)
     raw = F.zip_with(numbers, texts, lambda n, t: F.struct(n.cast("int").alias("number"), stripped(t).alias("text")))
     first = F.array_distinct(F.transform(raw, lambda p: p["number"]))
     return F.transform(first, lambda n: F.struct(n.alias("number"), F.element_at(F.filter(raw, lambda p: p["number"] == n), -1)["text"].alias("text")))

@@ -7,7 +7,7 @@ chunks it touches: pages are cut and sent to their chunks, and no document is ev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import PAGE_BREAK, chunk_name
@@ -39,17 +39,25 @@ def chunk_pages(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int =
     last_chunk = F.greatest(F.lit(0), F.ceil((F.col("total") - chunk_chars) / stride)).cast("bigint")
     low = F.greatest(F.lit(0), F.ceil((F.col("begin") - chunk_chars) / stride)).cast("bigint")
     high = F.least(F.floor((F.col("end") - 1) / stride), F.col("last_chunk")).cast("bigint")
-    touched = (
-        placed.join(whole.withColumn("last_chunk", last_chunk), "doc_id")
-        .filter(low <= high)
-        .select("*", F.explode(F.sequence(low, high)).alias("chunk"))
-    )
+    # a page is cut once into blocks of a stride; each chunk takes its part from the few blocks it reaches, and only parts
+    # are multiplied, never the page
+    blocks = F.regexp_extract_all(F.concat(F.repeat(F.lit(" "), (F.col("begin") % stride).cast("int")), F.col("joined")), F.lit(f"(?s)(.{{1,{stride}}})"), F.lit(1))
+    met = placed.join(whole.withColumn("last_chunk", last_chunk), "doc_id").filter(low <= high).withColumns({"low": low, "high": high, "block": F.floor(F.col("begin") / stride), "blocks": blocks})
+    reach = -(-chunk_chars // stride) + 1
+
+    def part_of(chunk: Column) -> Column:
+        start = chunk * stride
+        a, z = F.greatest(start, F.col("begin")), F.least(start + chunk_chars, F.col("end"))
+        i = F.greatest(chunk - F.col("block"), F.lit(0))
+        near = F.array_join(F.slice("blocks", (i + 1).cast("int"), F.lit(reach)), "")
+        return F.substring(near, (a - (F.col("block") + i) * stride + 1).cast("int"), F.greatest(F.lit(0), z - a).cast("int"))
+
+    pieces = F.transform(F.sequence("low", "high"), lambda k: F.struct(k.alias("chunk"), part_of(k).alias("part")))
+    touched = met.select("doc_id", "last_chunk", "page_a", "page_z", "page", "begin", "end", "refs", F.explode(pieces).alias("x")).select("*", "x.chunk", "x.part")
     start, stop = F.col("chunk") * stride, F.col("chunk") * stride + chunk_chars
-    a = F.greatest(start, F.col("begin"))
-    part = F.substring("joined", (a - F.col("begin") + 1).cast("int"), F.greatest(F.lit(0), F.least(stop, F.col("end")) - a).cast("int"))
     holds = lambda at: (F.col("begin") <= at) & (at < F.col("end"))
     grouped = touched.groupBy("doc_id", "chunk", "last_chunk", "page_a", "page_z").agg(
-        F.sort_array(F.collect_list(F.struct("page", part.alias("part"), "refs"))).alias("parts"),
+        F.sort_array(F.collect_list(F.struct("page", "part", "refs"))).alias("parts"),
         F.max(F.when(holds(start + overlap), F.col("page"))).alias("cut_before"),
         F.max(F.when(holds(stop), F.col("page"))).alias("cut_after"),
     )

@@ -29,3 +29,18 @@ def small_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spre
     if right.limit(most + 1).count() <= most:
         return left.join(F.broadcast(right), [*keys], "left")
     return salted_left_join(left, right, keys, spread)
+
+
+def small_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column, most: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+    """The inner join of `left` with a right side that is written already: broadcast up to `most` rows; beyond them its
+    rows are repeated for `salts` parts of the left rows, so that a hot key goes to as many tasks."""
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), [*keys])
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [*keys, "__salt"]).drop("__salt")
+
+
+def semi_join(left: DataFrame, keys: DataFrame, key: str, most: int = 50 * BROADCAST_ROWS) -> DataFrame:
+    """The rows of `left` whose `key` is among `keys` (one column, written already), which are broadcast up to `most`."""
+    few = keys.limit(most + 1).count() <= most
+    return left.join(F.broadcast(keys) if few else keys, key, "left_semi")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.joins import small_join
 from foliant.operators.ranking import top_per_group
 from foliant.tables import materialize
 
@@ -73,17 +74,19 @@ def bm25_top(rows: DataFrame, queries: DataFrame, depth: int, key: str = "chunk_
     queries' terms only; statistics of all rows are counts. Queries without words and rows that share none are left out.
     """
     terms = queries.select(query, F.explode(F.array_distinct(analyzer(F.col(question)))).alias("term"))
-    sized = rows.filter(F.col(text).isNotNull()).select(key, analyzer(F.col(text)).alias("ws")).withColumn("len", F.size("ws"))
-    # the postings of the query terms; `wanted` holds distinct words of questions only
-    wanted = terms.select("term").distinct()
-    postings = materialize(sized.select(key, "len", F.explode("ws").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf")))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    # every row is analysed once: the terms of queries and, as the empty term, the row itself, which counts for the statistics
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
+    analysed = rows.filter(F.col(text).isNotNull()).select(key, analyzer(F.col(text)).alias("ws")).select(key, F.size("ws").alias("len"), F.explode(F.concat(F.array(F.lit("")), "ws")).alias("term"))
+    postings = materialize(analysed.join(wanted, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf")))
+    stats = postings.filter("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    postings = postings.filter("term != ''")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len")  # stats is one row
-    per_term = terms.join(weights, "term")
+    per_term = materialize(terms.join(weights, "term"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    scored = per_term.join(postings, "term").select(query, key, (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("s"))
+    # a common term may be in a third of all rows: their postings stay spread
+    scored = small_join(postings, per_term, ["term"], F.col(key)).select(query, key, (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("s"))
     totals = scored.groupBy(query, key).agg(F.sum("s").alias("score"))
     return top_per_group(totals, [query], [F.desc("score"), F.asc(key)], depth, F.col(key))
 

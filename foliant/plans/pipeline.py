@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.corpus import latest
+from foliant.operators.joins import semi_join
 from foliant.operators.ranking import top_per_group
 from foliant.operators.retrieval import CANDIDATES, cap_per_document, rerank, rrf, word_share
+from foliant.tables import materialize
 
 
 def pages_of(segments: DataFrame) -> DataFrame:
@@ -31,12 +33,13 @@ def retrieve(hits: DataFrame, chunks: DataFrame, questions: DataFrame, corpus: D
     """(question_id, context, chunk_id, doc_id, rank, rerank_score): the flagship.
 
     Lists are fused, at most `cap` hits of a document kept among `candidates`, hits of documents that left the corpus
-    dropped, the rest scored against the question and cut to `contexts`. Chunk texts are read for candidates only.
+    dropped, the rest scored against the question and cut to `contexts`. The candidates are written, and the chunks that
+    are none are left out where they are read, so that only texts of candidates are moved.
     """
     docs = hits.groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"))
     first = cap_per_document(fused(hits).join(docs, "chunk_id"), "question_id", "doc_id", cap, candidates)
-    live = first.join(corpus.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = chunks.select("chunk_id", "text")
+    live = materialize(first.join(corpus.select("doc_id").distinct(), "doc_id", "left_semi"))
+    texts = semi_join(chunks.select("chunk_id", "text"), live.select("chunk_id").distinct(), "chunk_id")
     asked = questions.groupBy("question_id").agg(F.min("question").alias("question"))
     scored = live.join(texts, "chunk_id", "left").join(asked, "question_id", "left")
     best = rerank(scored, "question_id", scorer(F.col("question"), F.col("text")), contexts)

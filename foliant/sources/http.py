@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import email.utils
+import gzip
 import threading
 import time
+import zlib
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from foliant.errors import SourceUnavailable
 
-RETRYABLE = {408, 429, 500, 502, 503, 504}
+RETRYABLE = {406, 429, 500, 502, 503, 504}
 
 
 def retry_after(value: str | None, now: datetime) -> float | None:
@@ -28,6 +30,16 @@ def retry_after(value: str | None, now: datetime) -> float | None:
     return max(0.0, ((at if at.tzinfo else at.replace(tzinfo=timezone.utc)) - now).total_seconds())
 
 
+def decoded(body: bytes, headers: dict[str, str]) -> tuple[bytes, dict[str, str]]:
+    """A body without its gzip encoding, and the headers without what was true of the encoded one only."""
+    if headers.get("content-encoding", "").strip().lower() not in ("gzip", "x-gzip"):
+        return body, headers
+    try:
+        return gzip.decompress(body), {k: v for k, v in headers.items() if k not in ("content-encoding", "content-length")}
+    except (OSError, EOFError, zlib.error) as e:
+        raise OSError(f"broken gzip body: {e}") from e
+
+
 class PoliteClient:
     """`send(url)` returns (status, headers, chunks of bytes). Starts of requests are `delay` seconds apart; a pause
     that the server asks for holds for all."""
@@ -58,7 +70,7 @@ class PoliteClient:
                         if announced and "content-encoding" not in headers and len(body) < int(announced):
                             problem = f"truncated body ({len(body)} of {announced} bytes)"
                             continue
-                        return body
+                        return decoded(body, headers)[0]
                     if status not in RETRYABLE:
                         raise SourceUnavailable(f"{url} answered {status}")
                     problem = f"status {status}"

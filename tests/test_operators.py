@@ -247,3 +247,34 @@ def test_salted_join(spark):
     right = spark.createDataFrame([("hot", 1), ("b", 2)], "k string, v int")
     got = {r.i: r.v for r in salted_left_join(left, right, ["k"], F.col("i")).collect()}
     assert len(got) == 103 and got[5] == 1 and got[200] == 2 and got[300] is None and got[400] is None
+
+
+def test_comparisons_have_difference_interval_and_p(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, f"u{i}", f"cl{i % 12}", f"g{i % 2}", float(rng.normal(5 + (c == "b"), 1))) for c in ("a", "b") for i in range(240)] + [("c", "u0", "cl0", "g0", 1.0), ("c", "u1", "cl1", "g1", None)]
+    out = {(r.a, r.b): r for r in statistics.compare(spark.createDataFrame(rows, "n string, u string, cl string, g string, v double"), "n", "u", "v", "cl", "g").collect()}
+    ab = out["a", "b"]
+    assert ab.low < ab.diff < ab.high < 0 and ab.n == 240 and ab.n_clusters == 12 and ab.p_value < 0.05
+    assert out["a", "c"].n == 1 and out["a", "c"].low is None
+
+
+def test_joins_with_small_and_hot_sides_agree(spark):
+    from foliant.operators.joins import semi_join, small_join, small_left_join
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(900, None)], "id long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v int")
+    for join, args in ((small_left_join, (["k"], F.col("id"))), (small_join, (["k"], F.col("id")))):
+        assert sorted(map(tuple, join(left, right, *args).select("id", "v").collect()), key=str) == sorted(map(tuple, join(left, right, *args, most=1).select("id", "v").collect()), key=str)
+    assert semi_join(left, right.select("k"), "k").count() == semi_join(left, right.select("k"), "k", 1).count() == 201
+
+
+def test_pages_beside_their_truth(spark):
+    from foliant.operators.evaluation import given_documents, suite_identity, truth_pages
+
+    records = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "y"), ("c", 1, "z")], "doc_id string, page int, text string")
+    truth = spark.createDataFrame([("a", ["p", "q"]), ("b", ["r", "s"]), ("d", []), ("e", None)], "doc_id string, pages array<string>")
+    assert {tuple(r) for r in truth_pages(records, truth).select("doc_id", "page", "truth", "complete").collect()} == {("a", 1, "p", True), ("a", 2, "q", True), ("b", 1, "r", False)}
+    assert {r.doc_id: r.given for r in given_documents(records, truth).collect()} == {"a": True, "b": True, "c": False}
+    rows = spark.createDataFrame([("s", "1"), ("s", "2"), ("s", "2"), ("t", "2")], "s string, x string")
+    ids = {r.s: (r.samples, r.identity) for r in suite_identity(rows, "s", "x").collect()}
+    assert ids["s"][0] == 2 and ids["t"][0] == 1 and ids["s"][1] != ids["t"][1]

@@ -98,6 +98,15 @@ def test_latex_parts():
         latex.flatten({"m.tex": b"x" * 100}, "m.tex", max_chars=10)
 
 
+def test_gzip_answers_are_decoded():
+    from foliant.sources.http import RETRYABLE, decoded
+
+    body, headers = decoded(gzip.compress(b"text"), {"content-encoding": "gzip", "content-length": "9", "etag": "x"})
+    assert body == b"text" and headers == {"etag": "x"} and decoded(b"plain", {"a": "b"}) == (b"plain", {"a": "b"}) and 406 in RETRYABLE
+    with pytest.raises(OSError):
+        decoded(b"no gzip", {"content-encoding": "gzip"})
+
+
 def test_main_file_rules(spark):
     full = "\\documentclass{article}\\begin{document}x\\end{document}"
     cases = {
