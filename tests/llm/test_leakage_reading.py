@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -124,3 +125,26 @@ def test_reading_with_awkward_rows(spark, with_clashes):
     assert {r.level for r in reading_levels(docs, none).collect()} == {None}
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert reading_levels(empty, labels).count() == 0 and reading_features(empty).count() == 0
+
+
+def test_ranks_of_words_that_are_not_sent(spark):
+    r = random.Random(2)
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ["n", "rt", "st", "x"]]
+    texts = [(i, " ".join(r.choice(words[: 20 + 2 * (i % 60)]) for _ in range(100 + i)) + ".", "en" if i % 3 else "fr") for i in range(90)] + [(900, "zzz qqq " * 60, "en"), (901, "ban dan " * 60, "xx")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    counts: dict = {}
+    for _, t, g in texts:
+        for w in t.replace(".", "").split():
+            counts.setdefault(g, {}).setdefault(w, 0)
+            counts[g][w] += 1
+    whole = {x.doc_id: x for x in reading_features(docs).collect()}
+    few = {x.doc_id: x for x in reading_features(docs, vocabulary=60).collect()}
+    none = {x.doc_id: x for x in reading_features(docs, vocabulary=0).collect()}
+    assert whole.keys() == few.keys() == none.keys() and all(whole[k].lang == few[k].lang for k in whole)
+    for k, t, g in texts:
+        ws = t.replace(".", "").split()
+        place = sorted(sum(n >= counts[g][w] for n in counts[g].values()) for w in ws)
+        for share, name in ((0.8, "rank_80"), (0.95, "rank_95")):
+            wanted = math.log(place[min(len(ws) - 1, int(len(ws) * share))])
+            assert none[k][name] == pytest.approx(wanted)
+            assert few[k][name] == pytest.approx(wanted, abs=0.5) and whole[k][name] <= wanted + 1e-9
