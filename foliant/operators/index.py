@@ -1,21 +1,21 @@
 """Incremental maintenance of a chunk index by content key, with committed snapshots.
 
-Chunk versions are only ever appended; the newest version of a document counts, a tombstone removes it. A commit writes
-the searchable state as a new snapshot folder and then moves one pointer file, so readers see the old or the new state.
+Chunk versions are only ever appended, in buckets of documents; the newest version of a document counts, a tombstone
+removes it. A commit rewrites the buckets that have new versions as folders of a new snapshot and then moves one pointer
+file, so readers see the old or the new state and a small change costs a small commit.
 """
 
 from __future__ import annotations
 
-import fcntl
 import json
-import os
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.sources.shared import BucketTable
+
 
 def diff(current: DataFrame, indexed: DataFrame) -> DataFrame:
     """(doc_id, state, key): new, changed, unchanged or stale documents from two tables (doc_id, key)."""
@@ -42,32 +42,23 @@ def newest_versions(versions: DataFrame) -> DataFrame:
 
 
 class ChunkIndex:
-    """A folder with `versions/` (appended parquet), `snapshots/<generation>/` and the file `CURRENT`."""
+    """A folder with `versions/` (appended parquet by bucket), `snapshots/<generation>/bucket=…` and the file `CURRENT`."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.table = spark, BucketTable(spark, root, buckets)
 
-    @contextmanager
-    def writer(self) -> Iterator[None]:
+    def writer(self) -> AbstractContextManager[None]:
         """One writer at a time; a second one is refused."""
-        with open(os.path.join(self.root, "LOCK"), "w") as lock:
-            try:
-                fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
-            except OSError as e:
-                raise RuntimeError("the index is being written by another process") from e
-            yield
-
-    @property
-    def _versions(self) -> str:
-        return os.path.join(self.root, "versions")
+        return self.table.folder.lock()
 
     def versions(self) -> DataFrame | None:
-        return self.spark.read.option("mergeSchema", "true").parquet(self._versions) if os.path.isdir(self._versions) else None
+        if not self.table.folder.exists("versions"):
+            return None
+        return self.spark.read.option("mergeSchema", "true").parquet(self.table.folder.address("versions"))
 
     def live(self) -> DataFrame | None:
         v = self.versions()
-        return None if v is None else newest_versions(v)
+        return None if v is None else newest_versions(v).drop("bucket")
 
     def keys(self) -> DataFrame:
         live = self.live()
@@ -78,7 +69,8 @@ class ChunkIndex:
     def _append(self, rows: DataFrame) -> None:
         v = self.versions()
         last = (v.agg(F.max("seq")).first()[0] or 0) if v is not None else 0
-        rows.withColumn("seq", F.lit(last + 1).cast("bigint")).withColumn("stem", F.lit(uuid.uuid4().hex)).write.mode("append").parquet(self._versions)
+        new = rows.withColumns({"seq": F.lit(last + 1).cast("bigint"), "stem": F.lit(uuid.uuid4().hex), "bucket": self.table.bucket("doc_id")})
+        new.repartition("bucket").write.partitionBy("bucket").mode("append").parquet(self.table.folder.address("versions"))
 
     def upsert(self, chunks: DataFrame) -> None:
         """Replaces the documents in `chunks` (doc_id, key, start, text, …)."""
@@ -90,26 +82,27 @@ class ChunkIndex:
             self._append(documents.select("doc_id").distinct().withColumn("deleted", F.lit(True)))
 
     def commit(self) -> str:
-        """Writes the live state as a new snapshot, ordered by document and place, and makes it current."""
+        """Rewrites the buckets with versions since the last commit, ordered by document and place, and makes them
+        current."""
         with self.writer():
-            live = self.live()
-            generation = uuid.uuid4().hex
-            if live is not None:
-                live.drop("deleted").orderBy("doc_id", "start").write.parquet(os.path.join(self.root, "snapshots", generation))
-            pointer = os.path.join(self.root, "CURRENT")
-            with open(pointer + ".new", "w") as h:
-                json.dump({"generation": generation, "empty": live is None}, h)
-            os.replace(pointer + ".new", pointer)
-        return generation
+            state, versions = self.table.state() or {"seq": 0}, self.versions()
+            if versions is None:
+                state = {"generation": uuid.uuid4().hex, "parts": {}, "seq": 0}
+                self.table.folder.replace(self.table.pointer, json.dumps(state))
+                return state["generation"]
+            touched = [r.bucket for r in versions.filter(F.col("seq") > state["seq"]).select("bucket").distinct().collect()]  # at most as many as buckets
+            last = versions.agg(F.max("seq")).first()[0] or 0
+            own = newest_versions(versions.filter(F.col("bucket").isin(touched))).drop("deleted")
+            return self.table.replace(own, touched, ["doc_id", *(["start"] if "start" in own.columns else [])], seq=last)["generation"]
 
     def search_state(self) -> DataFrame | None:
-        """The committed snapshot, resolved once; null before the first commit."""
-        try:
-            with open(os.path.join(self.root, "CURRENT")) as h:
-                current = json.load(h)
-        except FileNotFoundError:
-            return None
-        return None if current["empty"] else self.spark.read.parquet(os.path.join(self.root, "snapshots", current["generation"]))
+        """The committed snapshot, resolved once; null before the first commit and where it is empty."""
+        return self.table.read()
+
+    def clean(self, least_age: float = 24 * 3600) -> list[str]:
+        """Deletes snapshot folders that are not current; see `BucketTable.clean`."""
+        with self.writer():
+            return self.table.clean(least_age)
 
     def pending(self) -> bool:
         """Whether stored versions differ from the committed snapshot."""

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliant import schemas
 from foliant.operators.corpus import latest
+from foliant.sources.shared import BucketTable
 
 
 def stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -26,16 +25,23 @@ def failure_rates(attempts: DataFrame, width: str = "10 minutes", late: str = "1
     )
 
 
+def stored(spark: SparkSession, target: str) -> DataFrame | None:
+    """What `keep_latest` has kept so far; null before the first batch."""
+    return BucketTable(spark, target).read()
+
+
 def keep_latest(attempts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest attempt per candidate and sample in `target`: each micro-batch is merged with what is stored,
-    written beside it and swapped in. Late rows take part; a batch that is run again gives the same table."""
+    """Keeps the newest attempt per candidate and sample in `target`: each micro-batch is merged with the buckets that it
+    touches, which are written anew and then made current. Late rows take part; a batch that is run again gives the same
+    table."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = os.path.join(target, "current")
-        rows = batch if not os.path.exists(stored) else batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(os.path.realpath(stored)))
-        fresh = os.path.join(target, f"batch={number}")
-        latest(rows, ["candidate", "sample_id"], ["ts"], "attempts").select(*batch.columns).write.mode("overwrite").parquet(fresh)
-        os.symlink(fresh, stored + ".new")
-        os.replace(stored + ".new", stored)
+        table = BucketTable(batch.sparkSession, target)
+        fresh = batch.withColumn("bucket", table.bucket("candidate", "sample_id"))
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most as many as buckets
+        before = table.read(only=touched)
+        rows = batch if before is None else batch.unionByName(before, allowMissingColumns=True)
+        newest = latest(rows, ["candidate", "sample_id"], ["ts"], "attempts").select(*batch.columns)
+        table.replace(newest.withColumn("bucket", table.bucket("candidate", "sample_id")), touched, ["candidate", "sample_id"], f"batch-{number}")
 
     return attempts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -130,6 +130,12 @@ def test_index_life_cycle(spark, tmp_path):
     assert not ix.pending() and ix.search_state().count() == 4
     with ix.writer(), pytest.raises(RuntimeError), ix.writer():
         pass
+    before = ix.table.state()["parts"]
+    ix.remove(spark.createDataFrame([("e",)], "doc_id string"))
+    ix.commit()
+    after = ix.table.state()["parts"]
+    assert ix.search_state().count() == 3 and {b: p for b, p in after.items()} == {b: p for b, p in before.items() if b in after}  # other buckets are not written
+    assert ix.clean() == [] and len(ix.clean(0)) >= 1 and ix.search_state().count() == 3
 
 
 def test_diff_states(spark):

@@ -7,10 +7,13 @@ import pytest
 
 from foliant.operators.index import ChunkIndex
 from foliant.plans import queries as core
-from foliant.plans.sql import SQL
+from foliant.plans.sql import oracle_sql
 from foliant.streaming import indexing, telemetry
 
 
+SQL = oracle_sql()
+
+
 def write(path, rows, n):
     path.mkdir(exist_ok=True)
     (path / f"{n}.json").write_text("\n".join(json.dumps(r) for r in rows))
@@ -28,7 +31,7 @@ def test_latest_attempts_as_a_stream(spark, tmp_path):
     run()
     write(src, [attempt("a", "2", "2026-01-01T00:01:00", 2), attempt("a", "1", "2025-12-31T00:00:00", 3)], 2)
     run()
-    rows = spark.read.parquet(str((out / "current").resolve())).collect()
+    rows = telemetry.stored(spark, str(out)).collect()
     assert {(r.sample_id, r.attempts, r.error) for r in rows} == {("1", 1, None), ("2", 2, None)}
 
 
