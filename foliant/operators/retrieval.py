@@ -21,11 +21,11 @@ QUERY_BLOCK = 1024
 K1, B = 1.2, 0.75
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, depth: int, key: str = "vec_id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
+def dense_top(vectors: DataFrame, queries: DataFrame, depth: int, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", digits: int | None = None) -> DataFrame:
     """(query, key, score, rank): for each query vector the `depth` rows with the largest cosine, ties by smaller key.
 
     Exact: all queries meet all rows, in blocks of QUERY_BLOCK queries whose matrix is broadcast. Every Arrow batch is
-    one matrix product and hands on only its own best `depth` rows per query. Rows and queries without vector, or with
+    one matrix product and hands on only its own best `depth` rows per query. With `digits`, scores are rounded before they are ranked, so that equal vectors tie. Rows and queries without vector, or with
     one of another length, are left out; a zero vector has score 0 with everything.
     """
     asked = queries.filter(F.col(vector).isNotNull() & F.col(query).isNotNull()).select(F.col(query).alias("q"), F.col(vector).alias("v"))
@@ -50,7 +50,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, depth: int, key: str = "ve
                     continue
                 x = np.stack(f["v"].to_numpy()).astype("float64")
                 x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
-                s = m @ x.T
+                s = m @ x.T if digits is None else np.round(m @ x.T, digits) + 0.0
                 keys = f["k"].to_numpy()
                 order = np.argsort(keys, kind="stable")
                 s, keys = s[:, order], keys[order]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import looks_english
 from foliant.operators.corpus import latest
 from foliant.operators.joins import semi_join
 from foliant.operators.ranking import top_per_group
-from foliant.operators.retrieval import CANDIDATES, cap_per_document, rerank, rrf, word_share
+from foliant.operators.retrieval import CANDIDATES, bm25_top, cap_per_document, dense_top, rerank, rrf, word_share, words
 from foliant.tables import materialize
 
 
@@ -67,3 +70,28 @@ def page_scores(results: DataFrame, value: Column) -> DataFrame:
     known = results.filter("candidate is not null and doc_id is not null and page_no is not null")
     narrow = known.select("candidate", page_unit().alias("unit"), "category", value.alias("value"), "ts", "ingested_at", "result_id")
     return latest(narrow, ["candidate", "unit"], ["ts", "ingested_at"], "result_id").select("candidate", "unit", "category", "value")
+
+
+def search(chunks: DataFrame, questions: DataFrame, corpus: DataFrame, embed: Callable[[Column], Column], cap: int = 3, candidates: int = 20, contexts: int = 5, depth: int = CANDIDATES, analyzer: Callable[[Column], Column] = words, scorer=word_share) -> DataFrame:
+    """(question_id, context, chunk_id, doc_id, rank, score_kind, rerank_score): a search from texts to contexts.
+
+    All chunks are ranked by the cosine of their vectors, and for questions that look English by BM25 as well; both
+    rankings are then fused by reciprocal ranks. At most `cap` chunks of a document stay among `candidates`, chunks of
+    documents that left the corpus are dropped, the rest is scored against the question and cut to `contexts`. Null
+    questions and texts take no part. Texts are moved for candidates only.
+    """
+    asked = materialize(questions.filter("question is not null").groupBy("question_id").agg(F.min("question").alias("question")).withColumn("english", looks_english(F.col("question"))))
+    vectors = chunks.filter("text is not null").select("chunk_id", embed(F.col("text")).alias("embedding"))
+    dense = materialize(dense_top(vectors, asked.select("question_id", embed(F.col("question")).alias("embedding")), depth, "chunk_id", "embedding", "question_id", 9))
+    keyword = bm25_top(chunks, asked.filter("english"), depth, analyzer=analyzer)
+    english = asked.filter("english").select("question_id")
+    both = rrf(dense.join(english, "question_id", "left_semi"), keyword, "question_id", "chunk_id", n=depth).withColumn("score_kind", F.lit("rrf"))
+    alone = dense.join(english, "question_id", "left_anti").select("question_id", "chunk_id", "score", "rank").withColumn("score_kind", F.lit("cosine"))
+    first = materialize(both.unionByName(alone))  # `depth` rows a question
+    docs = semi_join(chunks.select("chunk_id", "doc_id"), materialize(first.select("chunk_id").distinct()), "chunk_id")
+    kept = cap_per_document(first.join(docs, "chunk_id"), "question_id", "doc_id", cap, candidates)
+    live = materialize(kept.join(corpus.select("doc_id").distinct(), "doc_id", "left_semi"))
+    texts = semi_join(chunks.select("chunk_id", "text"), live.select("chunk_id").distinct(), "chunk_id")
+    scored = live.join(texts, "chunk_id").join(asked.select("question_id", "question"), "question_id")
+    best = rerank(scored, "question_id", scorer(F.col("question"), F.col("text")), contexts)
+    return best.select("question_id", "context", "chunk_id", "doc_id", "rank", "score_kind", F.round("rerank_score", 6).alias("rerank_score"))

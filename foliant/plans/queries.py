@@ -12,6 +12,7 @@ from foliant.functions.normal import clean_transcription, markdown_plain, normal
 from foliant.operators import chunking, corpus, evaluation, index, retrieval, scoring, statistics, telemetry
 from foliant.operators.ranking import prefix_sums
 from foliant.plans import pipeline as P
+from foliant.plans import registry
 from foliant.sources.markup import links_outside_code
 from foliant.tables import load, load_even, materialize
 
@@ -47,6 +48,13 @@ def q_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return P.retrieve(load(spark, d, "hits"), load(spark, d, "chunks"), load(spark, d, "questions"), load(spark, d, "manifests"))
 
 
+def q_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search over all chunks, by vectors and keywords, for every question whose id is divisible by ASKED."""
+    asked = load(spark, d, "questions").filter(F.col("question_id") % ASKED == 0)
+    chunks = load_even(spark, d, "chunks").filter("chunk_id is not null and doc_id is not null").select("chunk_id", "doc_id", "text")
+    return P.search(chunks, asked, load(spark, d, "manifests"), registry.create("embedder", "letters"))
+
+
 def q_english(spark: SparkSession, d: str) -> DataFrame:
     asked = load(spark, d, "questions").withColumn("detected", T.looks_english(F.col("question")))
     said = F.coalesce(F.when(F.col("english"), "yes").when(~F.col("english"), "no"), F.lit("unknown"))

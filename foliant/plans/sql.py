@@ -268,7 +268,46 @@ select question_id, doc_id, contexts, row_number() over (partition by question_i
 w as (select doc_id, ws, unnest(range(0, greatest(0, ceil((len(ws) - 256) / 224.0))::bigint + 1)) as k from t where len(ws) > 0)
 select doc_id, k as window, k * 224 as start, len(ws[k * 224 + 1 : k * 224 + 256]) as n, md5(array_to_string(ws[k * 224 + 1 : k * 224 + 256], ' ')) as digest from w""",
 }
+LETTERS = "[" + ", ".join(f"(length(t) - length(replace(t, '{c}', '')))::double" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+ENGLISH_TEST = SQL["q_english"].split("case when question is null then false ")[1].split(" end as detected")[0]
 SQL |= {
+    "q_links": """with l as (select segment_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as line from segments where contains(text, '](')),
+f as (select *, regexp_matches(x, '^\\s*```')::int as fence from l),
+s as (select *, sum(fence) over (partition by segment_id order by line rows unbounded preceding) as c from f)
+select segment_id, line, unnest(regexp_extract_all(regexp_replace(x, '`[^`]*`', '', 'g'), '\\[[^\\[\\]]*\\]\\(([^()\\s]+)\\)', 1)) as target from s where fence = 0 and c % 2 = 0""",
+    "q_search": f"""with asked as (select question_id, min(question) as question from questions where question is not null and question_id % 50 = 0 group by all),
+w as (
+  select question_id, question, list_filter(regexp_extract_all(lower(question), '\\p{{L}}+'), lambda x: list_contains({_words(ENGLISH)}, x)) as e,
+    list_filter(regexp_extract_all(lower(question), '\\p{{L}}+'), lambda x: list_contains({_words(OTHER)}, x)) as o from asked),
+q as (select question_id, question, case {ENGLISH_TEST} end as english from w),
+c as (select chunk_id, doc_id, text, lower(text) as t from chunks where chunk_id is not null and doc_id is not null and text is not null),
+cv as (select chunk_id, {LETTERS} as v from c), qv as (select question_id, english, {LETTERS} as v from (select *, lower(question) as t from q)),
+unit as (select chunk_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-12 as n from cv),
+qunit as (select question_id, english, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-12 as n from qv),
+cosines as (select question_id, english, chunk_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (a.n * b.n), 9) as score from qunit a, unit b),
+dense as (select *, row_number() over (partition by question_id order by score desc, chunk_id) as r from cosines qualify r <= 100),
+bag as (select chunk_id, regexp_extract_all(t, '[a-z0-9]+') as ws from c),
+stats as (select count(*) as n, avg(len(ws)) as avg_len from bag),
+terms as (select distinct question_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as term from q where english),
+postings as (select chunk_id, l, term, count(*) as tf from (select chunk_id, len(ws) as l, unnest(ws) as term from bag) where term in (select term from terms) group by all),
+df as (select term, count(*) as df from postings group by term),
+bm as (
+  select question_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))) as score
+  from terms join df using (term) join postings using (term), stats group by all),
+keyword as (select *, row_number() over (partition by question_id order by score desc, chunk_id) as r from bm qualify r <= 100),
+fused as (
+  select coalesce(d.question_id, k.question_id) as question_id, coalesce(d.chunk_id, k.chunk_id) as chunk_id, coalesce(1.0 / (60 + d.r), 0) + coalesce(1.0 / (60 + k.r), 0) as score, d.r as dr, k.r as kr
+  from (select * from dense where english) d full join keyword k on d.question_id = k.question_id and d.chunk_id = k.chunk_id),
+first as (
+  select question_id, chunk_id, 'rrf' as score_kind, row_number() over (partition by question_id order by score desc, dr nulls last, kr nulls last, chunk_id) as rank from fused qualify rank <= 100
+  union all select question_id, chunk_id, 'cosine', r from dense where not english),
+inside as (select f.*, doc_id, row_number() over (partition by question_id, doc_id order by rank) as n from first f join c using (chunk_id)),
+capped as (select question_id, chunk_id, doc_id, score_kind, place as rank from (select *, row_number() over (partition by question_id order by rank) as place from inside where n <= 3) where place <= 20),
+scored as (
+  select l.*, coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), regexp_extract_all(lower(text), '[a-z0-9]+')))
+    / nullif(len(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+'))), 0), 0) as s
+  from capped l join c using (chunk_id) join q using (question_id) where l.doc_id in (select doc_id from manifests))
+select question_id, row_number() over (partition by question_id order by s desc, rank) as context, chunk_id, doc_id, rank, score_kind, round(s, 6) as rerank_score from scored qualify context <= 5""",
     "q_build_report": f"""with d as ({SQL["q_index_diff"]})
 select count(*) filter (state = 'new') as added, count(*) filter (state = 'changed') as updated, count(*) filter (state = 'unchanged') as unchanged,
   count(*) filter (state = 'stale') as pruned, (select count(*) from chunks where doc_id in (select doc_id from d where state in ('new', 'changed'))) as chunks_to_embed from d""",

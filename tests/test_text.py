@@ -126,3 +126,17 @@ def test_any_pages_survive_rendering(spark, texts):
     df = spark.createDataFrame([(rows,)], "p array<struct<number:int,method:string,text:string>>")
     back = df.select(T.split_pages(T.render_pages(F.lit("T"), F.col("p"))).alias("p")).first().p
     assert [(x.number, x.text) for x in back] == [(n, t.strip()) for n, _, t in rows]
+
+
+def test_stems_of_english_words(spark):
+    from foliant.functions.stemming import english_words, stem
+
+    wanted = {
+        "consign": "consign", "consigned": "consign", "consigning": "consign", "consignment": "consign", "consistency": "consist", "consolation": "consol", "knack": "knack", "knackeries": "knackeri",
+        "kneading": "knead", "knives": "knive", "generate": "generat", "generous": "generous", "communism": "communism", "ties": "tie", "cries": "cri", "gas": "gas", "this": "this", "gaps": "gap", "kiwis": "kiwi",
+        "hopping": "hop", "hoped": "hope", "luxuriated": "luxuri", "by": "by", "say": "say", "cry": "cri", "skies": "sky", "news": "news", "proceed": "proceed", "agreed": "agre", "feed": "feed", "relational": "relat",
+        "conditional": "condit", "hopefulness": "hope", "sensibility": "sensibl", "apology": "apolog", "adoption": "adopt", "adjustment": "adjust", "probate": "probat", "controlling": "control", "roll": "roll", "national": "nation", "bed": "bed", "shed": "shed", "happily": "happili",
+    }
+    assert {w: stem(w) for w in wanted} == wanted
+    df = spark.createDataFrame([("Running dogs' ways",), (None,), ("",)], "t string").select(english_words(F.col("t")).alias("w"))
+    assert [r.w for r in df.collect()] == [["run", "dog", "way"], None, []]
