@@ -59,3 +59,10 @@ def score_gate(outputs: DataFrame, samples: DataFrame, name: str = "candidate",
 def not_in_second_round(first: DataFrame, second: DataFrame, name: str = "candidate") -> DataFrame:
     """Candidates that the first round could not tell from the best, but that the second lacks."""
     return first.filter("verdict in ('best', 'tied')").join(second.select(name), name, "left_anti").select(name)
+
+
+def formatted(rows: DataFrame, name: str, mean: str, low: str, high: str, share: str) -> DataFrame:
+    """(name, estimate, share): an interval and a share as text, the same as `interval` and `percent` print them."""
+    fixed = lambda c, d: F.format_string(f"%.{d}f", F.col(c).cast("double"))
+    estimate = F.when(F.col(mean).isNull(), MISSING).when(F.col(low).isNull() | F.col(high).isNull(), fixed(mean, 3)).otherwise(F.concat(fixed(mean, 3), F.lit(" ["), fixed(low, 3), F.lit(", "), fixed(high, 3), F.lit("]")))
+    return rows.select(name, estimate.alias("estimate"), F.when(F.col(share).isNull(), MISSING).otherwise(F.concat(F.format_string("%.1f", F.col(share) * 100), F.lit(" %"))).alias("share"))

@@ -16,7 +16,7 @@ from foliant.functions.vectors import decoded_base64
 from foliant.operators import corpus, evaluation, index, statistics, telemetry
 from foliant.plans import pipeline as P
 from foliant.plans import report
-from foliant.sources import files, headings, latex, logs, papers, store
+from foliant.sources import crawl, files, headings, latex, logs, papers, store
 from foliant.tables import load, load_even, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +175,31 @@ def q_environmental(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "ocr_results").groupBy(telemetry.environmental(code).alias("environmental")).agg(F.count("*").alias("runs"))
 
 
+def q_classified(spark: SparkSession, d: str) -> DataFrame:
+    """What downloads are, by their bytes: the inputs as they are, and gzipped."""
+    rows = _inputs(spark, d).select("path", "source_kind", "content")
+    both = rows.withColumn("zipped", F.lit(False)).unionByName(_zipped(rows).withColumn("zipped", F.lit(True)))
+    return both.groupBy("source_kind", "zipped", crawl.download_kind("content", F.col("path")).alias("format")).agg(F.count("*").alias("files"))
+
+
+def q_tex_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Sources in two encodings, decoded."""
+    t = F.concat(_simple(F.col("text")), F.lit(" \u00e9\u00fc"))
+    rows = load_even(spark, d, "segments").select("segment_id", F.when(F.col("segment_id") % 2 == 0, F.encode(t, "utf-8")).otherwise(F.encode(t, "iso-8859-1")).alias("b"))
+    return rows.select("segment_id", F.md5(latex.decoded_tex("b")).alias("digest"))
+
+
+def q_latex_text(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as small papers, read without a converter: title and authors, abstract, a section with a list."""
+    t, i = _simple(F.col("text")), F.col("page").cast("string")
+    source = F.concat(
+        F.lit("\\documentclass{article}\n\\title{Paper "), i, F.lit("\\thanks{by all}}\n\\author{Ann \\and Bob}\n\\begin{document}\n\\maketitle\n\\begin{abstract}Sum "), i,
+        F.lit("\\end{abstract}\n\\section{Part}\nx "), t, F.lit(" y.\n\n\\begin{itemize}\\item one\\item \\emph{two}\\end{itemize}\n\\end{document}\n"),
+    )
+    pages = P.pages_of(load_even(spark, d, "segments")).select(F.concat_ws("#", "doc_id", i).alias("paper"), source.alias("source"))
+    return latex.readable(pages, "paper", "source").select("paper", "ord", "title", F.md5("text").alias("digest"))
+
+
 # ------------------------------------------------------------------------------------------------- headings, papers
 
 
@@ -492,6 +517,12 @@ def q_attempts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("result_id", F.col("a.attempt").alias("attempt"), F.col("a.max_tokens").alias("max_tokens"), F.round("a.temperature", 3).alias("temperature"), "stands")
 
 
+def q_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of candidates as a report prints them."""
+    rows = load(spark, d, "ocr_results").filter("candidate is not null").groupBy("candidate").agg(F.round(F.avg("seconds"), 6).alias("mean"), F.min("seconds").alias("low"), F.max("seconds").alias("high"), F.round(F.count("error") / F.count("*"), 6).alias("failed"))
+    return report.formatted(rows, "candidate", "mean", "low", "high", "failed")
+
+
 def q_medians(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.medians(load(spark, d, "ocr_results"), "candidate", "seconds").withColumn("median", F.round("median", 6))
 

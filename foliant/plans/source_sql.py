@@ -46,6 +46,15 @@ select doc_id as path, 'Part ' || page as title, md5(case when t = '' then '' el
 n as (select unit, length(regexp_replace(coalesce(text, ''), '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]+', '', 'g')) as l, row_number() over (partition by unit order by candidate) as k from units),
 p as (select a.unit, a.l as x, b.l as y from n a join n b on a.unit = b.unit and a.k = 1 and b.k = 2)
 select case when x > 0 and x >= 800 then 'converted' when y > x then 'fallback' when x > 0 then 'short' else 'none' end as choice, count(*) as pages from p group by all""",
+    "q_classified": """select source_kind, z as zipped, case when source_kind = 'pdf' and not z then 'pdf' when source_kind != 'pdf' and z then 'latex' when source_kind = 'latex' then 'tex' end as format, count(*) as files
+from manifests, (values (true), (false)) v(z) group by all""",
+    "q_tex_decoded": f"select segment_id, md5({SIMPLE.format('text')} || ' éü') as digest from segments",
+    "q_latex_text": f"""with {PER_DOC}, n as (select *, chr(10) as e from flat)
+select doc_id || '#' || page as paper, 0 as ord, 'Paper ' || page as title, md5('# Paper ' || page || e || e || 'Ann , Bob') as digest from n
+union all select doc_id || '#' || page, 1, 'Abstract', md5('# Abstract' || e || e || 'Sum ' || page) from n
+union all select doc_id || '#' || page, 2, 'Part', md5('# Part' || e || e || case when t = '' then 'x y.' else 'x ' || t || ' y.' end || e || e || '- one' || e || '- two') from n""",
+    "q_formats": """select candidate, printf('%.3f', round(avg(seconds), 6)) || ' [' || printf('%.3f', min(seconds)) || ', ' || printf('%.3f', max(seconds)) || ']' as estimate,
+  printf('%.1f', round(count(error) / count(*), 6) * 100) || ' %' as share from ocr_results where candidate is not null group by candidate""",
     "q_environmental": "select coalesce(not (gen_tokens % 140 - 20 between 1 and 99), true) as environmental, count(*) as runs from ocr_results group by all",
     "q_headings": f"""with {PER_DOC},
 c as (select *, max(case when page % 3 = 1 then page end) over (partition by doc_id order by page) as chapter from flat)

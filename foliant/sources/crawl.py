@@ -7,7 +7,10 @@ import os
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from foliant.errors import SourceUnavailable
 from foliant.sources.files import gzip_kind, is_tar_block
@@ -100,3 +103,9 @@ def crawl(spark: SparkSession, records: Iterable[tuple[str, dict]], folder: str,
         except SourceUnavailable as e:
             failed.append((key, str(e)))
     return spark.createDataFrame(done, "key string, path string, format string, reused boolean"), spark.createDataFrame(failed, "key string, problem string")
+
+
+@pandas_udf(T.StringType())
+def download_kind(body: pd.Series, name: pd.Series) -> pd.Series:
+    """`classify` for columns of bytes and served names; null bodies are unusable."""
+    return pd.Series([classify(bytes(b), n) if b is not None else None for b, n in zip(body, name)], dtype="object")
