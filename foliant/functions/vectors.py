@@ -6,6 +6,8 @@ import base64
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -33,3 +35,9 @@ def half_precision(vector: pd.Series) -> pd.Series:
 def decoded_base64(text: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats from base64."""
     return text.map(lambda t: np.frombuffer(base64.b64decode(t), dtype="<f4") if t is not None else None)
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each ASCII letter stands in a text, in any case; a stand-in for a model's vector that is an expression."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.normal import clean_transcription, markdown_plain, normalized, tex_plain
+from foliant.functions.vectors import letter_counts
 from foliant.operators import chunking, corpus, evaluation, index, retrieval, scoring, statistics, telemetry
 from foliant.operators.ranking import prefix_sums
 from foliant.plans import pipeline as P
-from foliant.plans import registry
 from foliant.sources.markup import links_outside_code
 from foliant.tables import load, load_even, materialize
 
@@ -52,7 +52,7 @@ def q_search(spark: SparkSession, d: str) -> DataFrame:
     """A search over all chunks, by vectors and keywords, for every question whose id is divisible by ASKED."""
     asked = load(spark, d, "questions").filter(F.col("question_id") % ASKED == 0)
     chunks = load_even(spark, d, "chunks").filter("chunk_id is not null and doc_id is not null").select("chunk_id", "doc_id", "text")
-    return P.search(chunks, asked, load(spark, d, "manifests"), registry.create("embedder", "letters"))
+    return P.search(chunks, asked, load(spark, d, "manifests"), letter_counts)
 
 
 def q_english(spark: SparkSession, d: str) -> DataFrame:

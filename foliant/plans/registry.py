@@ -9,7 +9,6 @@ from importlib.metadata import entry_points
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -77,13 +76,6 @@ def hashed_embedder(dims: int = 64) -> Callable[[Column], Column]:
     return embed
 
 
-@register("embedder", "letters")
-def letter_embedder() -> Callable[[Column], Column]:
-    """How often each ASCII letter stands in the text, in any case; a stand-in for a model that is an expression."""
-    t = lambda text: F.lower(F.coalesce(text, F.lit("")))
-    return lambda text: F.array(*((F.length(t(text)) - F.length(F.replace(t(text), F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
-
-
 @register("reranker", "word_share")
 def word_share_reranker() -> Callable[[Column, Column], Column]:
     return word_share
