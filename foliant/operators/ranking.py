@@ -6,11 +6,15 @@ parts of a group, so no task ever holds more than a share of a hot one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.tables import materialize
+
 SALTS = 32
 #: Spark's own threshold for limiting groups before a window's shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
@@ -97,3 +101,62 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     joined = placed.join(offsets, same).withColumn(out, F.col("__offset") + F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside), F.lit(0)))
     return joined.drop("__bucket", "__offset", "__b", *(f"__{k}" for k in keys))
+
+
+def reached_shares(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
+    """(keys, tie, out): the share of its group's rows whose value is at most a row's own, exact for groups of any size.
+
+    Keys, values and ties must not be null; NaN ranks above every number, as in Spark's ordering. Rows are sorted once
+    into ranges over all groups, cut by keys, value and tie, so neither a hot group nor a hot value is ever in one task.
+    Every range counts for itself; only its first and last group may go on in its neighbours, and those two rows a range
+    are put together on the driver.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.select(*keys, tie, F.col(value).cast("double").alias("__v")).repartitionByRange(ranges, *keys, "__v", tie).sortWithinPartitions(*keys, "__v")
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in (*keys, tie))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        parts = list(frames)  # one range of rows
+        f = pd.concat(parts, ignore_index=True) if parts else None
+        if f is None or not len(f):
+            return
+        v = f["__v"].to_numpy()
+        new = np.ones(len(f), dtype=bool)
+        new[1:] = np.any([f[k].to_numpy()[1:] != f[k].to_numpy()[:-1] for k in keys], axis=0)
+        step = new.copy()
+        step[1:] |= (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))
+        begins, runs = np.flatnonzero(new), np.flatnonzero(step)
+        group, run = np.cumsum(new) - 1, np.cumsum(step) - 1
+        run_end = np.append(runs[1:], len(f))
+        size = np.diff(np.append(begins, len(f)))
+        edge = (group == 0) | (group == group[-1])
+        last = run_end[run] == (begins + size)[group]  # rows of the group's last value here
+        first = (run_end[run[begins]] - begins)[group]  # how many rows have its first value here
+        at = begins[group]
+        yield f[[*keys, tie]].assign(__at_most=run_end[run] - at, __n=size[group], __edge=edge, __last=last & edge, __part=TaskContext.get().partitionId(), __first=first, __low=v[at], __high=v[at + size[group] - 1])
+
+    counted = materialize(ordered.mapInPandas(count, kinds + ", __at_most long, __n long, __edge boolean, __last boolean, __part int, __first long, __low double, __high double"))
+    ends = counted.filter("__edge").groupBy("__part", *keys).agg(*(F.max(c).alias(c) for c in ("__n", "__first", "__low", "__high"))).toPandas()  # two rows a range at most
+    rows = []
+    for _, g in ends.sort_values("__part").groupby(keys, sort=False):
+        n, first, low, high = (g[c].tolist() for c in ("__n", "__first", "__low", "__high"))
+        for i in range(len(g)):
+            more = 0
+            for j in range(i + 1, len(g)):  # rows of its last value in the ranges after it
+                if not (low[j] == high[i] or (low[j] != low[j] and high[i] != high[i])):
+                    break
+                more += first[j]
+                if first[j] < n[j]:
+                    break
+            rows.append((int(g["__part"].iloc[i]), *(x.item() if hasattr(x, "item") else x for x in g[keys].iloc[i]), int(sum(n[:i])), int(more), int(sum(n))))
+    names = ["__p", *(f"__k{i}" for i in range(len(keys))), "__before", "__more", "__all"]
+    types = ["int", *(df.schema[k].dataType.simpleString() for k in keys), "long", "long", "long"]
+    around = F.broadcast(spark.createDataFrame(rows, ", ".join(f"{a} {b}" for a, b in zip(names, types))))
+    same = F.col("__edge") & (F.col("__part") == F.col("__p"))
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"__k{i}"))
+    at_most = F.col("__at_most") + F.coalesce(F.col("__before") + F.when(F.col("__last"), F.col("__more")).otherwise(0), F.lit(0))
+    return counted.join(around, same, "left").select(*keys, tie, (at_most / F.coalesce("__all", "__n")).alias(out))

@@ -284,3 +284,24 @@ def test_pages_beside_their_truth(spark):
     rows = spark.createDataFrame([("s", "1"), ("s", "2"), ("s", "2"), ("t", "2")], "s string, x string")
     ids = {r.s: (r.samples, r.identity) for r in suite_identity(rows, "s", "x").collect()}
     assert ids["s"][0] == 2 and ids["t"][0] == 1 and ids["s"][1] != ids["t"][1]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_shares_reached_in_groups_of_any_size(spark, ranges):
+    from foliant.operators.ranking import reached_shares
+
+    rng = np.random.default_rng(ranges)
+    rows = [("hot", "x", i, float(rng.integers(0, 5))) for i in range(400)] + [("one", "x", i, 7.0) for i in range(150)] + [("hot", "y", i, float("nan") if i % 4 == 0 else float(rng.normal())) for i in range(90)]
+    rows += [(f"g{i}", "x", i, 1.0) for i in range(40)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = {(r.a, r.b, r.i): r.p for r in reached_shares(spark.createDataFrame(rows, "a string, b string, i long, v double"), ["a", "b"], "v", "i", "p").collect()}
+        empty = reached_shares(spark.createDataFrame([], "a string, b string, i long, v double"), ["a", "b"], "v", "i", "p").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    groups = {}
+    for a, b, i, v in rows:
+        groups.setdefault((a, b), []).append(float("inf") if v != v else v)
+    wanted = {(a, b, i): sum(w <= (float("inf") if v != v else v) for w in groups[a, b]) / len(groups[a, b]) for a, b, i, v in rows}
+    assert empty == 0 and got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k]) for k in wanted)
