@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.ranking import top_per_group, value_ranks
+from foliant.operators.ranking import reached_shares, top_per_group
 
 
 def percentile_vectors(df: DataFrame, group: str, item: str, rater: str, score: str, raters: Sequence[str]) -> DataFrame:
@@ -23,10 +23,11 @@ def percentile_vectors(df: DataFrame, group: str, item: str, rater: str, score:
     with its larger score. Rows with a null group, item or rater, or a rater not in `raters`, take no part.
     """
     known = df.filter(F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(rater).isin(*raters))
-    once = known.groupBy(group, item, rater).agg(F.max(score).alias("__score"))
-    ranks = value_ranks(once, [group, rater], "__score")
-    percent = (F.col("n_below") + F.col("n_equal")) / F.col("n_group")
-    scored = once.join(ranks.select(group, rater, "__score", percent.alias("__percent")), [group, rater, "__score"], "left")
+    once = known.filter(F.col(score).isNotNull()).groupBy(group, item, rater).agg(F.max(score).alias("__score"))
+    shares = reached_shares(once, [group, rater], "__score", item, "__percent")
+    # items that have null scores only are in the ranking too
+    unscored = known.filter(F.col(score).isNull()).select(group, rater, item).distinct().withColumn("__percent", F.lit(0.0))
+    scored = shares.unionByName(unscored)
     per_rater = [F.coalesce(F.max(F.when(F.col(rater) == r, F.col("__percent"))), F.lit(0.0)) for r in raters]
     return scored.groupBy(group, item).agg(F.array_sort(F.array(*per_rater)).alias("percentiles"))
 
