@@ -239,6 +239,7 @@ select unit, round(coalesce(2.0 * b / n, 0), 6) as char3_f1 from pairs left join
 select candidate, metric, count(*) as n, round(avg(value), 6) as mean from m where value is not null group by all""",
     "q_category_matrix": "select candidate, "
     + ", ".join(f"round(avg(seconds) filter (category = '{c}'), 6) as {c}" for c in ("archive_scans", "running_heads", "scanned_math", "table_pages", "tiny_print", "two_column"))
+    + ", round(avg(seconds) filter (category is null or category not in ('archive_scans', 'running_heads', 'scanned_math', 'table_pages', 'tiny_print', 'two_column')), 6) as other"
     + " from ocr_results where candidate is not null group by candidate",
     "q_category_spread": """with m as (select candidate, category, avg(seconds) as m from ocr_results where category is not null and seconds is not null group by all)
 select candidate, arg_min(category, m) as worst, round(min(m), 6) as worst_mean, arg_max(category, m) as best, round(max(m), 6) as best_mean from m group by candidate""",
