@@ -195,14 +195,14 @@ def clean_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, had_markup): every row with its text cleaned. Texts without markup, nulls included, pass unchanged
     and never leave the JVM."""
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key), F.col(text).alias("text"), has_markup(F.col(text)).alias("had_markup"))
+    rows, marked = df.select(F.col(key), F.col(text).alias("text")), has_markup(F.col("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.assign(text=[clean(t) for t in f["text"]])
 
-    dirty = rows.filter("had_markup").mapInPandas(run, f"{key} {kind}, text string, had_markup boolean")
-    return rows.filter("not had_markup").unionByName(dirty)
+    dirty = rows.filter(marked).withColumn("had_markup", F.lit(True)).mapInPandas(run, f"{key} {kind}, text string, had_markup boolean")
+    return rows.filter(~marked).withColumn("had_markup", F.lit(False)).unionByName(dirty)
 
 
 # ---------------------------------------------------------------------------------------------- consensus host paths

@@ -39,7 +39,7 @@ BELIEF = 20
 #: Share of cut rows away from any limit that the fit starts from, and its rounds.
 BASE_RATE, ROUNDS = 0.05, 200
 #: About so many whole texts of at least LEAST_LENGTH characters, drawn by a hash, are cut at random places.
-SAMPLE, LEAST_LENGTH = 5_000, 100
+SAMPLE, LEAST_LENGTH = 2_000, 100
 #: Lines before the last one that are looked at to tell a list.
 LIST_LINES = 40
 
@@ -250,7 +250,8 @@ def _drawn(df: DataFrame, text: str, page: str | None, closed: int) -> np.ndarra
     half = F.floor(F.length(text) / 2)
     drawn = df.filter((F.length(text) >= LEAST_LENGTH) & (F.pmod(F.xxhash64(text), F.lit(max(1, closed // SAMPLE))) == 0))
     shortened = drawn.select(F.col(text).alias("whole"), F.substring(F.col(text), F.lit(1), (half + F.pmod(F.xxhash64(text, F.lit(1)), half)).cast("int")).alias("text"), (F.col(page) if page else F.lit(None)).alias("page"))
-    found = shortened.filter(ending(F.col("whole"), F.col("page")) == "closed").select(ending(F.col("text"), F.col("page")).alias("ending")).groupBy("ending").count().collect()
+    both = shortened.select(F.explode(F.array(F.struct(ending(F.col("whole"), F.col("page")).alias("whole"), ending(F.col("text"), F.col("page")).alias("ending")))).alias("x"))
+    found = both.filter("x.whole = 'closed'").groupBy("x.ending").count().collect()
     n = {r["ending"]: r["count"] for r in found}
     return np.array([n.get(e, 0) for e in ENDINGS], dtype=float)
 
@@ -264,8 +265,9 @@ def truncation(df: DataFrame, key: str, text: str, source: str, measures: Mappin
     is what the ending says where no length is looked at. Null sources form one.
     """
     names = list(measures)
-    rows = df.select(key, F.coalesce(F.col(source).cast("string"), F.lit("?")).alias("source"), ending(F.col(text), F.col(page) if page else None).alias("ending"), *(c.cast("long").alias(f"__{m}") for m, c in measures.items())).filter("ending is not null")
-    rows = materialize(rows)
+    # exploding an ending or nothing keeps the planner from computing it once more to filter by it, before rows are dealt out
+    found = F.explode(F.array_compact(F.array(ending(F.col(text), F.col(page) if page else None))))
+    rows = materialize(df.select(key, F.coalesce(F.col(source).cast("string"), F.lit("?")).alias("source"), found.alias("ending"), *(c.cast("long").alias(f"__{m}") for m, c in measures.items())))
     melted = rows.select("source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"__{m}").alias("value")) for m in names))).alias("m")).select("source", "m.*")
     limits = materialize(length_limits(melted).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("posterior", "measure", "low", "high"))).alias("__limits")))
     placed = small_left_join(rows, limits, ["source"], F.col(key))
