@@ -38,9 +38,9 @@ def unit_scores(tests: DataFrame, failed: DataFrame, candidate: str = "candidate
 
     `failed` holds (candidate, test); a candidate without any failure must be in it with a null test.
     """
-    names = failed.select(F.col(candidate).alias("__c")).filter("__c is not null").distinct()
+    names = failed.filter(F.col(candidate).isNotNull()).agg(F.collect_set(candidate).alias("__names"))  # one row: a run has few candidates
     units = tests.select(F.col("id").alias("unit"), F.col("category").alias("group"), F.col("pdf").alias("cluster"))
-    every = units.crossJoin(F.broadcast(names))  # a run has few candidates
+    every = units.crossJoin(F.broadcast(names)).select("unit", "group", "cluster", F.explode("__names").alias("__c"))
     misses = failed.filter("test is not null").select(F.col(candidate).alias("__c"), F.col("test").alias("unit"), F.lit(0.0).alias("__v")).distinct()
     return every.join(misses, ["__c", "unit"], "left").select(F.col("__c").alias(candidate), "unit", "group", "cluster", F.coalesce("__v", F.lit(1.0)).alias("value"))
 

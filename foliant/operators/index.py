@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.sources.shared import BucketTable
+from foliant.tables import materialize
 
 
 def diff(current: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ class ChunkIndex:
 def update_index(index: ChunkIndex, chunks: DataFrame, keys: DataFrame) -> DataFrame:
     """Brings the index to `chunks` of the documents in `keys` (doc_id, key): only new and changed documents are
     written, stale ones removed, and a snapshot is committed if anything changed. Returns the build report."""
-    changes = diff(keys, index.keys()).cache()
+    changes = materialize(diff(keys, index.keys()))
     report = build_report(changes).collect()
     todo = changes.filter("state in ('new', 'changed')").select("doc_id", "key")
     stale = changes.filter("state = 'stale'").select("doc_id")
@@ -132,5 +133,4 @@ def update_index(index: ChunkIndex, chunks: DataFrame, keys: DataFrame) -> DataF
         index.remove(stale)
     if index.pending() or index.search_state() is None:
         index.commit()
-    changes.unpersist()
     return index.spark.createDataFrame(report)
