@@ -103,16 +103,21 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     return joined.drop("__bucket", "__offset", "__b", *(f"__{k}" for k in keys))
 
 
-def reached_shares(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
+#: Rows that one range of a sorted pass may hold on average.
+ROWS_PER_RANGE = 1_000_000
+
+
+def reached_shares(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, rows: int = 0) -> DataFrame:
     """(keys, tie, out): the share of its group's rows whose value is at most a row's own, exact for groups of any size.
 
     Keys, values and ties must not be null; NaN ranks above every number, as in Spark's ordering. Rows are sorted once
     into ranges over all groups, cut by keys, value and tie, so neither a hot group nor a hot value is ever in one task.
     Every range counts for itself; only its first and last group may go on in its neighbours, and those two rows a range
-    are put together on the driver.
+    are put together on the driver. There are as many ranges as shuffle partitions, or more where `rows`, a bound of the
+    rows of `df` if one is known, would put more than ROWS_PER_RANGE into each.
     """
     spark, keys = df.sparkSession, list(keys)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE))
     ordered = df.select(*keys, tie, F.col(value).cast("double").alias("__v")).repartitionByRange(ranges, *keys, "__v", tie).sortWithinPartitions(*keys, "__v")
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in (*keys, tie))
 

@@ -297,6 +297,8 @@ def test_shares_reached_in_groups_of_any_size(spark, ranges):
     spark.conf.set("spark.sql.shuffle.partitions", ranges)
     try:
         got = {(r.a, r.b, r.i): r.p for r in reached_shares(spark.createDataFrame(rows, "a string, b string, i long, v double"), ["a", "b"], "v", "i", "p").collect()}
+        more = reached_shares(spark.createDataFrame(rows, "a string, b string, i long, v double"), ["a", "b"], "v", "i", "p", 40_000_000)
+        assert {(r.a, r.b, r.i): r.p for r in more.collect()} == got
         empty = reached_shares(spark.createDataFrame([], "a string, b string, i long, v double"), ["a", "b"], "v", "i", "p").count()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
