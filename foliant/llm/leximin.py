@@ -24,7 +24,7 @@ def percentile_vectors(df: DataFrame, group: str, item: str, rater: str, score:
     """
     known = df.filter(F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(rater).isin(*raters))
     once = known.filter(F.col(score).isNotNull()).groupBy(group, item, rater).agg(F.max(score).alias("__score"))
-    shares = reached_shares(once, [group, rater], "__score", item, "__percent")
+    shares = reached_shares(once, [group, rater], "__score", item, "__percent", df.select().count())  # read from the files' footers
     # items that have null scores only are in the ranking too
     unscored = known.filter(F.col(score).isNull()).select(group, rater, item).distinct().withColumn("__percent", F.lit(0.0))
     scored = shares.unionByName(unscored)
