@@ -39,8 +39,8 @@ CONFUSIONS = (
 #: the most a repair may cost.
 CONFUSION_COST, LEAST_COST, MOST_COST = 0.4, 0.25, 0.8
 #: A confusion is learned from so many different words, if it strikes at least this share of the frequent words that it
-#: can, and not mostly at their ends, where words differ by grammar. About so many rare words are looked at.
-LEAST_WORDS, LEAST_STRUCK, LEAST_INNER, RARE_WORDS = 5, 0.05, 0.5, 200_000
+#: can, and not mostly at their ends, where words differ by grammar.
+LEAST_WORDS, LEAST_STRUCK, LEAST_INNER = 5, 0.05, 0.5
 #: A repair is this many times as frequent as the token; above the second number no context is asked.
 LEAST_RATIO, SURE_RATIO = 8, 60
 #: A lexicon word occurs at least so often, whatever the size of the corpus. Up to the second number of words are sent to
@@ -112,11 +112,10 @@ def learned_confusions(counts: DataFrame) -> Confusions:
     """The confusions of a corpus: those known beforehand, and those that its own words show, with their costs.
 
     Rare words are met with words SURE_RATIO times as frequent that differ in one part; a rare word with a single such
-    neighbour is an example of its parts' confusion. Only counts by pair of parts reach the driver.
+    neighbour is an example of its parts' confusion. All rare words are looked at that are letters but for one part; others
+    have no such neighbour. Only pairs of parts that are confusions, or known ones, reach the driver.
     """
-    rare = counts.filter((F.length("word").between(4, 40)) & (F.col("n") < LEAST_COUNT * SURE_RATIO))
-    every = F.greatest(F.lit(1), F.lit(rare.count() // RARE_WORDS))
-    rare = rare.filter(F.pmod(F.xxhash64("word"), every) == 0)
+    rare = counts.filter((F.length("word").between(4, 40)) & (F.col("n") < LEAST_COUNT * SURE_RATIO) & F.col("word").rlike(r"^\p{L}*.{0,2}\p{L}*$"))
     frequent = counts.filter((F.col("n") >= LEAST_COUNT * SURE_RATIO) & F.col("word").rlike(r"^\p{L}{4,40}$"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,10 +134,9 @@ def learned_confusions(counts: DataFrame) -> Confusions:
     parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.array(F.substring("word", i, F.lit(1)), F.substring("word", i, F.lit(2))))))
     able = frequent.select(F.explode(parts).alias("b")).groupBy("b").agg(F.count("*").alias("able"))
     cost = {(a, b): CONFUSION_COST for a, b in CONFUSIONS}
-    for r in found.join(able.hint("merge"), "b").collect():  # pairs of parts, not of words
-        share = r.words / r.able
-        if share >= LEAST_STRUCK or (r.a, r.b) in cost:
-            cost[r.a, r.b] = max(LEAST_COST, CONFUSION_COST - (CONFUSION_COST - LEAST_COST) * min(1.0, 4 * share))
+    share, known = F.col("words") / F.col("able"), F.struct("a", "b").isin([F.struct(F.lit(a), F.lit(b)) for a, b in CONFUSIONS])
+    for r in found.join(able.hint("merge"), "b").filter((share >= LEAST_STRUCK) | known).select("a", "b", share.alias("share")).collect():  # bounded by the alphabet
+        cost[r.a, r.b] = max(LEAST_COST, CONFUSION_COST - (CONFUSION_COST - LEAST_COST) * min(1.0, 4 * r.share))
     return Confusions(tuple((a, b, c) for (a, b), c in sorted(cost.items(), key=lambda x: (x[1], x[0]))))
 
 

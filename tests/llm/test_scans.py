@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm.scans import CONFUSION_COST, LEAST_COST, Confusions, WordFilter, build_index, continuous, corpus_counts, defects, deleted_forms, fold, learned_confusions, page_lines, repaired, repairs, roman, split_words, tokens, unwrapped
 
@@ -122,3 +123,11 @@ def test_confusions_are_learned_from_the_corpus(spark):
     fixed = {r.word: (r.candidates[0].repair, round(r.candidates[0].cost + math.log10(900) / 10, 3)) for r in repairs(spark.createDataFrame(rows, "word string, n long"), learned_confusions(spark.createDataFrame(rows, "word string, n long"))).collect()}
     assert fixed["lefter"] == ("letter", LEAST_COST) and fixed["wafcr"] == ("water", round(LEAST_COST + CONFUSION_COST, 3)) and "waters" not in fixed
     assert learned_confusions(spark.createDataFrame([], "word string, n long")) == Confusions(tuple(sorted(Confusions().pairs, key=lambda x: (x[2], x[0], x[1]))))
+
+
+def test_confusions_are_learned_from_all_rare_words(spark):
+    names = ["hospital", "material", "practice", "customer", "chapters"]  # as many as a confusion needs
+    rows = spark.createDataFrame([(w, 900) for w in names] + [(w.replace("t", "f", 1), 2) for w in names], "word string, n long")
+    others = spark.range(400_000).select(F.translate(F.lpad(F.lower(F.conv("id", 10, 26)), 4, "0"), "0123456789", "qrstuvwxyz").alias("word"), F.lit(1).cast("long").alias("n"))
+    learned = {(a, b): c for a, b, c in learned_confusions(rows.unionByName(others)).pairs}
+    assert learned["f", "t"] == LEAST_COST
